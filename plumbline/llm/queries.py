@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_gam, quality_rules, secrets, topk
+from . import minhash, packing, quality_gam, quality_rules, secrets, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_gam.classify(docs, quality_gam.fit(docs, _table(spark, sf_dir, "labels")))
@@ -34,5 +38,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op6_packing": op6_packing, "op8_quality_classifier": op8_quality_classifier, "op9_secrets": op9_secrets, "op10_topk": op10_topk}
-ORACLES: dict[str, str] = {"op10_topk": topk.ORACLE}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op6_packing": op6_packing,
+    "op7_near_duplicates": op7_near_duplicates,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_secrets": op9_secrets,
+    "op10_topk": op10_topk,
+}
+ORACLES: dict[str, str] = {"op7_near_duplicates": minhash.ORACLE, "op10_topk": topk.ORACLE}
