@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, quality_gam, quality_rules, secrets, topk
+from . import minhash, packing, quality_gam, quality_rules, secrets, substring_dedup, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -40,10 +48,17 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_packing": op6_packing,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_secrets": op9_secrets,
     "op10_topk": op10_topk,
 }
-ORACLES: dict[str, str] = {"op7_near_duplicates": minhash.ORACLE, "op10_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": suffix_dedup.ORACLE,
+    "op5_substring_dedup": substring_dedup.ORACLE,
+    "op7_near_duplicates": minhash.ORACLE,
+    "op10_topk": topk.ORACLE,
+}
