@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, quality_gam, quality_rules, secrets, substring_dedup, suffix_dedup, topk
+from . import minhash, packing, pii_crf, quality_gam, quality_rules, secrets, sentencepiece_codec, substring_dedup, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find(_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -49,6 +57,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_personal_data": op4_personal_data,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_packing": op6_packing,
     "op7_near_duplicates": op7_near_duplicates,
