@@ -6,7 +6,7 @@ correlated, of lower variance. 64 permutations give 128 values in 32 bands of 4:
 band with probability 5e-6.
 
 1. Documents with the same shingle set form one class, and only its smallest id goes on.
-2. In each band bucket every member is compared with the bucket's smallest id only (a star, never all pairs). Links are
+2. In each band bucket every member is compared with the bucket's center only (a star, never all pairs). Links are
    confirmed on full sets, and their connected components found.
 3. Where a bucket still holds several components, its members are joined exactly: sets that reach the threshold
    share one of their rarest shingles (prefix filter), and pairs of different components that do are confirmed.
@@ -114,12 +114,13 @@ def _signed_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
 
 
 def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (doc_id, zstd of the UTF-8 bytes): what goes through a shuffle by document."""
+    """(doc_id, text, ...) -> (doc_id, zstd of the UTF-8 bytes, ...): what goes through a shuffle by document."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in chunks(batches):
         texts = Texts(batch.column("text"))
         packed = [pack(texts.data[a:b].tobytes()) for a, b in zip(texts.offsets[:-1], texts.offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "body"])
+        more = [c for c in batch.schema.names if c not in ("doc_id", "text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), *(batch.column(c) for c in more)], names=["doc_id", "body", *more])
 
 
 def unpacked(column: pa.Array) -> list[bytes]:
@@ -176,19 +177,28 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between members (doc_id, component) of different components, found by prefix filter, exactly.
+    """Confirmed links between members (doc_id, component) of different components, found exactly by prefix filter.
 
-    Shingles are ordered by how many members hold them, rarest first. Two sets that reach the threshold share one of
-    the first n - ceil(percent * n / 100) + 1 of each.
+    Shingles are ordered by how many members hold them, rarest first. Of two sets that reach the threshold, the smaller
+    one's first n - ceil(2 t n / (1 + t)) + 1 and the larger one's first n - ceil(t n) + 1 share a shingle, and what
+    follows their places is long enough for the overlap. Most members of a shingle are in one component by now; pairs
+    are the others with all, so a large group that is one component costs its size and not the square of it.
     """
-    grams = cut(members.join(sets, "doc_id").select("doc_id", "component", "grams").mapInArrow(_prefixes, "doc_id long, component long, n long, gram long"))
-    held = grams.groupBy("gram").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
+    grams = members.join(sets, "doc_id").select("doc_id", "component", "grams").mapInArrow(_prefixes, "doc_id long, component long, n long, gram long")
+    by_part = grams.groupBy("gram", "component").agg(F.count("*").alias("times"))
+    held = by_part.groupBy("gram").agg(F.sum("times").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("times", "component")).alias("main"))
     # A shingle of one component takes its place in the order but brings no pair.
     ranked = grams.join(held, "gram").withColumn("place", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY held, gram)"))
-    heads = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("low < high").select("gram", "doc_id", "component", "n")
-    a, b = heads.alias("a"), heads.alias("b")
-    pairs = a.join(b, F.expr(f"a.gram = b.gram AND a.component < b.component AND least(a.n, b.n) * 100 >= {percent} * greatest(a.n, b.n)"))
-    return _confirm(pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct(), sets, percent)
+    heads = ranked.where("low < high").where(f"place <= n - ({percent} * n + 99) div 100 + 1").select("gram", "doc_id", "component", "n", "place", (F.col("component") != F.col("main")).alias("other"))
+    heads = heads.withColumn("brief", F.expr(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1"))
+    heads = cut(heads)
+    test = f"""a.gram = b.gram AND a.component <> b.component AND (a.n < b.n OR a.n = b.n AND a.doc_id < b.doc_id) AND a.n * 100 >= {percent} * b.n
+      AND 1 + least(a.n - a.place, b.n - b.place) >= ({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent}"""
+    pairs = None
+    for small, large in (("brief AND other", "true"), ("brief AND NOT other", "other")):
+        found = heads.where(small).alias("a").join(heads.where(large).alias("b"), F.expr(test)).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return _confirm(pairs.distinct(), sets, percent)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -199,15 +209,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     key = ["set_1", "set_2", "n_shingles"]
     classes = filled.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     # One row per representative: rows that share an id and a set are alike.
-    reps = filled.join(classes, key).where("doc_id = rep").dropDuplicates([*key, "rep"])
-    keyed = cut(reps.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")))
-    buckets = keyed.groupBy("band").agg(F.min("doc_id").alias("center"), F.min(F.struct("doc_id", "n"))["n"].alias("n_center"), F.count("*").alias("size")).where("size > 1")
-    found = cut(keyed.join(buckets, "band").select("band", "doc_id", "n", "center", "n_center"))
+    reps = cut(filled.join(classes, key).where("doc_id = rep").dropDuplicates([*key, "rep"]).select("doc_id", "n_shingles", "bands"))
+    keyed = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    buckets = keyed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    found = cut(keyed.join(buckets, "band").select("band", "doc_id", "n", "size"))
+    # The star's center is the member that stands in the largest buckets: the least edited of a group, as a rule.
+    weight = found.groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    center = F.max_by(F.struct("doc_id", "n"), F.struct("weight", -F.col("doc_id")))
+    centers = found.join(weight, "doc_id").groupBy("band").agg(center.alias("c")).select("band", F.col("c.doc_id").alias("center"), F.col("c.n").alias("n_center"))
 
     involved = found.select("doc_id").distinct()
     bodies = docs.where("doc_id IS NOT NULL").mapInArrow(compressed, "doc_id long, body binary")
     sets = cut(bodies.join(involved, "doc_id").mapInArrow(lambda it: _sets(it, words), "doc_id long, n long, grams binary").dropDuplicates(["doc_id"]))
-    stars = found.where(f"doc_id <> center AND least(n, n_center) * 100 >= {percent} * greatest(n, n_center)").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct()
+    stars = found.join(centers, "band").where(f"doc_id <> center AND least(n, n_center) * 100 >= {percent} * greatest(n, n_center)").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct()
     links = cut(_confirm(stars, sets, percent))
     parts = components(links)
 
