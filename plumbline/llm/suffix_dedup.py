@@ -4,9 +4,10 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (
 document). Sorting every suffix of a corpus would ship each byte a hundred times, so shards hold only what can match:
 
 1. Every window of LENGTH bytes has an *anchor*, the leftmost least-hash gram in it; equal windows have equal anchor
-   grams. Grams are counted in Spark (two shuffles of about one row per 43 bytes), and only those seen twice go on.
-2. For each such anchor the stretch of text whose windows it anchors goes to the shard of its gram. A gram seen more
-   than ``SHARD_ROWS`` times is dealt over several shards.
+   grams. What repeats within a text is found where the text is read, by a shard of its own. Grams are counted in Spark
+   (two shuffles of about one row per 43 bytes), and only those that two texts hold go on.
+2. For each such anchor the stretch of text whose windows it anchors goes to the shard of its gram, once per text. A
+   gram that more than ``SHARD_ROWS`` texts hold is dealt over several shards.
 3. A shard sorts the suffixes of its stretches by Larsson-Sadakane refinement (groups not yet sorted are split by the
    rank of the suffix h further on, h doubling), finds common prefixes by Kasai's recurrence, and removes all but the
    earliest of each run of windows that share LENGTH bytes.
@@ -28,8 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._bytes import BASE_1, BASE_2, BYTE_1, BYTE_2, Texts, chunks, merged, mix, prefix_hash, signed, span_hash, window_anchors
 from ._graph import cut
@@ -55,64 +58,99 @@ def window_grams(texts: Texts, length: int) -> tuple[np.ndarray, np.ndarray, np.
     eight = _eight_bytes(texts.data)
     hashes = eight * np.uint64(0xD6E8FEB86659FD93)
     hashes[: -(GRAM - 8)] ^= mix(eight[GRAM - 8 :] + np.uint64(0x632BE59BD9B4E019)) if len(eight) > GRAM - 8 else np.uint64(0)
-    hashes = mix(hashes)
+    # 48 bits suffice to count by: what shares a count by chance is told apart by its bytes, and rows are shorter.
+    hashes = mix(hashes) >> np.uint64(16)
     end = np.repeat(texts.offsets[1:], texts.lengths)
     left = end - np.arange(len(texts.data))
-    return hashes, window_anchors(hashes, left >= length, left >= GRAM, length - GRAM + 1), end
+    return hashes, window_anchors(hashes << np.uint64(16), left >= length, left >= GRAM, length - GRAM + 1), end
 
 
-_ANCHORS = "doc_id long, digest_1 long, digest_2 long, grams array<long>, counts array<int>"
+def stretches(texts: Texts, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per anchor, in text order: first window, number of windows, row, gram, and a hash of the bytes of its windows."""
+    hashes, anchors, _ = window_grams(texts, length)
+    first = np.flatnonzero((anchors >= 0) & (anchors != np.append(-1, anchors[:-1])))
+    windows = np.append(0, np.cumsum(anchors >= 0))
+    n = np.diff(windows[np.append(first, len(anchors))])
+    body = span_hash(prefix_hash(BYTE_1[texts.data], BASE_1), first, first + n + length - 1, BASE_1)
+    return first, n, texts.row_of(first), hashes[anchors[first]], body
+
+
+def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of spans, one after the other."""
+    at = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+    return data[at]
+
+
+_SPANS = "array<struct<start:int,end:int>>"
+_ANCHORS = f"doc_id long, digest_1 long, digest_2 long, grams array<long>, own {_SPANS}"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Digest and distinct grams of each text, and what of it repeats within it, by a shard of its own texts."""
     for batch in chunks(batches):
         texts = Texts(batch.column("text"))
-        hashes, anchors, _ = window_grams(texts, length)
-        new = np.flatnonzero((anchors >= 0) & (anchors != np.append(-1, anchors[:-1])))
-        at = np.unique(anchors[new])  # an anchor comes back after another only where hashes tie
-        rows = texts.row_of(at)
-        order = np.lexsort((hashes[at], rows))
-        at, rows = at[order], rows[order]
-        grams = hashes[at]
-        first = np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]) | (rows[1:] != rows[:-1]))) if len(at) else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, len(at))).astype(np.int32)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows[first], minlength=texts.n))]).astype(np.int32))
-        digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(texts.data[a:b]), "<i8") for a, b in zip(texts.offsets[:-1], texts.offsets[1:], strict=True)]).reshape(-1, 2)
+        first, n, row, gram, body = stretches(texts, length)
+        order = np.lexsort((first, body, gram, row))
+        r, g, b = row[order], gram[order], body[order]
+        new_gram = np.append(True, (r[1:] != r[:-1]) | (g[1:] != g[:-1]))[: len(order)]
+        new_body = new_gram | np.append(True, b[1:] != b[:-1])[: len(order)]
+        again = order[~new_body]  # equal to an earlier stretch of the text
+        group = np.cumsum(new_gram) - 1
+        several = np.bincount(group[new_body], minlength=1)[group] > 1 if len(order) else np.zeros(0, bool)
+        mine = np.sort(order[new_body & several])  # stretches that share a gram but not all bytes
+        spans = [(row[again], first[again], first[again] + n[again] + length - 1)]
+        if len(mine):
+            size = n[mine] + length - 1
+            spans.append(sort_stretches(gathered(texts.data, first[mine], size), size, row[mine], first[mine], n[mine], length)[:3])
+        d, a, z = (np.concatenate(x) for x in zip(*spans, strict=True))
+        by = np.argsort(d, kind="stable")
+        d, a, z = d[by], a[by] - texts.offsets[d[by]], z[by] - texts.offsets[d[by]]
+        kept = order[new_gram]
+        digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(texts.data[x:y]), "<i8") for x, y in zip(texts.offsets[:-1], texts.offsets[1:], strict=True)]).reshape(-1, 2)
+
+        def listed(rows: np.ndarray, values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(rows, minlength=texts.n))).astype(np.int32)), values)
+
+        own = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["start", "end"])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(signed(grams[first]))), pa.ListArray.from_arrays(offsets, pa.array(count))],
-            names=["doc_id", "digest_1", "digest_2", "grams", "counts"],
+            [batch.column("doc_id"), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), listed(row[kept], pa.array(signed(gram[kept]))), listed(d, own)],
+            names=["doc_id", "digest_1", "digest_2", "grams", "own"],
         )
 
 
 _STRETCHES = "gram long, part int, parts int, doc_id long, start int, n int, body binary"
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, body, found: [(gram, parts)]) -> per anchor of a found gram the bytes of the n windows that it anchors."""
+def _stretches(batches: Iterator[pa.RecordBatch], length: int, shared: bytes) -> Iterator[pa.RecordBatch]:
+    """(doc_id, body, found: [gram + parts * 2**48]) -> the distinct stretches of the text whose gram other texts hold too."""
+    pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(shared) if shared else None, write_checksum=False, write_content_size=True, write_dict_id=False).compress
     for batch in batches:
-        for a in range(0, batch.num_rows, 32):
-            part = batch.slice(a, 32)
-            rows: list[tuple] = []
-            for doc, raw, found in zip(part.column("doc_id").to_pylist(), unpacked(part.column("body")), part.column("found"), strict=True):
-                if len(raw) < length:
-                    continue
-                known = np.array(found.values.field("gram"))
-                parts = np.array(found.values.field("parts"))
-                order = np.argsort(known)
-                known, parts = known[order], parts[order]
-                texts = Texts(pa.array([raw], pa.binary()).view(pa.string()))
-                hashes, anchors, _ = window_grams(texts, length)
-                grams = signed(hashes)
-                first = np.flatnonzero((anchors >= 0) & (anchors != np.append(-1, anchors[:-1])))
-                n = np.diff(np.append(first, (anchors >= 0).sum()))
-                gram = grams[anchors[first]]
-                at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-                for i in np.flatnonzero(known[at] == gram):
-                    k, p = int(first[i]), int(parts[at[i]])
-                    rows.append((int(gram[i]), (doc * 31 + k) % p if p > 1 else 0, p, doc, k, int(n[i]), raw[k : k + int(n[i]) + length - 1]))
-            if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _STRETCHES.split(", ")])
+        for a in range(0, batch.num_rows, 128):
+            part = batch.slice(a, 128)
+            texts = Texts(pa.array(unpacked(part.column("body")), pa.binary()).view(pa.string()))
+            first, n, row, gram, body = stretches(texts, length)
+            gram = signed(gram)
+            order = np.lexsort((first, body, gram, row))
+            new = np.append(True, (row[order][1:] != row[order][:-1]) | (gram[order][1:] != gram[order][:-1]) | (body[order][1:] != body[order][:-1]))[: len(order)]
+            mine = np.sort(order[new])
+            parts = np.zeros(len(first), np.int64)
+            ends = np.searchsorted(row, np.arange(texts.n + 1))
+            for i, found in enumerate(part.column("found")):
+                packed = found.values.to_numpy()
+                known, split = packed & (2**48 - 1), packed >> 48
+                by = np.argsort(known)
+                at = by[np.minimum(np.searchsorted(known, gram[ends[i] : ends[i + 1]], sorter=by), len(known) - 1)]
+                parts[ends[i] : ends[i + 1]] = np.where(known[at] == gram[ends[i] : ends[i + 1]], split[at], 0)
+            mine = mine[parts[mine] > 0]
+            if not len(mine):
+                continue
+            docs = part.column("doc_id").to_numpy()[row[mine]]
+            start, size = first[mine] - texts.offsets[row[mine]], n[mine] + length - 1
+            dealt = np.where(parts[mine] > 1, (docs * 31 + start) % parts[mine], 0)
+            raw = texts.data
+            bodies = pa.array([pack(raw[x:y].tobytes()) for x, y in zip(first[mine].tolist(), (first[mine] + size).tolist(), strict=True)], pa.binary())
+            columns = [pa.array(gram[mine]), *(pa.array(x.astype(np.int32)) for x in (dealt, parts[mine])), pa.array(docs), *(pa.array(x.astype(np.int32)) for x in (start, n[mine])), bodies]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _STRETCHES.split(", ")])
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,36 +227,17 @@ def common_prefixes(order: np.ndarray, eight: np.ndarray, starts: np.ndarray, le
 _FOUND = "doc_id long, start int, end int, window_1 long, window_2 long"
 
 
-def _sort_shard(rows: list[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The removed spans of a shard's stretches, and the earliest windows (window_1 set) of grams that other shards hold too."""
-    table = pa.Table.from_batches(rows).combine_chunks().sort_by([("doc_id", "ascending"), ("start", "ascending")])
-    doc, start, n = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "start", "n"))
-    body = table.column("body").combine_chunks()
-    body = body.chunk(0) if isinstance(body, pa.ChunkedArray) else body
-    texts = Texts(body.view(pa.string()))
-    # Equal stretches of one shard: all but the earliest go whole.
-    hashes = [span_hash(prefix_hash(b[texts.data], m), texts.offsets[:-1], texts.offsets[1:], m) for b, m in ((BYTE_1, BASE_1), (BYTE_2, BASE_2))]
-    order = np.lexsort((np.arange(len(doc)), hashes[1], hashes[0]))
-    same = np.append(False, (hashes[0][order][1:] == hashes[0][order][:-1]) & (hashes[1][order][1:] == hashes[1][order][:-1]))
-    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-    again = np.zeros(len(doc), bool)
-    again[order] = same & ((doc[order] != doc[lead]) | (start[order] != start[lead]))
-    spans = [(doc[again], start[again], start[again] + n[again] + length - 1)]
-    alone = np.ones(len(doc), bool)
-    alone[order[same]] = False
-    keep = np.flatnonzero(alone)
-    data = np.concatenate([texts.data[texts.offsets[k] : texts.offsets[k + 1]] for k in keep])
-    size = texts.lengths[keep]
+def sort_stretches(data: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Documents, starts and ends of the removed spans of the stretches (in order of occurrence, their bytes in ``data``),
+    then places in ``data`` of the earliest of each distinct window, with the stretch of each place."""
     starts = np.cumsum(size) - size
     order, eight = suffix_array(data, length)
     prefix = common_prefixes(order, eight, starts, length)
     # Runs of suffixes that share LENGTH bytes; only windows of a stretch count, and text order is order of occurrence.
-    lane = np.repeat(np.arange(len(keep)), size)
+    lane = np.repeat(np.arange(len(size)), size)
     within = np.arange(len(data)) - starts[lane]
-    window = within < n[keep][lane]
-    run = np.cumsum(prefix < length)
-    mine = window[order]
-    order, run = order[mine], run[mine]
+    mine = (within < n[lane])[order]
+    order, run = order[mine], np.cumsum(prefix < length)[mine]
     earliest = np.full(int(run.max(initial=0)) + 1, len(data), np.int64)
     np.minimum.at(earliest, run, order)
     gone = np.zeros(len(data) + 1, bool)
@@ -227,17 +246,46 @@ def _sort_shard(rows: list[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
     edge[starts] = True
     begin = np.flatnonzero(gone & (edge | ~np.append(False, gone[:-1])))
     stop = np.flatnonzero(gone & (np.append(edge[1:], True) | ~np.append(gone[1:], False))) + 1
-    spans.append((doc[keep][lane[begin]], start[keep][lane[begin]] + within[begin], start[keep][lane[begin]] + within[begin] + (stop - begin) + length - 1))
+    a = start[lane[begin]] + within[begin]
+    heads = np.sort(earliest[np.unique(run)])
+    return doc[lane[begin]], a, a + (stop - begin) + length - 1, heads, lane[heads]
+
+
+def _sort_shard(rows: list[pa.RecordBatch], length: int, unpack) -> Iterator[pa.RecordBatch]:
+    """The removed spans of a shard's stretches, and the earliest windows (end -1) of grams that other shards hold too."""
+    table = pa.Table.from_batches(rows).combine_chunks().sort_by([("doc_id", "ascending"), ("start", "ascending")])
+    gram, doc, start, n = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "doc_id", "start", "n"))
+    texts = Texts(pa.array([unpack(x) for x in table.column("body").to_pylist()], pa.binary()).view(pa.string()))
+    # Equal stretches of one shard: all but the earliest go whole.
+    hashes = [span_hash(prefix_hash(b[texts.data], m), texts.offsets[:-1], texts.offsets[1:], m) for b, m in ((BYTE_1, BASE_1), (BYTE_2, BASE_2))]
+    order = np.lexsort((np.arange(len(doc)), hashes[1], hashes[0]))
+    same = np.append(False, (hashes[0][order][1:] == hashes[0][order][:-1]) & (hashes[1][order][1:] == hashes[1][order][:-1]))
+    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    again = np.zeros(len(doc), bool)
+    again[order] = same & ((doc[order] != doc[lead]) | (start[order] != start[lead]))
+    spans = [(doc[again], start[again], start[again] + n[again] + length - 1)]
+    alone = np.ones(len(doc), bool)
+    alone[order[same]] = False
+    # A gram with one stretch left holds no more repeats, unless other shards do.
+    dealt = table.column("parts").to_numpy() > 1
+    _, number, times = np.unique(gram[alone], return_inverse=True, return_counts=True)
+    keep = np.flatnonzero(alone)
+    keep = keep[(times[number] > 1) | dealt[keep]]
+    if len(keep):
+        size = texts.lengths[keep]
+        data = gathered(texts.data, texts.offsets[:-1][keep], size)
+        *found, at, lane = sort_stretches(data, size, doc[keep], start[keep], n[keep], length)
+        spans.append(tuple(found))
+        more = dealt[keep][lane]
+        if more.any():
+            at, lane = at[more], keep[lane[more]]
+            w = [span_hash(prefix_hash(v[data], m), at, at + length, m) for v, m in ((BYTE_1, BASE_1), (BYTE_2, BASE_2))]
+            begin = np.zeros(len(doc), np.int64)
+            begin[keep] = np.cumsum(size) - size
+            yield _found(doc[lane], start[lane] + at - begin[lane], np.full(len(at), -1), w[0], w[1])
     d, a, b = (np.concatenate(x) for x in zip(*spans, strict=True))
     # Removed spans are spread by document; they only pass through the merge.
     yield _found(d, a, b, mix(d.astype(np.uint64)), np.zeros(len(d), np.uint64))
-    dealt = table.column("parts").to_numpy()[keep] > 1
-    if dealt.any():
-        at = np.sort(earliest[np.unique(run)])
-        at = at[dealt[lane[at]]]
-        w = [span_hash(prefix_hash(v[data], m), at, at + length, m) for v, m in ((BYTE_1, BASE_1), (BYTE_2, BASE_2))]
-        where = start[keep][lane[at]] + within[at]
-        yield _found(doc[keep][lane[at]], where, np.full(len(at), -1), w[0], w[1])
 
 
 def _found(doc: np.ndarray, start: np.ndarray, end: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> pa.RecordBatch:
@@ -245,8 +293,9 @@ def _found(doc: np.ndarray, start: np.ndarray, end: np.ndarray, w1: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in _FOUND.split(", ")])
 
 
-def _sort_shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _sort_shards(batches: Iterator[pa.RecordBatch], length: int, shared: bytes) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (gram, part); shards are cut between those groups, so that equal windows stay together."""
+    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared) if shared else None).decompress
     held: list[pa.RecordBatch] = []
     size, last = 0, None
     for batch in batches:
@@ -254,19 +303,29 @@ def _sort_shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         new = np.append(True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1]))
         new[0] = last != (gram[0], part[0])
         ends = np.append(np.flatnonzero(new), batch.num_rows)
-        lengths = np.cumsum(np.append(0, np.diff(np.frombuffer(batch.column("body").buffers()[1], np.int32)[batch.column("body").offset :][: batch.num_rows + 1])))
+        lengths = np.append(0, np.cumsum(batch.column("n").to_numpy().astype(np.int64) + length - 1))
         a = 0
         for b in ends:  # what comes before b may be closed at b
             if b > a:
                 held.append(batch.slice(a, b - a))
                 size += int(lengths[b] - lengths[a])
                 a = b
-            if size >= SHARD_BYTES and (b < batch.num_rows):
-                yield from _sort_shard(held, length)
+            if size >= SHARD_BYTES and b < batch.num_rows:
+                yield from _sort_shard(held, length, unpack)
                 held, size = [], 0
         last = gram[-1], part[-1]
     if held:
-        yield from _sort_shard(held, length)
+        yield from _sort_shard(held, length, unpack)
+
+
+def _dictionary(docs: DataFrame) -> bytes:
+    """A compression dictionary from the beginnings of a few hundred texts. It only makes short stretches smaller to ship."""
+    rows = docs.where("text IS NOT NULL").select(F.substring("text", 1, 1500).alias("text")).limit(400).collect()
+    samples = [r.text[i : i + 130].encode() for r in rows for i in range(0, len(r.text), 130)]
+    try:
+        return zstandard.train_dictionary(16_384, samples).as_bytes()
+    except zstandard.ZstdError:  # too little text to learn from
+        return b""
 
 
 def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -292,39 +351,48 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["doc_id", "start", "end"])
 
 
-def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(bodies, removed): every document's compressed text with a key of its digest, and per document the removed spans.
+def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(bodies, removed) of rows (doc_id, text, ...) with an id: every row with its text compressed, and what goes, by id.
 
-    removed has doc_id, digest_1 and spans (array of start and end in bytes, not merged yet); copies have one whole span.
+    removed has doc_id, lead (the smallest id of the same text), digest_1 and spans (array of start and end in bytes,
+    not merged yet; null for copies, of which all goes).
     """
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    known = docs.where("doc_id IS NOT NULL")
+    known = docs.select("doc_id", "text")
     anchors = cut(known.mapInArrow(lambda it: _anchor_rows(it, length), _ANCHORS))
     # One text per id; and of equal texts the smallest id stays.
-    texts = anchors.groupBy("doc_id").agg(F.min(F.struct("digest_1", "digest_2")).alias("d")).select("doc_id", "d.*")
+    texts = anchors.groupBy("doc_id").agg(F.min(F.struct("digest_1", "digest_2", "own")).alias("d")).select("doc_id", "d.*")
     leads = texts.groupBy("digest_1", "digest_2").agg(F.min("doc_id").alias("lead"))
-    placed = cut(texts.join(leads, ["digest_1", "digest_2"]).select("doc_id", "digest_1", "lead"))
-    seen = anchors.select("doc_id", F.explode(F.arrays_zip("grams", "counts")).alias("x")).select("doc_id", F.col("x.grams").alias("gram"), F.col("x.counts").alias("n"))
-    twice = seen.groupBy("gram").agg(F.sum("n").alias("times")).where("times > 1").select("gram", F.ceil(F.col("times") / SHARD_ROWS).cast("int").alias("parts"))
-    found = seen.select("doc_id", "gram").join(twice, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "parts")).alias("found"))
-    bodies = known.mapInArrow(compressed, "doc_id long, body binary")
+    placed = texts.join(leads, ["digest_1", "digest_2"]).select("doc_id", "digest_1", "lead", F.when(F.col("doc_id") == F.col("lead"), F.col("own")).alias("own"))
+    placed = cut(placed)
+    seen = anchors.select("doc_id", F.explode("grams").alias("gram"))
+    twice = seen.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram", F.least(F.ceil(F.col("times") / SHARD_ROWS), F.lit(32767)).alias("parts"))
+    found = seen.join(twice, "gram").groupBy("doc_id").agg(F.collect_list(F.col("gram") + F.shiftleft("parts", 48)).alias("found"))
+    # The filter is what the inner join below implies; with it here both joins read one shuffle of the texts.
+    bodies = docs.mapInArrow(compressed, _with_body(docs)).where("doc_id IS NOT NULL")
+    shared = _dictionary(known)
     wanted = found.join(placed.where("doc_id = lead"), "doc_id").select("doc_id", "found")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = bodies.join(wanted, "doc_id").mapInArrow(lambda it: _stretches(it, length), _STRETCHES).repartition(n, "gram", "part").sortWithinPartitions("gram", "part")
-    shards = dealt.mapInArrow(lambda it: _sort_shards(it, length), _FOUND)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = bodies.select("doc_id", "body").join(wanted, "doc_id").mapInArrow(lambda it: _stretches(it, length, shared), _STRETCHES).repartition(n, "gram", "part").sortWithinPartitions("gram", "part")
+    shards = dealt.mapInArrow(lambda it: _sort_shards(it, length, shared), _FOUND)
     merge = shards.repartition(n, "window_1").sortWithinPartitions("window_1", "window_2", "doc_id", "start").mapInArrow(lambda it: _merge(it, length), "doc_id long, start int, end int")
     removed = merge.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return bodies, placed.join(removed, "doc_id", "left")
+    empty = F.array().cast(_SPANS)
+    every = F.concat(F.coalesce("own", empty), F.coalesce("spans", empty)).alias("spans")
+    return bodies, placed.join(removed, "doc_id", "left").select("doc_id", "digest_1", "lead", every)
+
 
+def _with_body(docs: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("body", T.BinaryType()), *(f for f in docs.schema if f.name not in ("doc_id", "text"))])
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
-            rows = []
+            rows, rests = [], []
             for doc, raw, lead, digest, found in zip(part.column("doc_id").to_pylist(), unpacked(part.column("body")), part.column("lead").to_pylist(), part.column("digest_1").to_pylist(), part.column("spans"), strict=True):
                 start = end = np.zeros(0, np.int64)
                 if lead is not None and digest == int(np.frombuffer(xxhash.xxh3_128_digest(raw), "<i8")[0]):
@@ -333,19 +401,39 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Ite
                     elif lead == doc and found.is_valid and len(found.values):
                         start, end = merged(found.values.field("start").to_numpy().astype(np.int64), found.values.field("end").to_numpy().astype(np.int64), len(raw))
                 kept = b"".join(raw[x:y] for x, y in zip(np.append(0, end), np.append(start, len(raw)), strict=True)) if len(start) else raw
-                rows.append((doc, len(raw), len(raw) - len(kept), len(start), hashlib.sha256(kept).hexdigest(), kept if texts else None))
-            kinds = (*[pa.int64()] * 4, pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _RESULT.split(", ")])
-
-
-def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, texts: bool = False) -> DataFrame:
-    """Per document what was removed and a digest of the rest; with ``texts`` also the rest itself (bytes)."""
-    bodies, removed = spans(df, id_col, text_col, length)
-    joined = bodies.join(removed, "doc_id", "left").select("doc_id", "body", "lead", "digest_1", "spans")
-    out = joined.mapInArrow(lambda it: _cut_out(it, length, texts), _RESULT)
-    lost = df.where(df[id_col].isNull()).select(F.encode(F.coalesce(df[text_col].cast("string"), F.lit("")), "UTF-8").alias("kept"))
-    lost = lost.select(F.lit(None).cast("long").alias("doc_id"), F.length("kept").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept" if texts else F.lit(None).cast("binary").alias("kept"))
-    return out.unionByName(lost)
+                rests.append(kept)
+                rows.append((doc, len(raw), len(raw) - len(kept), len(start), hashlib.sha256(kept).hexdigest()))
+            if texts:
+                # A cut may fall within a code point; what is left of it is dropped.
+                strings = [x.decode("utf-8", "ignore") for x in rests]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(strings, pa.string()), part.column("rest")], names=["doc_id", "text", "rest"])
+            else:
+                kinds = (*[pa.int64()] * 4, pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _RESULT.split(", ")])
+
+
+def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """Per document what was removed and a digest of the rest."""
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+    bodies, removed = spans(docs.where("doc_id IS NOT NULL"), length)
+    out = bodies.join(removed, "doc_id", "left").select("doc_id", "body", "lead", "digest_1", "spans").mapInArrow(lambda it: _cut_out(it, length, False), _RESULT)
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    zero = F.lit(0).cast("long")
+    whole = docs.where("doc_id IS NULL").select("doc_id", F.length(body).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(body, 256).alias("kept_sha256"))
+    return out.unionByName(whole)
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """The same rows and columns, the text without what is removed; a text that all goes of is empty, a null one too."""
+    kept = df.where(df[id_col].isNull())
+    docs = df.where(df[id_col].isNotNull())
+    rest = [c for c in df.columns if c not in (id_col, text_col)]
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[docs[c] for c in rest]).alias("rest"))
+    bodies, removed = spans(docs, length)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), docs.schema["rest"]])
+    out = bodies.join(removed, "doc_id", "left").select("doc_id", "body", "lead", "digest_1", "spans", "rest").mapInArrow(lambda it: _cut_out(it, length, True), schema)
+    columns = {id_col: F.col("doc_id").cast(df.schema[id_col].dataType), text_col: F.col("text")}
+    return out.select(*[columns[c].alias(c) if c in columns else F.col("rest")[c].alias(c) for c in df.columns]).unionByName(kept)
 
 
 #: The same rows in SQL, over the hexadecimal form of the bytes.
