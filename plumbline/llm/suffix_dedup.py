@@ -362,6 +362,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     # One text per id; and of equal texts the smallest id stays.
     texts = anchors.groupBy("doc_id").agg(F.min(F.struct("digest_1", "digest_2", "own")).alias("d")).select("doc_id", "d.*")
     leads = texts.groupBy("digest_1", "digest_2").agg(F.min("doc_id").alias("lead"))
+    leads = cut(leads)  # so that the join below is one that adaptive execution can split where many rows are copies
     placed = texts.join(leads, ["digest_1", "digest_2"]).select("doc_id", "digest_1", "lead", F.when(F.col("doc_id") == F.col("lead"), F.col("own")).alias("own"))
     placed = cut(placed)
     seen = anchors.select("doc_id", F.explode("grams").alias("gram"))
