@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import money, text
-from plumbline.operators import aggregates, bills, changes, facets, joins, sales, state, windows
+from plumbline.operators import aggregates, bills, changes, facets, figures, joins, sales, state, windows
 from plumbline.sources import extract, readers
 from plumbline.streaming import events as streams
 
@@ -376,6 +376,30 @@ def agg_without_children(t: Tables) -> DataFrame:
     return aggregates.without_children(t.customer, t.orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "c_nationkey")
 
 
+@query("""
+WITH d AS (SELECT l_suppkey AS boat, l_returnflag AS trip, CAST(o_orderdate AS DATE) AS a, CAST(l_shipdate AS DATE) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+n AS (SELECT boat, trip, b - a AS nights, count(*) AS n, min(a) AS first, max(a) AS last FROM d WHERE b - a BETWEEN 1 AND 30 GROUP BY ALL)
+SELECT boat, trip, CAST(arg_min(nights, (-n, nights)) AS INTEGER) AS nights, sum(n) AS departures, min(first) AS first, max(last) AS last FROM n GROUP BY boat, trip
+""", dates=("first", "last"), longs=("departures",))
+def agg_trips(t: Tables) -> DataFrame:
+    """Departures with plausible dates grouped into trips by boat and title, each with its usual length. [AGG01]"""
+    d = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("boat"), F.col("l_returnflag").alias("name"), F.to_date("o_orderdate").alias("start"), F.to_date("l_shipdate").alias("end"))
+    return figures.trips(d)[0]
+
+
+@query("""
+WITH e AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_discount > 0.09), n AS (SELECT count(DISTINCT l_suppkey) AS v, count(*) AS t FROM e),
+o AS (SELECT count(*) AS n, min(o_totalprice) AS least, max(CASE WHEN o_totalprice < 0 THEN 1 END) AS refunded FROM orders)
+SELECT 'estimate.vessels' AS figure, CAST(nullif(v, 0) AS DOUBLE) AS value FROM n UNION ALL SELECT 'estimate.trips', nullif(t, 0) FROM n
+UNION ALL SELECT 'orders.n', n FROM o UNION ALL SELECT 'orders.least', least FROM o UNION ALL SELECT 'orders.refunded', refunded FROM o
+""")
+def agg_stated_figures(t: Tables) -> DataFrame:
+    """Named figures of a report, unknown ones null; among them how far an estimate reaches. [AGG19, AGG23]"""
+    lines = t.lineitem.select(F.col("l_suppkey").alias("boat"), F.col("l_orderkey").alias("trip"), (F.col("l_discount") > 0.09).alias("estimated"))
+    totals = t.orders.agg(F.count("*").alias("n"), F.min("o_totalprice").alias("least"), F.max(F.when(F.col("o_totalprice") < 0, 1)).alias("refunded"))
+    return figures.stated_figures({"estimate": figures.estimate_reach(lines), "orders": totals})
+
+
 # --- windows ---------------------------------------------------------------------------------------------------------
 
 _DAYS = "SELECT l_partkey, CAST(l_shipdate AS DATE) AS day, max(CAST(l_discount * 100 AS INTEGER)) AS pct, min(l_suppkey) AS seller FROM lineitem GROUP BY ALL"

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import aggregates, bills, changes, facets, joins, sales, state, windows
+from plumbline.operators import aggregates, bills, changes, facets, figures, joins, sales, state, windows
 
 
 def rows(df, *order):
@@ -170,3 +170,26 @@ def test_votes_and_strict_sums(spark):
     d = spark.createDataFrame([("k", 2), ("k", 1), ("k", None)], "k string, v int")
     assert aggregates.vote(d, ["k"], "v", "m").first().m == 1 and aggregates.vote(d, ["k"], "v", "m", largest=True).first().m == 2
     assert d.agg(aggregates.strict_sum(F.col("v")).alias("s")).first().s is None
+
+
+def test_trips_are_grouped_by_cleaned_title(spark):
+    d = lambda n: dt.date(2027, 1, n)
+    data = [("b", "Reefs (North - South), 20% off", d(1), d(8)), ("b", "Reefs (North - South)", d(8), d(15)), ("b", "Reefs", d(16), d(20)), ("b", " ", d(1), d(3)), (None, "Reefs", d(1), d(8)), ("c", "Reefs", d(8), d(8))]
+    trips, skipped = figures.trips(spark.createDataFrame(data, "boat string, name string, start date, end date"))
+    assert rows(trips.select("boat", "trip", "nights", "departures"), "trip") == [("b", "Reefs", 7, 3), ("b", "Unnamed itinerary", 2, 1)]
+    assert rows(skipped.select("boat", "skipped"), "skipped") == [("c", "implausible dates"), (None, "no boat")]
+
+
+def test_figures_without_rows_are_unknown(spark):
+    none = spark.createDataFrame([("b", 1, None)], "boat string, trip int, estimated boolean")
+    got = figures.stated_figures({"estimate": figures.estimate_reach(none), "rows": none.agg(F.count("*").alias("n"))})
+    assert rows(got, "figure") == [("estimate.trips", None), ("estimate.vessels", None), ("rows.n", 1.0)]
+
+
+def test_optional_lines_and_sites(spark):
+    e = spark.createDataFrame([("b", 0, "Gear set (full)", "per trip", 90.0, "EUR", "mask, fins"), ("b", 1, "Gear set", "per course", 1.0, "EUR", None), ("b", 2, "Espresso", "per trip", 2.0, "EUR", None), ("b", 3, "Nitrox", "Per Dive", None, None, "")], "bill_id string, position int, title string, paid_per string, amount double, currency string, contents string")
+    got = figures.optional_lines(e, [("(?i)gear", "gear"), ("(?i)nitrox", "nitrox")], "(?i)package", ["(?i)park", "(?i)port"], "combined")
+    assert rows(got.select("position", "code", "basis", "amount", "note", "tier"), "position") == [(0, "gear", "per_trip", 90.0, "Gear set (full): mask, fins", "optional"), (3, "nitrox", "per_dive", None, "Nitrox", "optional")]
+    hints = [("far reef", "Far Reef"), ("near reef", "Near Reef")]
+    d = spark.createDataFrame([(["at sea", "<p>Near Reef</p>"], "Far Reef"), ([], "Far Reef"), (None, None)], "days array<string>, blurb string")
+    assert [r[0] for r in d.select(figures.sites_of_trip(F.col("days"), F.col("blurb"), hints)).collect()] == [["Near Reef"], ["Far Reef"], []]
