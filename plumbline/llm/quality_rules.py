@@ -25,6 +25,8 @@ MOST_CONDITIONS, MOST_RULES = 4, 12
 #: Share of rejected rows that must be of low quality, on the grown and on the pruned rows, and the least number of them.
 PRECISION, LEAST_COVERED = 0.97, 8
 THRESHOLDS = 48
+#: A good row weighs as much as so many low-quality ones while a rule grows: rejecting it is the worse mistake.
+GOOD_WEIGHT = 20
 #: Fixed values of the base rule.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
 
@@ -56,7 +58,7 @@ def grow(x: np.ndarray, bad: np.ndarray) -> Rule:
     inside = np.ones(len(x), bool)
     while len(rule) < MOST_CONDITIONS and (~bad & inside).any():
         p, n = (bad & inside).sum(), (~bad & inside).sum()
-        before, best = np.log2(p / (p + n)), (0.0, None)
+        before, best = np.log2(p / (p + GOOD_WEIGHT * n)), (0.0, None)
         for f, name in enumerate(_stats.FEATURES):
             values = np.sort(x[inside, f])
             # Midpoints between neighbouring quantiles: a threshold that no row sits on.
@@ -67,7 +69,7 @@ def grow(x: np.ndarray, bad: np.ndarray) -> Rule:
             for above in (True, False):
                 got = [len(o) - np.searchsorted(o, cuts, "left") if above else np.searchsorted(o, cuts, "right") for o in order]
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = np.where(got[0] > 0, got[0] * (np.log2(got[0] / (got[0] + got[1])) - before), 0.0)
+                    gain = np.where(got[0] > 0, got[0] * (np.log2(got[0] / (got[0] + GOOD_WEIGHT * got[1])) - before), 0.0)
                 if len(gain) and (top := int(np.argmax(gain))) is not None and gain[top] > best[0] + 1e-9:
                     best = float(gain[top]), Condition(name, above, float(cuts[top]))
         if best[1] is None:
