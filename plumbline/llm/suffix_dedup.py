@@ -4,7 +4,7 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (
 document). Sorting every suffix of a corpus would ship each byte a hundred times, so shards hold only what can match:
 
 1. Every window of LENGTH bytes has an *anchor*, the leftmost least-hash gram in it; equal windows have equal anchor
-   grams. What repeats within a text is found where the text is read, by a shard of its own. Grams are counted in Spark
+   grams. What repeats within a text is found where the text is read, each text for itself. Grams are counted in Spark
    (two shuffles of about one row per 43 bytes), and only those that two texts hold go on.
 2. For each such anchor the stretch of text whose windows it anchors goes to the shard of its gram, once per text. A
    gram that more than ``SHARD_ROWS`` texts hold is dealt over several shards.
@@ -101,7 +101,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         spans = [(row[again], first[again], first[again] + n[again] + length - 1)]
         if len(mine):
             size = n[mine] + length - 1
-            spans.append(sort_stretches(gathered(texts.data, first[mine], size), size, row[mine], first[mine], n[mine], length)[:3])
+            spans.append(sort_stretches(gathered(texts.data, first[mine], size), size, row[mine], first[mine], n[mine], length, apart=True)[:3])
         d, a, z = (np.concatenate(x) for x in zip(*spans, strict=True))
         by = np.argsort(d, kind="stable")
         d, a, z = d[by], a[by] - texts.offsets[d[by]], z[by] - texts.offsets[d[by]]
@@ -227,9 +227,11 @@ def common_prefixes(order: np.ndarray, eight: np.ndarray, starts: np.ndarray, le
 _FOUND = "doc_id long, start int, end int, window_1 long, window_2 long"
 
 
-def sort_stretches(data: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def sort_stretches(data: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, length: int, apart: bool = False) -> tuple[np.ndarray, ...]:
     """Documents, starts and ends of the removed spans of the stretches (in order of occurrence, their bytes in ``data``),
-    then places in ``data`` of the earliest of each distinct window, with the stretch of each place."""
+    then places in ``data`` of the earliest of each distinct window, with the stretch of each place.
+
+    With ``apart`` a window counts as repeated only within its document, whatever else the others hold."""
     starts = np.cumsum(size) - size
     order, eight = suffix_array(data, length)
     prefix = common_prefixes(order, eight, starts, length)
@@ -238,6 +240,9 @@ def sort_stretches(data: np.ndarray, size: np.ndarray, doc: np.ndarray, start: n
     within = np.arange(len(data)) - starts[lane]
     mine = (within < n[lane])[order]
     order, run = order[mine], np.cumsum(prefix < length)[mine]
+    if apart:  # equal windows stand in text order, so those of a document lie together
+        of = doc[lane[order]]
+        run = np.cumsum(np.append(0, (run[1:] != run[:-1]) | (of[1:] != of[:-1])))[: len(order)]
     earliest = np.full(int(run.max(initial=0)) + 1, len(data), np.int64)
     np.minimum.at(earliest, run, order)
     gone = np.zeros(len(data) + 1, bool)

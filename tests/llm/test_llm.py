@@ -161,6 +161,21 @@ def test_suffix_dedup_keeps_columns(docs, corpus):
     assert all(r.text == want[r.doc_id] and r.source == "s" and r.rest == "r" for r in out.collect() if r.doc_id is not None)
 
 
+@pytest.mark.parametrize("ids", [(50, 7), (7, 50), (50, 7, 9, 3)])
+def test_suffix_dedup_of_repeats_that_texts_share(spark, ids):
+    """Texts that repeat the same line within them, whatever the order they are read in; the last two of four are exact copies."""
+    rng = random.Random(11)
+    line = passage(rng, 12)
+    texts = [f"{passage(rng, 30)}\n" + f"{line}\n" * 30 + passage(rng, 30) for _ in ids]
+    rows = [(i, texts[min(k, 2)]) for k, i in enumerate(ids)]
+    got = by_id(suffix_dedup.removal(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)))
+    want = _removed_bytes(rows, 100)
+    assert all(line.encode() in raw for raw, _ in want.values()) and len(got) == len(ids)
+    for i, (raw, gone) in want.items():
+        kept = bytes(np.frombuffer(raw, np.uint8)[~gone])
+        assert (got[i].n_removed, got[i].kept_sha256) == (int(gone.sum()), hashlib.sha256(kept).hexdigest()), i
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.RandomState(2)
     for alphabet, n in ((2, 700), (4, 900), (1, 300)):
