@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
 Three patterns (assignments, access keys, hexadecimal runs) are the base. Beside them, every candidate string (a run
-of key characters holding letters and digits) is read through a sliding window whose character counts are updated
-incrementally; windows whose entropy reaches the threshold of their character class merge into one ``entropy`` span.
+of key characters holding letters and digits, or letters of both cases) is read through a sliding window whose character
+counts are updated incrementally; where a window's entropy reaches the threshold of its character class, the whole
+candidate string is one ``entropy`` span, so that no part of a key stays. Letters of one case alone are taken for words.
 An allow-list takes out what is random by design but public (UUIDs, dates, version strings, digests of lock files).
 
 Defined results: a null or empty text has no secrets; an empty table gives no rows; repeated rows are each scanned;
@@ -30,13 +31,16 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Strings of key characters; those without a letter or a digit are words or numbers and can't be keys.
+#: Strings of key characters; those of digits only, or of letters of one case, are numbers or words and can't be told from keys.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WINDOW = 20
-#: Bits that a window must reach, by the class of its characters: 20 random ones have 3.4 (16 symbols) to 4.1 (64 symbols).
-THRESHOLDS = {"hex": 3.0, "alnum": 3.5, "base64": 3.7}
-#: A window holds so many digits and so many letters at least.
+#: Bits that a window of WINDOW characters must reach, by class: 20 random ones have 3.4 (16 symbols) to 4.1 (64 symbols).
+#: Shorter windows need the same share of the most they can have.
+THRESHOLDS = {"hex": 3.0, "alnum": 3.5, "base64": 3.7, "mixed": 3.6, "few": 3.9}
+#: A window holds so many letters at least; with so many digits its class is hex, alnum or base64.
 LEAST_OF_EACH = 3
+#: With fewer digits, letters of both cases are a key ("mixed") if so large a share of neighbours differ in kind; words do so less.
+TURNS = 0.3
 #: Strings that are random by design and public.
 ALLOW = (
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
@@ -44,30 +48,57 @@ ALLOW = (
     r"sha(256|384|512)-[A-Za-z0-9+/]+={0,2}",
 )
 _HEX_SET, _DIGITS = frozenset("0123456789abcdefABCDEF"), frozenset("0123456789")
+_KIND = str.maketrans({chr(c): "d" if chr(c).isdigit() else "u" if chr(c).isupper() else "l" if chr(c).islower() else "o" for c in range(128)})
+_TURN = frozenset(("lu", "ul", "ld", "dl", "ud", "du"))
 _BITS = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
 
 
 def entropy_windows(s: str, width: int = WINDOW) -> Iterator[tuple[int, float, str]]:
-    """(start, entropy in bits, class) of each window that mixes letters and digits; a shorter string is one window."""
+    """(start, entropy in bits, class) of each window that may be a key; a shorter string is one window.
+
+    Three digits and three letters make it hex, alnum or base64. With fewer digits, letters of both cases that change
+    often make it mixed (without a digit, two capitals must meet, which words written together avoid), and letters of
+    one case with a digit make it few (unless signs part it into words).
+    """
     width = min(width, len(s))
+    kinds = s.translate(_KIND)
     counts: dict[str, int] = {}
-    weight, digits, other, not_hex = 0.0, 0, 0, 0
+    weight, not_hex, turns, capitals = 0.0, 0, 0, 0
+    of = dict.fromkeys("dulo", 0)
 
-    def put(c: str, by: int) -> None:
-        nonlocal weight, digits, other, not_hex
-        n = counts.get(c, 0)
+    def put(i: int, by: int) -> None:
+        nonlocal weight, not_hex
+        n = counts.get(c := s[i], 0)
         counts[c] = n + by
         weight += _BITS[n + by] - _BITS[n]
-        digits += by * (c in _DIGITS)
-        other += by * (not c.isalnum())
+        of[kinds[i]] += by
         not_hex += by * (c not in _HEX_SET)
 
-    for i, c in enumerate(s):
+    def pair(i: int, by: int) -> None:
+        nonlocal turns, capitals
+        turns += by * ((p := kinds[i : i + 2]) in _TURN)
+        capitals += by * (p == "uu")
+
+    for i in range(len(s)):
         if i >= width:
-            put(s[i - width], -1)
-        put(c, 1)
-        if i >= width - 1 and digits >= LEAST_OF_EACH and width - digits - other >= LEAST_OF_EACH:
-            yield i - width + 1, math.log2(width) - weight / width, "hex" if not not_hex else "base64" if other else "alnum"
+            put(i - width, -1)
+            pair(i - width, -1)
+        put(i, 1)
+        if i and width > 1:
+            pair(i - 1, 1)
+        if i < width - 1 or of["u"] + of["l"] < LEAST_OF_EACH:
+            continue
+        if of["d"] >= LEAST_OF_EACH:
+            kind = "hex" if not not_hex else "base64" if of["o"] else "alnum"
+        elif of["u"] and of["l"]:
+            if turns < TURNS * (width - 1) or not (of["d"] or capitals):
+                continue
+            kind = "mixed"
+        elif of["d"] and of["o"] < 2:
+            kind = "few"
+        else:
+            continue
+        yield i - width + 1, math.log2(width) - weight / width, kind
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -80,7 +111,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], allow: re.Pattern, thresholds: dict[str, float] = THRESHOLDS) -> list[tuple[int, int, int]]:
-    """Maximal runs of high-entropy windows in candidate strings that no base span touches."""
+    """Candidate strings with a high-entropy window, whole, less the base spans in them.
+
+    Beside a base span, what is left counts if a window of its own does, or if letters or digits run on into the span.
+    """
     found: list[tuple[int, int, int]] = []
     taken: list[list[int]] = []  # the union of the base spans
     for a, _, b in base:
@@ -90,21 +124,27 @@ def added_spans(text: str, base: list[tuple[int, int, int]], allow: re.Pattern,
             taken.append([a, b])
     for m in CANDIDATE.finditer(text):
         s, start, end = m[0], *m.span()
-        if sum(map(s.count, "0123456789")) < LEAST_OF_EACH or s.isdigit() or allow.fullmatch(s):
+        if s.isdigit() or not _DIGITS.intersection(s) and (s == s.lower() or s == s.upper()) or allow.fullmatch(s):
+            continue
+        share = math.log2(min(WINDOW, len(s))) / math.log2(WINDOW)
+        near = bisect.bisect_right(taken, [start, end])
+        near -= bool(near and taken[near - 1][1] > start)
+        if near == len(taken) or taken[near][0] >= end:
+            if any(bits >= share * thresholds[kind] for _, bits, kind in entropy_windows(s)):
+                found.append((start, 3, end))
             continue
-        runs: list[list[int]] = []
         width = min(WINDOW, len(s))
-        for i, bits, kind in entropy_windows(s):
-            if bits >= thresholds[kind]:
-                if runs and i <= runs[-1][1]:
-                    runs[-1][1] = i + width
-                else:
-                    runs.append([i, i + width])
-        for a, b in runs:
-            a, b = start + a, start + b
-            near = bisect.bisect_left(taken, [b])
-            if not near or taken[near - 1][1] <= a:
-                found.append((a, 3, b))
+        hits = [start + i for i, bits, kind in entropy_windows(s) if bits >= share * thresholds[kind]]
+        at = start
+        while hits and at < end:
+            a, b = taken[near] if near < len(taken) else (end, end)
+            a = min(a, end)
+            if at < a:
+                own = bisect.bisect_left(hits, at)
+                joined = at > start and text[at - 1 : at + 1].isalnum() or a < end and text[a - 1 : a + 1].isalnum()
+                if joined or own < len(hits) and hits[own] + width <= a:
+                    found.append((at, 3, a))
+            at, near = max(at, b), near + 1
     return found
 
 

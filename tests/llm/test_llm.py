@@ -407,6 +407,28 @@ def test_secrets(spark):
     assert secrets.scan(d.limit(1), allow=[key]).first().spans == ""
 
 
+def test_secrets_of_few_digits_are_found_whole():
+    """Random keys, of whatever digits they have, are covered from end to end; words written together aren't keys."""
+    rng = random.Random(21)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    allow = secrets._allow(())
+    for alphabet, size, least in ((base64, 16, 0.95), (base64, 20, 0.98), (base64, 32, 0.99), (base64, 40, 0.99), (base64[:62], 20, 0.98), (base64[:62], 40, 0.99), (base64[:52], 20, 0.9), (base64[:52], 32, 0.98)):
+        whole = 0
+        for _ in range(1000):
+            key = "".join(rng.choice(alphabet) for _ in range(size))
+            spans = secrets.find(f"use {key} now", allow)[1]
+            at = 4
+            for a, _, b in spans:
+                at = max(at, b) if a <= at else at
+            whole += at >= 4 + size
+        assert whole >= least * 1000, (len(alphabet), size, whole)
+    for text in ("donaudampfschifffahrtsgesellschaft", "AbstractSingletonProxyFactoryBean", "getUserNameByIdFromDatabase", "/usr/local/lib/python3/dist-packages", "a-long-slug-of-2-words-and-1-more", "INTERNATIONALIZATION_TABLES"):
+        assert secrets.find(text, allow)[1] == [], text
+    key = "xK9vQ2mLp7RtZ4wYb80123456789abcdef01Gh2KqT"
+    spans = secrets.find(f"use {key} now", allow)[1]
+    assert "".join(f"use {key} now"[a:b] for a, _, b in spans) == key
+
+
 def test_entropy_is_incremental():
     import math
 
