@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -30,33 +31,38 @@ CAPACITY = 1024
 SEPARATOR = 0
 #: Rests that are packed together; bounds the memory and time of one differencing.
 GROUP = 192
+#: Longer texts are read by the tokenizer of the JSON file itself.
+FAST_CHARS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
 
 @functools.cache
 def encoder(name: str = "byte_bpe_50k"):
-    """text -> ids. The ranks hold the vocabulary of the .json file of the same name and give the same ids, faster."""
+    """text -> ids. The ranks hold the vocabulary of the .json file of the same name and give the same ids, faster.
+
+    Added tokens of the file (the mark of a text's end) are matched in the text, as the file's tokenizer does by default.
+    """
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     @functools.cache
     def plain():
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        tokenizer.encode_special_tokens = True
-        return tokenizer
+        return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
 
     def encode(text: str) -> np.ndarray:
-        # Past this size one run of white space or letters can exhaust the pattern engine's stack.
-        if len(text) > 400_000:
+        # Past that size one run of white space or letters can exhaust the pattern engine's stack.
+        if len(text) > FAST_CHARS:
             return np.array(plain().encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(fast.encode_ordinary(text), np.uint32)
+        return np.array(fast.encode(text, allowed_special="all"), np.uint32)
 
     return encode
 

@@ -291,6 +291,22 @@ def test_packing(docs, corpus):
         assert at <= 1024
 
 
+@pytest.mark.parametrize("chars", [400_000, 0])
+def test_packing_ids_of_added_tokens(chars, monkeypatch):
+    """Either path gives the ids of the JSON file's tokenizer with its defaults, also on texts that hold its end mark."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "FAST_CHARS", chars)
+    t, encode, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(), random.Random(4)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "\n\n", "  ", "a", "don't", "é", "123", "<|im_start|>", "word "]
+    texts = ["a<|endoftext|>b", " <|endoftext|>\n\n", ""] + ["".join(rng.choice(parts) for _ in range(12)) for _ in range(300)]
+    for text in texts:
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert encode("a<|endoftext|>b").tolist() == [64, 50256, 65]
+
+
 def test_differencing_balances():
     rng = np.random.RandomState(5)
     sizes = rng.randint(1, 1024, 200)
