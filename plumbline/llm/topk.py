@@ -9,14 +9,19 @@ The query set (every row whose id is divisible by ``every``) grows with the tabl
 ``QUERY_BLOCK`` vectors, each a bounded broadcast (at most 16 MB at 256 components); each block scans the rows once.
 Tasks return k rows a query and block at most, and Spark ranks them.
 
-Defined results: a vector that is null, empty, holds a null or non-finite component, or one beyond 2**16 in size, takes
-no part, nor does a null id; vectors of different lengths aren't compared; repeated rows each count as candidates;
+Doubles are exact while ``|q| * |x|`` is below 2**53. Where it may not be, products in doubles with a bound of their
+rounding only pick the pairs that can be among the best, and these are scored in integers of any length.
+
+Defined results: a vector that is null, empty or holds a null or non-finite component takes no part, nor does a null id;
+a score beyond a long is given as the nearest long and still ranked by its exact value; vectors of different lengths aren't compared; repeated rows each count as candidates;
 ties go to the smaller id; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -29,25 +34,53 @@ SCALE = 1024
 QUERY_BLOCK = 8192
 #: Rows and queries of one step of the search in a task.
 ROWS, QUERIES = 2048, 256
-#: Components beyond this (after scaling 2**26) take no part: sums of products stay exact in a double.
-LARGEST = 2.0**16
-SCHEMA = "query_id long, vec_id long, score long"
+#: Kinds of vectors: products of two PLAIN ones (scaled, shorter than 2**26) are exact in doubles, those of LARGE ones are
+#: near, and HUGE ones (a component beyond HUGE_FROM, whose products can leave the range of a double) are kept as integers.
+PLAIN, LARGE, HUGE = range(3)
+HUGE_FROM = 2.0**390
+SCHEMA = "query_id long, vec_id long, score long, beyond binary"
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
-def scaled(column: pa.Array, ids: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length: ids and the integer vectors (as doubles) of the rows that take part."""
-    groups: dict[int, tuple[list, list]] = {}
+def scaled(column: pa.Array, ids: pa.Array) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """By length and kind: ids and the integer vectors (as doubles, of the huge kind as objects) of the rows that take part."""
+    groups: dict[tuple[int, int], tuple[list, list]] = {}
     for i, v in zip(ids.to_pylist(), column, strict=True):
         if i is None or not v.is_valid or v.values.null_count or not len(v.values):
             continue
         x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-        if np.abs(x).max() <= LARGEST:  # false for NaN
-            at = groups.setdefault(len(x), ([], []))
-            at[0].append(i)
-            at[1].append(np.floor(SCALE * x))
+        most = np.abs(x).max()
+        if not np.isfinite(most):
+            continue
+        if most > HUGE_FROM:
+            kind, x = HUGE, np.array([int(c) * SCALE if abs(c) > 2.0**53 else math.floor(SCALE * c) for c in x.tolist()], object)
+        else:
+            x = np.floor(SCALE * x)
+            kind = PLAIN if x @ x < 2.0**52 else LARGE
+        at = groups.setdefault((len(x), kind), ([], []))
+        at[0].append(i)
+        at[1].append(x)
     return {n: (np.array(a, np.int64), np.stack(b)) for n, (a, b) in groups.items()}
 
 
+def _below(score: int | float) -> float:
+    """A double that isn't above the score."""
+    try:
+        near = float(score)
+    except OverflowError:
+        return float(np.finfo(float).max) if score > 0 else -math.inf
+    return near if near <= score else math.nextafter(near, -math.inf)
+
+
+def _long(score: int) -> tuple[int, bytes]:
+    """The nearest long, and bytes that order the scores which share one of its ends."""
+    if _LEAST < score <= _MOST:
+        return score, b""
+    size = (abs(score).bit_length() + 7) // 8
+    raw = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return (_MOST, raw) if score > 0 else (_LEAST, bytes(255 - x for x in raw))
+
+
 def levels(dim: int) -> list[int]:
     """Numbers of segments, coarse to fine; a level is worth its cost only while it is far smaller than the vector."""
     out, n = [], 1
@@ -68,16 +101,51 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 class Block:
-    """Queries of one length with their statistics and the best k so far."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
-        self.ids, self.x, self.k = ids, x, k
-        self.norm = (x * x).sum(1)
-        self.stats = [statistics(x, n) for n in levels(x.shape[1])]
+    """Queries of one length and kind with their statistics and the best k so far."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, kind: int = PLAIN):
+        self.ids, self.x, self.k, self.kind = ids, x, k, kind
+        if kind != HUGE:
+            self.norm = (x * x).sum(1)
+        if kind == PLAIN:
+            self.stats = [statistics(x, n) for n in levels(x.shape[1])]
         self.least = np.full(len(ids), -np.inf)  # the k-th best score
         self.best: list[list[tuple[float, int]]] = [[] for _ in ids]  # (-score, id), in order
 
-    def search(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def search(self, ids: np.ndarray, x: np.ndarray, kind: int = PLAIN) -> None:
+        if max(kind, self.kind) == PLAIN:
+            self._search_plain(ids, x)
+        elif max(kind, self.kind) == LARGE:
+            self._search_large(ids, x)
+        else:
+            for at in range(len(self.ids)):
+                self._keep_exact(at, ids, x, np.flatnonzero(ids != self.ids[at]))
+
+    def _search_large(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Doubles and a bound of their rounding pick the pairs that are scored exactly."""
+        size = np.sqrt((x * x).sum(1))
+        for a in range(0, len(self.ids), QUERIES):
+            part = slice(a, a + QUERIES)
+            near = self.x[part] @ x.T
+            off = (x.shape[1] + 8) * 2.0**-52 * np.sqrt(self.norm[part, None]) * size
+            high = near + off
+            high = high + np.abs(high) * 2.0**-50
+            for r in np.flatnonzero((high >= self.least[part, None]).any(1)):
+                j = np.flatnonzero((high[r] >= self.least[a + r]) & (ids != self.ids[a + r]))
+                if len(j) > self.k:  # the k-th best is no less than this
+                    low = near[r, j] - off[r, j]
+                    low = low - np.abs(low) * 2.0**-50
+                    j = j[high[r, j] >= np.partition(low, len(j) - self.k)[len(j) - self.k]]
+                self._keep_exact(a + r, ids, x, j)
+
+    def _keep_exact(self, at: int, ids: np.ndarray, x: np.ndarray, j: np.ndarray) -> None:
+        if not len(j):
+            return
+        q = [int(c) for c in self.x[at].tolist()]
+        found = [(-sum(map(mul, q, map(int, x[i].tolist()))), int(ids[i])) for i in j]
+        self._settle(at, found)
+
+    def _search_plain(self, ids: np.ndarray, x: np.ndarray) -> None:
         norm = (x * x).sum(1)
         stats = [statistics(x, n) for n in levels(x.shape[1])]
         for a in range(0, len(self.ids), QUERIES):
@@ -115,24 +183,30 @@ class Block:
         if len(j) > self.k:  # ties with the k-th stay
             j = j[score[j] >= np.partition(score[j], len(j) - self.k)[len(j) - self.k]]
             j = j[np.lexsort((ids[j], -score[j]))[: self.k]]
-        best = sorted([*self.best[at], *zip((-score[j]).tolist(), ids[j].tolist(), strict=True)])[: self.k]
+        self._settle(at, list(zip((-score[j]).tolist(), ids[j].tolist(), strict=True)))
+
+    def _settle(self, at: int, found: list[tuple[float, int]]) -> None:
+        best = sorted([*self.best[at], *found])[: self.k]
         self.best[at] = best
         if len(best) == self.k:
-            self.least[at] = -best[-1][0]
+            self.least[at] = _below(-best[-1][0])
 
 
-def _search(batches: Iterator[pa.RecordBatch], queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
-    blocks = {n: Block(ids, x, k) for n, (ids, x) in queries.items()}
+def _search(batches: Iterator[pa.RecordBatch], queries: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    blocks: dict[int, list[Block]] = {}
+    for (n, kind), (ids, x) in queries.items():
+        blocks.setdefault(n, []).append(Block(ids, x, k, kind))
     for batch in batches:
         for a in range(0, batch.num_rows, ROWS):
             part = batch.slice(a, ROWS)
-            for n, (ids, x) in scaled(part.column("embedding"), part.column("vec_id")).items():
-                if n in blocks:
-                    blocks[n].search(ids, x)
-    for block in blocks.values():
-        found = [(int(q), i, int(-s)) for q, best in zip(block.ids, block.best, strict=True) for s, i in best]
+            for (n, kind), (ids, x) in scaled(part.column("embedding"), part.column("vec_id")).items():
+                for block in blocks.get(n, ()):
+                    block.search(ids, x, kind)
+    kinds = (*[pa.int64()] * 3, pa.binary())
+    for block in (b for several in blocks.values() for b in several):
+        found = [(int(q), i, *_long(int(-s))) for q, best in zip(block.ids, block.best, strict=True) for s, i in best]
         for a in range(0, len(found), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[a : a + 65536], strict=True)], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[a : a + 65536], strict=True), kinds, strict=True)], names=["query_id", "vec_id", "score", "beyond"])
 
 
 def search(df: DataFrame, every: int = EVERY, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -144,16 +218,16 @@ def search(df: DataFrame, every: int = EVERY, k: int = K, id_col: str = "vec_id"
     found = None
     for block in range(max(1, -(-n // query_block))):
         mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // query_block)))) == block)
-        queries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        queries: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         table = mine.distinct().toArrow()
         for batch in table.combine_chunks().to_batches():
-            for length, (ids, x) in scaled(batch.column("embedding"), batch.column("vec_id")).items():
-                old = queries.get(length)
-                queries[length] = (np.append(old[0], ids), np.vstack([old[1], x])) if old else (ids, x)
+            for group, (ids, x) in scaled(batch.column("embedding"), batch.column("vec_id")).items():
+                old = queries.get(group)
+                queries[group] = (np.append(old[0], ids), np.vstack([old[1], x])) if old else (ids, x)
         sent = spark.sparkContext.broadcast(queries)
         part = rows.mapInArrow(lambda it, sent=sent: _search(it, sent.value, k), SCHEMA)
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -1,10 +1,12 @@
 """Each operator against a brute-force version, an exact round trip, or held-out accuracy; and the defined edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -473,6 +475,33 @@ def test_top_k(spark, block):
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_top_k_of_large_vectors(spark, kind):
+    """One row beyond all others, rows whose products leave the exact range of doubles, and (as doubles) that of a long or double."""
+    rng = np.random.RandomState(12)
+    v = rng.randn(160, 64) / 5
+    v[3] = 90_000  # the best hit of many queries
+    v[20:80] = rng.choice([-7_000, 7_000], (60, 64)) + rng.randint(-3, 4, (60, 64)) / 1024
+    v[40:50] = v[20] + rng.randint(0, 2, (10, 64)) / 1024  # near ties
+    if kind == "double":
+        v[90:100, 0] = 1e12 * (1 + np.arange(10) % 4)
+        v[100:110, :2] = -3e200 * (1 + np.arange(10)[:, None] % 3)
+        v[110, 5], v[111, 5], v[112, 1] = 1.7e308, -1.7e308, 1e306
+    v = v.astype(np.float32 if kind == "float" else np.float64).astype(float)
+    rows = [(i * 50, [float(c) for c in x]) for i, x in enumerate(v)]
+    got = defaultdict(list)
+    out = topk.search(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)).orderBy("query_id", "rank")
+    assert out.columns == ["query_id", "rank", "vec_id", "score"]
+    for r in out.collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    whole = {i: [math.floor(Fraction(c) * 1024) for c in x] for i, x in rows}
+    for q, x in whole.items():
+        if q % 100 == 0:
+            order = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in whole.items() if i != q)[:10]
+            assert got[q] == [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in order], q
+    assert len(got) == 80
+
+
 def test_segment_bounds_hold():
     rng = np.random.RandomState(10)
     q, x = rng.randn(20, 37), rng.randn(30, 37)
