@@ -68,11 +68,32 @@ def weekdays(spark: SparkSession, start: str, end: str, name: str = "Sat") -> Da
 
 
 def to_visit(listings: DataFrame, known: DataFrame, months: Column, skips: DataFrame, cap: int) -> DataFrame:
-    """(key, month) pages to read: listed and known keys less the skip list, one row per month of the season, capped per run by name. [SRC07, SRC08, SRC09, SRC10]"""
+    """(key, month) pages to read: listed and known keys less the skip list, one row per month of the season, capped per run by name. [SRC07, SRC08, SRC09]"""
     keys = listings.select("key").unionByName(known.select("key")).distinct().join(skips.select("key"), "key", "left_anti")
     return keys.select("key", F.explode(months).alias("month")).orderBy("key", "month").limit(cap)
 
 
+def schedule_walk(pages: DataFrame, last_day: str) -> tuple[DataFrame, DataFrame]:
+    """Of the numbered pages of each key, read in turn: (key, page, entry) of the fresh ids up to where the walk stops, and (key, state). [SRC10]
+
+    pages has key, page (from 1), entries (array of structs with id and start; null if unread) and total (or null). The
+    walk stops at a page without a fresh id, when the total is reached, or when the last start is past the last day. A key
+    with an unread or missing page before that is "unread" and has no entries; one that never stops is "unfinished".
+    """
+    each = pages.select("key", "page", F.explode("entries").alias("entry"))
+    first = each.groupBy("key", F.col("entry.id").alias("id")).agg(F.min_by("entry", "page").alias("entry"), F.min("page").alias("page"))
+    fresh = first.groupBy("key", "page").agg(F.count("*").alias("fresh"))
+    last = F.array_max(F.transform("entries", lambda e: e["start"].cast("date")))
+    w = Window.partitionBy("key").orderBy("page")
+    told = pages.select("key", "page", "total", last.alias("last"), F.col("entries").isNull().alias("unread")).join(fresh, ["key", "page"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(0)))
+    told = told.withColumn("gap", F.col("unread") | (F.row_number().over(w) != F.col("page")))
+    stop = ~F.col("gap") & ((F.col("fresh") == 0) | F.coalesce(F.sum("fresh").over(w) >= F.col("total"), F.lit(False)) | F.coalesce(F.col("last") > F.lit(last_day).cast("date"), F.lit(False)))
+    ends = told.withColumn("stop", stop).groupBy("key").agg(F.min(F.when(F.col("stop"), F.col("page"))).alias("end"), F.min(F.when(F.col("gap"), F.col("page"))).alias("gap"))
+    ends = ends.select("key", "end", F.when(F.col("gap") < F.coalesce("end", F.lit(2**31 - 1)), "unread").when(F.col("end").isNull(), "unfinished").otherwise("read").alias("state"))
+    found = first.join(ends.where("state <> 'unread'"), "key").where("end IS NULL OR page <= end").select("key", "page", "entry")
+    return found, ends.select("key", "state")
+
+
 def pages_read(pages: DataFrame, run: str, identity: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(distinct records of a paged reading, one row per run: pages, records, whether it was cut short). [SRC11]"""
     meta = pages.groupBy(run).agg(F.max("page").alias("pages"), F.count_distinct(*identity).alias("records"), F.max("total").alias("total"))

@@ -45,6 +45,45 @@ def test_fee_lines(spark):
     assert by["nitrox"].block == "included" and by["gear"].basis == "per_day" and by["visa"].amount is None
 
 
+def test_trip_fragment(spark):
+    html = """<h2 class=x>Deep &amp; South</h2><h3>Key regions</h3><ol class=y><li title=Daedalus>D<li title="Abu Dabab">A<li title="Red Sea">R<li title=Daedalus>D</ol>
+    <dt>Dives <dd>Approximately 18 dives in total<dt>Group Size <dd>Up to 20 guests<strong>Experience</strong> <span>Advanced - 50 minimum logged dives</span>
+    <h3>What to expect</h3><figure>map</figure><div class="prose z">We <b>sail</b>.<p><strong>Sample</strong><strong>Day 1:</strong><ul><li>Board<li>Sleep</ul></div><strong>Else</strong>no"""
+    d = spark.createDataFrame([(1, html), (2, None), (3, "<dt>Dives <dd>400 dives")], "k int, h string").select("k", extract.trip(F.col("h")).alias("t"), extract.regions(F.col("h")).alias("r"))
+    a, b, c = (x for x in d.orderBy("k").collect())
+    assert (a.t.name, a.t.regions, a.t.dives, a.t.guests, a.t.experience, a.t.intro) == ("Deep & South", ["Daedalus", "Abu Dabab"], 18, 20, "Advanced - 50 minimum logged dives", "We sail .")
+    assert [(s.heading, s.body) for s in a.t.sections] == [("Day 1:", "Board Sleep")] and a.r == a.t.regions
+    assert (b.t.name, b.t.regions, b.t.dives, b.t.sections, c.t.dives) == (None, [], None, [], None)
+
+
+def test_fee_excerpts(spark):
+    body = "Included: VAT, Nitrox.\nRequired Extras: Tax\n(€45)\nFuel " + "x" * 2000 + "\nOptional Extras: Gear"
+    got = spark.createDataFrame([(body,), (None,)], "b string").select(extract.fee_excerpts(F.col("b"))).collect()
+    assert got[0][0]["included"].startswith("VAT, Nitrox.") and got[0][0]["required"].startswith("Tax (€45), Fuel xx") and len(got[0][0]["required"]) == 1500 and got[0][0]["optional"] == "Gear" and got[1][0] == {}
+
+
+def test_gear_line(spark):
+    row = lambda a, b: f"<li><strong>{a}</strong> <span>{b}</span></li>"
+    title, single, full = "Rental Gear Prices ", row("BCD", "€83 / week") + row("Nitrox tank", "Included"), "Full equipment rent "
+    texts = [title + single + full + row("Set", "€40-60 / item"), title + single + full + row("Set", "$40"), title + single, title + row("Mask", "ask"), title, "Else " + single, None]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, h string").lateralJoin(extract.GearLine(F.col("h").outer(), F.lit("EUR"))).drop("h")
+    got = {r.k: r for r in d.collect()}
+    assert sorted(got) == [0, 1, 2, 3] and all((r.code, r.tier, r.included) == ("gear_rental", "optional", False) for r in got.values())
+    assert tuple(got[0])[4:] == (40.0, 60.0, "EUR", "per_trip", False, "Full equipment hire: Set")
+    assert tuple(got[1])[4:] == (40.0, None, "USD", "per_trip", True, "Full equipment hire: Set $40, with no unit stated")
+    assert tuple(got[2])[4:] == (None, None, None, "per_week", False, "Operator prices gear per item, not as a set: BCD €83/week; Nitrox tank included")
+    assert (got[3].basis, got[3].note) == ("per_trip", "Operator prices gear per item, not as a set: Mask")
+
+
+def test_schedule_walk(spark):
+    e = lambda *ids, day="2027-05-01": [(i, day) for i in ids]
+    rows = [("fresh", 1, e("a", "b"), None), ("fresh", 2, e("b", "a"), None), ("fresh", 3, e("c"), None), ("total", 1, e("a"), 2), ("total", 2, e("a", "b"), 2), ("total", 3, e("c"), 2),
+            ("season", 1, e("a", day="2027-12-01"), None), ("season", 2, e("b"), None), ("unread", 1, e("a"), None), ("unread", 2, None, None), ("gap", 1, e("a"), None), ("gap", 3, e("b"), None), ("open", 1, e("a"), 9), ("none", 1, [], 0)]
+    found, states = readers.schedule_walk(spark.createDataFrame(rows, "key string, page int, entries array<struct<id:string,start:string>>, total int"), "2027-10-31")
+    assert sorted((r.key, r.page, r.entry.id) for r in found.collect()) == [("fresh", 1, "a"), ("fresh", 1, "b"), ("open", 1, "a"), ("season", 1, "a"), ("total", 1, "a"), ("total", 2, "b")]
+    assert {r.key: r.state for r in states.collect()} == {"fresh": "read", "total": "read", "season": "read", "unread": "unread", "gap": "unread", "open": "unfinished", "none": "read"}
+
+
 def test_cabins(spark):
     html = """<button class="cabin-name" data-cabin="7">Deck <b>Twin</b></button> €1,000 €900 <select data-allocation="4"></select> single use 80 %
     <button class="cabin-name" data-cabin="8">Suite</button> $2000 FULL <button class="cabin-name" data-cabin="9">No price</button>"""
