@@ -2,8 +2,9 @@
 
 Each permutation of the shingle hashes is evaluated once and gives two signature values, its minimum and its maximum:
 half the hash evaluations of plain MinHash, an unbiased estimate of the same similarity and, as the two are negatively
-correlated, of lower variance. 64 permutations give 128 values in 32 bands of 4: a pair at similarity 0.75 shares no
-band with probability 5e-6.
+correlated, of lower variance. 64 permutations give 128 values in 32 bands of 4: a pair of large sets at similarity 0.75
+shares no band with probability 5e-6. In small sets minimum and maximum depend on each other: sets of 4 and 3 shingles
+(texts of 8 and 7 words) share both with probability 0.5, not 0.5625, and so no band with probability 1e-4.
 
 1. Documents with the same shingle set form one class, and only its smallest id goes on.
 2. In each band bucket every member is compared with the bucket's center only (a star, never all pairs). Links are
