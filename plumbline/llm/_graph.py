@@ -1,19 +1,52 @@
-"""Lineage cuts in the shared folder, and connected components by alternating stars."""
+"""Lineage cuts in the shared folder, look-ups by keys of any frequency, and connected components by alternating stars."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset a temporary one serves on a single machine only."""
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not known:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        known = context.getCheckpointDir()
+    return known
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() to the folder that spark.checkpoint.dir names; a temporary one only where none is set, as in tests."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    """The rows as a table in the shared folder: no lineage behind it, the sizes of its files known to the optimizer."""
+    path = f"{folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key is frequent if it has more than one in so many rows; so at most so many keys are, whatever the data.
+FREQUENT = 2048
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], spread: str, times: str = "times") -> DataFrame:
+    """rows joined with facts (one row per key, cut, with the number of rows of the key as ``times``) on the keys.
+
+    The join is an inner one without a hot task: the frequent keys, FREQUENT at most, are broadcast, and their rows are dealt by
+    the column ``spread``; all others are shuffled by key, where no key has more than one in FREQUENT rows. No key may be null.
+    """
+    total = facts.agg(F.sum(times)).first()[0]
+    values = [c for c in facts.columns if c not in keys]
+    frequent = facts.where(F.col(times) * FREQUENT > F.lit(total or 0)).select(*keys, F.struct(*values).alias("_frequent"))
+    marked = rows.join(F.broadcast(frequent), keys, "left")
+    first = F.when(F.col("_frequent").isNull(), F.col(keys[0])).otherwise(F.xxhash64(spread, keys[0]))
+    marked = marked.withColumn("_key", first)
+    others = facts.select(F.col(keys[0]).alias("_key"), *keys[1:], F.struct(*values).alias("_other"))
+    joined = marked.join(others, ["_key", *keys[1:]], "left").withColumn("_found", F.coalesce("_frequent", "_other")).where("_found IS NOT NULL")
+    return joined.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in values])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,16 +54,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points every node's larger neighbours to its least one (large star), then its smaller ones and itself
     (small star); edges stay as many or fewer, and rounds grow with the logarithm of the longest path. Stops when a
-    round changes nothing.
+    round changes nothing. A node that is the center of a large star is looked up as any frequent key is.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")))
+        large = looked_up(both.where("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = cut(large.distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")))
+        small = looked_up(large, least, ["u"], "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:

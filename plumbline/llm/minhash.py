@@ -13,9 +13,13 @@ shares no band with probability 5e-6. In small sets minimum and maximum depend o
    share one of their rarest shingles (prefix filter), and pairs of different components that do are confirmed.
    So no pair that shares a bucket loses its link, however large the bucket is.
 
+Buckets, classes and shingles that a large part of all rows share are looked up as frequent keys (``_graph.looked_up``), so none lands
+in one task.
+
 Defined results: a text without words (null, empty, blank) has an empty set and is linked with nothing; so is a row with
 a null id, which stays; rows that share an id count as one document; an empty table gives no rows; columns other than
-the two named are left out.
+the two named are left out; a very long text is hashed whole, alone in its chunk; where members of a bucket weigh the same
+(ties), the smallest id is its center, which decides only which pairs are compared first.
 """
 
 from __future__ import annotations
@@ -24,12 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import BASE_1, BYTE_1, Texts, chunks, mix, prefix_hash, signed, span_hash
-from ._graph import components, cut
+from ._bytes import BASE_1, BYTE_1, Texts, body_chunks, chunks, compressed, mix, prefix_hash, signed, span_hash, unpacked
+from ._graph import components, cut, looked_up
 
 WORDS, PERCENT = 5, 75
 PERMUTATIONS, BANDS = 64, 32
@@ -114,31 +117,14 @@ def _signed_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(signed(sets[0])), pa.array(signed(sets[1])), flat], names=["doc_id", "n_shingles", "set_1", "set_2", "bands"])
 
 
-def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, ...) -> (doc_id, zstd of the UTF-8 bytes, ...): what goes through a shuffle by document."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in chunks(batches):
-        texts = Texts(batch.column("text"))
-        packed = [pack(texts.data[a:b].tobytes()) for a, b in zip(texts.offsets[:-1], texts.offsets[1:], strict=True)]
-        more = [c for c in batch.schema.names if c not in ("doc_id", "text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), *(batch.column(c) for c in more)], names=["doc_id", "body", *more])
-
-
-def unpacked(column: pa.Array) -> list[bytes]:
-    one = zstandard.ZstdDecompressor().decompress
-    return [one(x) if x else b"" for x in column.to_pylist()]
-
-
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, body) -> (doc_id, n, grams): the sorted set as little-endian 64-bit hashes."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, 64):
-            part = batch.slice(a, 64)
-            rows = []
-            for doc, text in zip(part.column("doc_id").to_pylist(), unpacked(part.column("body")), strict=True):
-                gram = np.sort(shingles(Texts(pa.array([text], pa.binary()).view(pa.string())), words)[0])
-                rows.append((doc, len(gram), gram.astype("<u8").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n", "grams"])
+    for part in body_chunks(batches):
+        rows = []
+        for doc, text in zip(part.column("doc_id").to_pylist(), unpacked(part.column("body")), strict=True):
+            gram = np.sort(shingles(Texts(pa.array([text], pa.binary()).view(pa.string())), words)[0])
+            rows.append((doc, len(gram), gram.astype("<u8").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n", "grams"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -170,11 +156,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            gram = np.frombuffer(batch.column("grams")[i].as_buffer(), "<u8")
-            doc, part = batch.column("doc_id")[i].as_py(), batch.column("component")[i].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), doc)), pa.array(np.full(len(gram), part)), pa.array(np.full(len(gram), len(gram))), pa.array(signed(gram.astype(np.uint64)))], names=["doc_id", "component", "n", "gram"])
+    """(doc_id, component, grams) -> one row per shingle."""
+    for batch in chunks(batches, "grams"):
+        size = np.array([len(x) // 8 for x in batch.column("grams").to_pylist()])
+        gram = np.frombuffer(b"".join(batch.column("grams").to_pylist()), "<i8")
+        docs, parts = (np.repeat(batch.column(c).to_numpy(), size) for c in ("doc_id", "component"))
+        for i in range(0, len(gram), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (docs, parts, np.repeat(size, size), gram)], names=["doc_id", "component", "n", "gram"])
 
 
 def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,7 +177,7 @@ def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     by_part = grams.groupBy("gram", "component").agg(F.count("*").alias("times"))
     held = by_part.groupBy("gram").agg(F.sum("times").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("times", "component")).alias("main"))
     # A shingle of one component takes its place in the order but brings no pair.
-    ranked = grams.join(held, "gram").withColumn("place", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY held, gram)"))
+    ranked = looked_up(grams, cut(held), ["gram"], "doc_id", "held").withColumn("place", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY held, gram)"))
     heads = ranked.where("low < high").where(f"place <= n - ({percent} * n + 99) div 100 + 1").select("gram", "doc_id", "component", "n", "place", (F.col("component") != F.col("main")).alias("other"))
     heads = heads.withColumn("brief", F.expr(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1"))
     heads = cut(heads)
@@ -208,34 +196,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed_docs = cut(docs.mapInArrow(lambda it: _signed_sets(it, words), _SIGNED))
     filled = signed_docs.where("doc_id IS NOT NULL AND n_shingles > 0")
     key = ["set_1", "set_2", "n_shingles"]
-    classes = filled.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    # One row per representative: rows that share an id and a set are alike.
-    reps = cut(filled.join(classes, key).where("doc_id = rep").dropDuplicates([*key, "rep"]).select("doc_id", "n_shingles", "bands"))
+    classes = cut(filled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("times")))
+    # One row per representative, matched by its id, for a class may hold a third of all rows; rows that share an id and a set are alike.
+    reps = filled.join(classes.select(*key, F.col("rep").alias("doc_id")), ["doc_id", *key]).dropDuplicates(["doc_id", *key])
+    reps = cut(reps.select("doc_id", "n_shingles", "bands"))
     keyed = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    found = cut(keyed.join(buckets, "band").select("band", "doc_id", "n", "size"))
+    buckets = cut(keyed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
+    found = cut(looked_up(keyed, buckets, ["band"], "doc_id", "size").select("band", "doc_id", "n", "size"))
     # The star's center is the member that stands in the largest buckets: the least edited of a group, as a rule.
     weight = found.groupBy("doc_id").agg(F.sum("size").alias("weight"))
     center = F.max_by(F.struct("doc_id", "n"), F.struct("weight", -F.col("doc_id")))
-    centers = found.join(weight, "doc_id").groupBy("band").agg(center.alias("c")).select("band", F.col("c.doc_id").alias("center"), F.col("c.n").alias("n_center"))
+    centers = found.join(weight, "doc_id").groupBy("band").agg(center.alias("c"), F.count("*").alias("times"))
+    centers = cut(centers.select("band", F.col("c.doc_id").alias("center"), F.col("c.n").alias("n_center"), "times"))
 
     involved = found.select("doc_id").distinct()
     bodies = docs.where("doc_id IS NOT NULL").mapInArrow(compressed, "doc_id long, body binary")
     sets = cut(bodies.join(involved, "doc_id").mapInArrow(lambda it: _sets(it, words), "doc_id long, n long, grams binary").dropDuplicates(["doc_id"]))
-    stars = found.join(centers, "band").where(f"doc_id <> center AND least(n, n_center) * 100 >= {percent} * greatest(n, n_center)").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct()
+    starred = looked_up(found, centers, ["band"], "doc_id")
+    stars = starred.where(f"doc_id <> center AND least(n, n_center) * 100 >= {percent} * greatest(n, n_center)").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct()
     links = cut(_confirm(stars, sets, percent))
-    parts = components(links)
+    parts = cut(components(links))
 
     # Buckets whose members are in several components yet.
-    placed = found.join(parts, found.doc_id == parts.node, "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    members = cut(placed.join(split, "band", "left_semi").select("doc_id", "component").distinct())
+    placed = found.join(parts, found.doc_id == parts.node, "left").select("band", F.coalesce("component", "doc_id").alias("component"))
+    split = cut(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("times")).where("low < high").select("band", "times"))
+    members = looked_up(found, split, ["band"], "doc_id").select("doc_id").distinct()
+    members = cut(members.join(parts, members.doc_id == parts.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
     more = cut(_within(members, sets, percent))
     if not more.isEmpty():
         parts = components(links.unionByName(more))
 
-    placed = classes.join(parts, classes.rep == parts.node, "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = filled.select("doc_id", *key).join(placed, key).select("doc_id", "n_shingles", "component_id")
+    named = classes.join(parts, classes.rep == parts.node, "left").select(*key, F.coalesce("component", "rep").alias("component_id"), "times")
+    out = looked_up(filled, cut(named), key, "doc_id").select("doc_id", "n_shingles", "component_id")
     rest = signed_docs.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -2,13 +2,15 @@
 
 ``pack`` reads (id, text) rows, encodes every whole text with a public byte-level BPE vocabulary, ends it with one
 separator id and cuts it into pieces. Full windows become sequences of their own. What remains of each document is
-collected into groups of ``GROUP`` rests, and each group is dealt to as few equal windows as hold it: partial
-partitions with opposing imbalances are merged (largest difference first), and the window count rises whenever a
-window exceeds the capacity. Nothing is shuffled: a task packs the rows it reads, a group at a time, so a lost task
-is simply run again and gives the same sequences.
+collected into groups of ``GROUP`` rests, and each group is dealt to near-equal windows: partial partitions with opposing
+imbalances are merged (largest difference first). A group starts with as many windows as it fills; the count rises while
+what exceeds the capacity would fill a window, and the little that still does is cut off and goes to the next group. A
+task's last group isn't cut: its window count rises whenever a window exceeds the capacity. Nothing is shuffled: a task packs
+the rows it reads, a group at a time, so a lost task is simply run again and gives the same sequences.
 
 Defined results: a null text is an empty one (one separator id); an empty table gives no rows; repeated rows are packed
-once each; a null id is carried through; other columns are left out.
+once each; a null id is carried through; other columns are left out; a very long text is encoded whole, and only its ids are
+held; of partitions with equal differences (ties) the one made first is merged first.
 """
 
 from __future__ import annotations
@@ -110,13 +112,17 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, sums
 
 
-def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """The fewest near-equal windows that differencing finds within the capacity; every size must be within it."""
-    k = max(1, -(-int(sizes.sum()) // capacity))
+def windows(sizes: np.ndarray, capacity: int = CAPACITY, cut: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Near-equal windows by differencing; every size must be within the capacity. Returns each item's window and the sums.
+
+    The count rises whenever the capacity is exceeded; with ``cut`` only while what exceeds it would fill a window.
+    """
+    total = int(sizes.sum())
+    k = max(1, total // capacity if cut else -(-total // capacity))
     while True:
         bins, sums = differencing(sizes, k)
         over = int(np.maximum(sums - capacity, 0).sum())
-        if not over:
+        if over < (capacity if cut else 1):
             return bins, sums
         k += max(1, over // capacity)
 
@@ -125,7 +131,7 @@ def _packed(batches: Iterator[pa.RecordBatch], capacity: int, tokenizer: str) ->
     encode = encoder(tokenizer)
     context = TaskContext.get()
     sequence = (context.partitionId() if context else 0) << 36
-    rests: list[tuple] = []
+    rests: list[tuple] = []  # (document, start, ids, ids of the document)
     rows: list[tuple] = []
 
     def table() -> pa.RecordBatch:
@@ -133,34 +139,37 @@ def _packed(batches: Iterator[pa.RecordBatch], capacity: int, tokenizer: str) ->
         rows.clear()
         return batch
 
-    def close() -> None:
+    def close(last: bool) -> None:
         nonlocal sequence
-        bins, sums = windows(np.array([r[2] for r in rests], np.int64), capacity)
+        bins, sums = windows(np.array([len(ids) for _, _, ids, _ in rests], np.int64), capacity, not last)
         filled = np.zeros(len(sums), np.int64)
-        for rest, at in zip(rests, bins, strict=True):
-            rows.append((*rest, sequence + int(at), int(filled[at])))
-            filled[at] += rest[2]
+        beyond = []
+        for (doc, start, ids, n), at in zip(rests, bins, strict=True):
+            room = capacity - int(filled[at])
+            if room:
+                rows.append((doc, start, min(len(ids), room), zlib.crc32(ids[:room].tobytes()), n, sequence + int(at), int(filled[at])))
+                filled[at] += min(len(ids), room)
+            if len(ids) > room:
+                beyond.append((doc, start + room, ids[room:], n))
         sequence += len(sums)
-        rests.clear()
+        rests[:] = beyond
 
     for batch in chunks(batches):
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             ids = np.append(encode(text or ""), np.uint32(SEPARATOR)).astype("<u4")
             n = len(ids)
-            cuts = [*range(0, n, capacity), n]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                piece = (doc, a, b - a, zlib.crc32(ids[a:b].tobytes()), n)
-                if b - a == capacity:
-                    rows.append((*piece, sequence, 0))
-                    sequence += 1
-                else:
-                    rests.append(piece)
+            whole = n - n % capacity
+            for a in range(0, whole, capacity):
+                rows.append((doc, a, capacity, zlib.crc32(ids[a : a + capacity].tobytes()), n, sequence, 0))
+                sequence += 1
+            if whole < n:
+                rests.append((doc, whole, ids[whole:].copy(), n))
             if len(rests) >= GROUP:
-                close()
+                close(False)
             if len(rows) >= 8192:
                 yield table()
     if rests:
-        close()
+        close(True)
     if rows:
         yield table()
 

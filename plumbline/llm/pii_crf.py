@@ -11,28 +11,29 @@ change, "none" is on the best path whatever its neighbours are: chains are cut t
 between are decoded, side by side.
 
 Defined results: null and empty texts hold nothing; an empty table gives no rows; repeated rows are read each; a null id
-is carried through; other columns are left out by ``find`` and kept by ``redact``.
+is carried through; other columns are left out by ``find`` and kept by ``redact``; a very long text is read whole, alone in its chunk;
+of labellings with equal scores (ties) the kind listed first wins.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._bytes import BASE_1, BASE_2, BYTE_1, Texts, chunks, prefix_hash, span_hash
+from ._bytes import BASE_1, BASE_2, BYTE_1, Texts, chunks, mapped_text, prefix_hash, span_hash
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 #: Fixed patterns of the base kinds. A match of the last three starts where its digits or its plus do, so each is linear.
 EMAIL_END = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-EMAIL_NAME = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -181,8 +182,8 @@ class Field:
         for t in range(int(length[0]) - 1, -1, -1):
             live = int(np.searchsorted(-length, -t, "left"))
             out[first[:live] + t] = label[:live]
-            if t:
-                label[:live] = np.where(length[:live] > t, back[t - 1][np.arange(len(back[t - 1])), label[: len(back[t - 1])]][:live] if len(back[t - 1]) == live else label[:live], label[:live])
+            if t:  # as many runs go on from t - 1 to t as are longer than t
+                label[:live] = back[t - 1][np.arange(live), label[:live]]
 
 
 def labelled_table(n: int = 900, seed: int = 5) -> tuple[list[str], list[list[int]]]:
@@ -194,8 +195,8 @@ def labelled_table(n: int = 900, seed: int = 5) -> tuple[list[str], list[list[in
 
     def word() -> str:
         w = "".join(rng.choice(list("abcdefghilmnoprstuväéñ"), rng.randint(1, 10)))
-        form = rng.randint(0, 14)
-        return (w + ",.;:!?"[rng.randint(6)] if form == 0 else w.capitalize() if form == 1 else w.upper() if form == 2 else w + "!!" if form == 3 else w + "".join(rng.choice(list("#*$%&|"), 3)) if form == 4 else f"{w}-{w}" if form == 5 else w)
+        form = rng.randint(0, 16)
+        return (w.capitalize() + ",.;:!?"[rng.randint(6)] if form == 15 else w + ",.;:!?"[rng.randint(6)] if form == 0 else w.capitalize() if form == 1 else w.upper() if form == 2 else w + "!!" if form == 3 else w + "".join(rng.choice(list("#*$%&|"), 3)) if form == 4 else f"{w}-{w}" if form == 5 else w)
 
     def name() -> str:
         return "".join(rng.choice(list("abcdefgijklmnorstu"), rng.randint(3, 8)))
@@ -218,7 +219,12 @@ def labelled_table(n: int = 900, seed: int = 5) -> tuple[list[str], list[list[in
         a, b, c = digits(3), digits(3), digits(4)
         return [["+1", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"+44{digits(10)}"], [f"+{digits(2)}", a, b, c], [f"{a}.{b}.{c}"], [f"({a}){b}-{c}"]][rng.randint(7)], 3
 
+    def ended(words: list[str]) -> list[str]:
+        return [*words[:-1], words[-1] + ",.;:?!"[rng.randint(6)]] if rng.randint(4) == 0 else words
+
     def plain() -> list[str]:
+        if rng.randint(8) == 0:  # the key words in plain speech
+            return [[word(), "at", word()], ["at", "the", word()], ["the", "dot", word()], [word(), "at", word(), "at", word()], ["the", "card", word()], ["call", word()]][rng.randint(6)]
         forms = (digits(rng.randint(1, 7)), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"{rng.randint(1, 99)}.{digits(2)}", f"${digits(2)}.{digits(2)}", f"{digits(1)},{digits(3)}", f"no-{digits(4)}", f"{digits(1)}.{digits(1)}.{digits(1)}",
                  f"{digits(2)}-{digits(2)}", f"({digits(4)})", f"{name()}={digits(3)}{name()}{digits(8)}", f"{name().upper()}{digits(2)}{name().upper()}{digits(1)}", f"{digits(2)}/{digits(2)}/{digits(4)}", digits(9), digits(rng.randint(20, 40)), f"{digits(3)}{name()}{digits(6)}", "at", "dot", "|", "-", "@", "(at)", "+")
         return [forms[rng.randint(len(forms))]]
@@ -230,6 +236,7 @@ def labelled_table(n: int = 900, seed: int = 5) -> tuple[list[str], list[list[in
         for _ in range(rng.randint(2, 8)):
             kind = rng.randint(0, 10)
             got, mark = entity() if kind < 2 else (plain(), NONE) if kind < 5 else ([word() for _ in range(rng.randint(1, 6))], NONE)
+            got = ended(got) if mark != NONE else got
             words += got
             marks += [mark] * len(got)
         sentences.append(" ".join(words))
@@ -299,11 +306,17 @@ def trained() -> Field:
 _TRIM = ".,;:!?<>[]'\"|*#$%&"
 
 
+#: An address within a span of the field, whose neighbouring words are left out.
+SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s*(?:@|[(\[]\s*at\s*[)\]]|\sat\s)\s*[A-Za-z0-9-]+(?:\s*(?:\.|[(\[]\s*dot\s*[)\]]|\sdot\s)\s*[A-Za-z0-9-]+)+", re.I)
+#: Endings that an address spelled with the bare words "at" and "dot" must have; without an ending it is plain speech.
+ENDINGS = frozenset("com org net edu gov mil int info biz io co ai app dev me tv eu uk us de fr it es nl be ch at se no fi dk pl pt cz ru ua tr jp cn kr in au nz ca br mx ar za example".split())
+
+
 def _checked(kind: int, text: str) -> bool:
     """What a span of the kind must hold at least; keeps chance labels of odd words out."""
     n = sum(map(text.count, "0123456789"))
     if kind == 0:
-        return bool(re.search(r"[A-Za-z0-9]\s*(?:@|[(\[]\s*at\s*[)\]]|\sat\s)\s*[A-Za-z0-9-]+\s*(?:\.|[(\[]\s*dot\s*[)\]]|\sdot\s)\s*[A-Za-z]", text, re.I))
+        return not re.search(r"\sdot\s", text, re.I) or text.split()[-1].lower() in ENDINGS
     if kind == 1:
         parts = re.fullmatch(r"\(?([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)(?::[0-9]+)?\)?", text)
         return bool(parts) and all(len(p) <= 3 and int(p) <= 255 for p in parts.groups())
@@ -326,6 +339,7 @@ def find_in(texts: Texts, strings: list[str], field: Field) -> list[tuple[list[t
         a = hit[new]
         b = hit[np.append(np.flatnonzero(new)[1:], len(hit)) - 1]
         points = np.append(0, np.cumsum((texts.data & 0xC0) != 0x80))
+        union: dict[int, tuple[list[int], list[int]]] = {}
         for i, j in zip(a, b, strict=True):
             row = int(rows[i])
             zero = points[texts.offsets[row]]
@@ -333,8 +347,16 @@ def find_in(texts: Texts, strings: list[str], field: Field) -> list[tuple[list[t
             s = strings[row][x:y]
             x, y = x + len(s) - len(s.lstrip(_TRIM)), y - (len(s) - len(s.rstrip(_TRIM)))
             kind = int(label[i])
+            if kind == 0:
+                m = SPELLED.search(strings[row], x, y)
+                x, y = m.span() if m else (x, x)
             base, every = out[row]
-            if x < y and _checked(kind, strings[row][x:y]) and not any(p < y and x < q for _, p, q in base):
+            if row not in union:
+                by = sorted((p, q) for _, p, q in base)
+                union[row] = [p for p, _ in by], list(itertools.accumulate((q for _, q in by), max))
+            starting, reach = union[row]
+            before = bisect.bisect_left(starting, y)  # base spans that start before y, and how far they reach
+            if x < y and _checked(kind, strings[row][x:y]) and not (before and reach[before - 1] > x):
                 every.append((kind, x, y))
     return [(base, sorted(every)) for base, every in out]
 
@@ -370,21 +392,21 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     sent = df.sparkSession.sparkContext.broadcast(trained())
 
-    @F.pandas_udf("string")
-    def cleaned(texts):
+    def change():
         field = sent.value
-        strings = [s or "" for s in texts]
-        found = find_in(Texts(pa.array(strings, pa.string())), strings, field)
-        out = []
-        for text, s, (_, spans) in zip(texts, strings, found, strict=True):
-            parts, at = [], 0
-            for kind, a, b in sorted(spans, key=lambda x: x[1]):
-                if a >= at:
-                    parts += [s[at:a], f"<{KINDS[kind]}>"]
-                at = max(at, b)
-            out.append(None if text is None else "".join([*parts, s[at:]]))
-        import pandas as pd
-
-        return pd.Series(out, dtype=object)
-
-    return df.withColumn(text_col, cleaned(F.col(text_col)))
+
+        def all_of(texts: list[str | None]) -> list[str | None]:
+            strings = [s or "" for s in texts]
+            out = []
+            for text, s, (_, spans) in zip(texts, strings, find_in(Texts(pa.array(strings, pa.string())), strings, field), strict=True):
+                parts, at = [], 0
+                for kind, a, b in sorted(spans, key=lambda x: x[1]):
+                    if a >= at:
+                        parts += [s[at:a], f"<{KINDS[kind]}>"]
+                    at = max(at, b)
+                out.append(None if text is None else "".join([*parts, s[at:]]))
+            return out
+
+        return all_of
+
+    return mapped_text(df, text_col, change)

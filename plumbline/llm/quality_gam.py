@@ -8,7 +8,9 @@ sum of one entry per table: bins by binary search, then additions, vectorised ov
 The fit reads a bounded sample (see ``_stats.labelled``) on the driver; scoring runs over every whole text in Spark.
 Defined results: null and empty texts are scored like any text (all statistics 0); without labelled rows every score is
 0.5; repeated rows are scored each; a null id is carried through and counts as not held out; inputs are statistics of
-the text alone.
+the text alone; a very long text is read whole, alone in its chunk; a value on the edge of a bin (a tie) belongs to the upper one, and a
+score of exactly 0.5 is predicted 1; an empty table of documents gives no rows and a constant model; other columns, whatever
+their names, are left out by ``classify`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -158,14 +160,15 @@ def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_good(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text the model doesn't reject."""
 
-    @F.pandas_udf("boolean")
-    def good(texts):
-        import pandas as pd
+    rest = [c for c in df.columns if c != text_col]
+    inner = df.select(df[text_col].alias("text"), F.struct(F.lit(0).alias("_"), *[df[c] for c in rest]).alias("rest"))
 
-        scores = [model.score(_stats.features(_stats.counts(b.column("text")))) for b in chunks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])])]
-        return pd.Series(np.concatenate(scores) >= 0.5 if scores else np.zeros(0, bool))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            yield batch.filter(pa.array(model.score(_stats.features(_stats.counts(batch.column("text")))) >= 0.5))
 
-    return df.where(good(F.col(text_col)))
+    out = inner.mapInArrow(run, inner.schema)
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in df.columns])
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = _stats.SAMPLE) -> Model:

@@ -7,7 +7,8 @@ covers leave the sample. The list becomes one ``when ... otherwise`` column over
 
 Defined results: null and empty texts have no words and fail the base rule; an empty label table, or one without
 low-quality rows, gives an empty list, which keeps all; repeated rows are judged each; a null id is carried through;
-of other columns none are read.
+of other columns none are read; a very long text is read whole, alone in its chunk; a value equal to a threshold (a tie) isn't
+above it; an empty table of documents gives no rows.
 """
 
 from __future__ import annotations

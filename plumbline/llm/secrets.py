@@ -7,7 +7,8 @@ candidate string is one ``entropy`` span, so that no part of a key stays. Letter
 An allow-list takes out what is random by design but public (UUIDs, dates, version strings, digests of lock files).
 
 Defined results: a null or empty text has no secrets; an empty table gives no rows; repeated rows are each scanned;
-a null id is carried through; other columns are left out by ``scan`` and kept by ``redact``. All scans are linear in the text.
+a null id is carried through; other columns are left out by ``scan`` and kept by ``redact``. All scans are linear in the text, however
+long; spans that start together (ties) stand in the order of their kinds.
 """
 
 from __future__ import annotations
@@ -20,9 +21,8 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._bytes import chunks
+from ._bytes import chunks, mapped_text
 
 #: Fixed patterns of the base kinds, and the least length of what counts (of group 2, of the match, of the match).
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -185,11 +185,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: S
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", allow: Sequence[str] = ()) -> DataFrame:
     """The same rows and columns, every found span of the text replaced by the mark (overlapping spans by one)."""
 
-    @F.pandas_udf("string")
-    def cleaned(texts):
+    def change():
         allowed = _allow(allow)
 
-        def one(text):
+        def one(text: str | None) -> str | None:
             if not text:
                 return text
             out, at = [], 0
@@ -199,6 +198,6 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", allow:
                 at = max(at, b)
             return "".join([*out, text[at:]])
 
-        return texts.map(one)
+        return lambda texts: [one(x) for x in texts]
 
-    return df.withColumn(text_col, cleaned(F.col(text_col)))
+    return mapped_text(df, text_col, change)

@@ -1,16 +1,20 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-The segmentation of a text is the sequence of pieces with the highest sum of scores. Scores and backpointers are kept for
+The segmentation of a text is the sequence of the fewest pieces, of those the one with the highest sum of scores. Both are kept
+in one number (a piece costs ``PIECE``, far more than any scores in a window come to), with backpointers, for
 a window of the longest piece's length only, for a later piece can start nowhere else; whenever all paths that survive
 at the window's places run through one boundary, the ids before it are committed and forgotten, so memory doesn't grow
 with the text. Places that no piece of the vocabulary can span (before a space mark that follows another character) are
 such boundaries from the outset: the stretches between them are encoded on their own, and short ones remembered.
 
-The vocabulary is a public model file, a parameter. Its scores are ranks of merges; the best sum of them isn't always the greedy
-merge order of the library, but both decode to the same text. Characters without a piece become bytes.
+The vocabulary is a public model file, a parameter. Its scores are ranks of merges, whose sum alone would favour many short early
+pieces; with the fewest pieces first a text has no more ids than the library's greedy merges give it. Both decode to the
+same text. Characters without a piece become bytes.
 
 Defined results: null and empty texts have no ids; U+2581 in a text is read as a space, as the library does; repeated rows
-are encoded each; a null id is carried through; an empty table gives no rows; other columns are left out.
+are encoded each; a null id is carried through; an empty table gives no rows; other columns are left out; a very long text
+needs the window, its ids and itself; of paths with equal pieces and scores (ties) the one whose last piece is longest is taken, at
+every place.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ SPACE = "▁"
 #: Stretches up to this length are remembered, so many at most per worker.
 REMEMBERED_LENGTH, REMEMBERED = 48, 500_000
 NONE = -1e300
+#: Cost of a piece: scores are whole numbers above -1e6, so doubles hold the sums of a window exactly.
+PIECE = 1e10
 
 
 class Codec:
@@ -52,14 +58,13 @@ class Codec:
             elif one.is_control(i) or one.is_unknown(i):
                 self.raw.append(b"")
             else:
-                self.pieces[piece] = one.get_score(i), i
+                self.pieces[piece] = one.get_score(i) - PIECE, i
                 self.raw.append(piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.pieces))
         # Of each beginning of a piece: its score and id, or None if it isn't a piece itself.
         self.table: dict[str, tuple[float, int] | None] = {p[:n]: None for p in self.pieces for n in range(1, len(p))}
         self.table |= self.pieces
-        usual = [s for s, _ in self.pieces.values() if s > -1e8]
-        self.byte_score = min(usual) - 10.0
+        self.byte_score = min(s for s, _ in self.pieces.values()) - 10.0
         # No piece may hold a space mark behind another character, else stretches can't be cut before space marks.
         whole = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.stretch = re.compile("(?s).+" if whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -109,7 +114,8 @@ class Codec:
                 at = open_.pop()
                 if at:
                     yield self._path(back, last, at)
-                    best, back, last = best[at:], [b - at for b in back[at:]], last[at:]
+                    zero = best[at]  # sums count from the boundary on, so they stay exact
+                    best, back, last = [b - zero if b > none else none for b in best[at:]], [b - at for b in back[at:]], last[at:]
                     done += at
         yield self._path(back, last, n - done)
 

@@ -6,14 +6,15 @@ counting every window would shuffle many times the corpus, so a first count, exa
 1. Each window's *anchor* is the leftmost least-hash gram of ``GRAM`` words in it; equal windows have equal anchors. Anchors
    (about one in 18 words) are counted in Spark, and windows whose anchor one document alone holds can't repeat.
 2. Of all other windows 128 bits of Rabin-Karp hash are counted in Spark: the smallest id that holds each, with partial
-   sums before the shuffle, so that a window that a third of the documents hold is no hot key.
+   sums before the shuffle, and frequent windows are looked up on their own, so that none is a hot key.
 3. Windows first held elsewhere are merged, per document, into maximal removal intervals.
 
 Exact copies of a text are settled by its digest: all of a copy of WINDOW words or more goes, but for the smallest id.
 
 Defined results: null, empty and blank texts have no words; rows with a null id are kept whole; rows that share an id and a text count as one
 document (each is returned); of rows that share an id but not a text, those with other than the least digest are kept
-whole; an empty table gives no rows; columns other than the two named are left out.
+whole; an empty table gives no rows; columns other than the two named are left out; a very long text is read whole, alone in its
+chunk (its memory grows with its length, not with the table); of equal windows (ties) those of the smallest id stay, all of them.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import BASE_1, BASE_2, BYTE_1, BYTE_2, Texts, chunks, merged, prefix_hash, signed, span_hash, window_anchors
-from ._graph import cut
-from .minhash import compressed, unpacked
+from ._bytes import BASE_1, BASE_2, BYTE_1, BYTE_2, Texts, body_chunks, chunks, compressed, merged, prefix_hash, signed, span_hash, unpacked, window_anchors
+from ._graph import cut, looked_up
 
 WINDOW, GRAM = 50, 16
 
@@ -79,53 +79,48 @@ _WINDOWS = "window_1 long, window_2 long, doc_id long, places array<int>"
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, body, found) -> the distinct windows whose anchor is found, with the words they start at."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, 64):
-            part = batch.slice(a, 64)
-            bodies = unpacked(part.column("body"))
-            texts = Texts(pa.array(bodies, pa.binary()).view(pa.string()))
-            _, _, rows, one, two = _hashed_words(texts, second=True)
-            grams, anchors = _anchors(one, rows, window, texts.n)
-            hits = []
-            first = np.append(0, np.cumsum(np.bincount(rows, minlength=texts.n)))
-            for i, found in enumerate(part.column("found")):
-                at = np.arange(first[i], first[i + 1])
-                at = at[anchors[at] >= 0]
-                hits.append(at[np.isin(signed(grams)[anchors[at]], found.values.to_numpy())])
-            at = np.concatenate(hits)
-            if not len(at):
-                continue
-            w1, w2, row = rolled(one, window, BASE_1)[at], rolled(two, window, BASE_2)[at], rows[at]
-            order = np.lexsort((at, w2, w1, row))
-            w1, w2, row, at = w1[order], w2[order], row[order], at[order]
-            new = np.flatnonzero(np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (row[1:] != row[:-1])))
-            places = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)).astype(np.int32)), pa.array((at - first[row]).astype(np.int32)))
-            docs = part.column("doc_id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(signed(w1[new])), pa.array(signed(w2[new])), pa.array(docs[row[new]]), places], names=["window_1", "window_2", "doc_id", "places"])
+    for part in body_chunks(batches):
+        texts = Texts(pa.array(unpacked(part.column("body")), pa.binary()).view(pa.string()))
+        _, _, rows, one, two = _hashed_words(texts, second=True)
+        grams, anchors = _anchors(one, rows, window, texts.n)
+        hits = []
+        first = np.append(0, np.cumsum(np.bincount(rows, minlength=texts.n)))
+        for i, found in enumerate(part.column("found")):
+            at = np.arange(first[i], first[i + 1])
+            at = at[anchors[at] >= 0]
+            hits.append(at[np.isin(signed(grams)[anchors[at]], found.values.to_numpy())])
+        at = np.concatenate(hits)
+        if not len(at):
+            continue
+        w1, w2, row = rolled(one, window, BASE_1)[at], rolled(two, window, BASE_2)[at], rows[at]
+        order = np.lexsort((at, w2, w1, row))
+        w1, w2, row, at = w1[order], w2[order], row[order], at[order]
+        new = np.flatnonzero(np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (row[1:] != row[:-1])))
+        places = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)).astype(np.int32)), pa.array((at - first[row]).astype(np.int32)))
+        docs = part.column("doc_id").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(signed(w1[new])), pa.array(signed(w2[new])), pa.array(docs[row[new]]), places], names=["window_1", "window_2", "doc_id", "places"])
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], window: int, keep: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 128):
-            part = batch.slice(a, 128)
-            rows = []
-            for doc, raw, lead, digest, found in zip(part.column("doc_id").to_pylist(), unpacked(part.column("body")), part.column("lead").to_pylist(), part.column("digest_1").to_pylist(), part.column("found"), strict=True):
-                starts, ends, _ = Texts(pa.array([raw], pa.binary()).view(pa.string())).words()
-                n, gone = len(starts), np.zeros(len(starts), bool)
-                if lead is not None and digest == int(np.frombuffer(xxhash.xxh3_128_digest(raw), "<i8")[0]):
-                    if lead != doc:
-                        gone[:] = n >= window
-                    elif found.is_valid and len(found.values):
-                        at = found.values.flatten().to_numpy().astype(np.int64)
-                        for x, y in zip(*merged(at, at + window, n), strict=True):
-                            gone[x:y] = True
-                text = b" ".join([raw[x:y] for x, y in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True)])
-                rows.append((doc, n, int(gone.sum()), hashlib.sha256(text).hexdigest(), text.decode() if keep else None))
-            kinds = (*[pa.int64()] * 3, pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _RESULT.split(", ")])
+    for part in body_chunks(batches):
+        rows = []
+        for doc, raw, lead, digest, found in zip(part.column("doc_id").to_pylist(), unpacked(part.column("body")), part.column("lead").to_pylist(), part.column("digest_1").to_pylist(), part.column("found"), strict=True):
+            starts, ends, _ = Texts(pa.array([raw], pa.binary()).view(pa.string())).words()
+            n, gone = len(starts), np.zeros(len(starts), bool)
+            if lead is not None and digest == int(np.frombuffer(xxhash.xxh3_128_digest(raw), "<i8")[0]):
+                if lead != doc:
+                    gone[:] = n >= window
+                elif found.is_valid and len(found.values):
+                    at = found.values.flatten().to_numpy().astype(np.int64)
+                    for x, y in zip(*merged(at, at + window, n), strict=True):
+                        gone[x:y] = True
+            text = b" ".join([raw[x:y] for x, y in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True)])
+            rows.append((doc, n, int(gone.sum()), hashlib.sha256(text).hexdigest(), text.decode() if keep else None))
+        kinds = (*[pa.int64()] * 3, pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _RESULT.split(", ")])
 
 
 def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, texts: bool = False) -> DataFrame:
@@ -138,14 +133,15 @@ def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     leads = cut(leads)  # so that the join below is one that adaptive execution can split where many rows are copies
     placed = cut(one.join(leads, ["digest_1", "digest_2"]).select("doc_id", "digest_1", "lead"))
     seen = anchors.select("doc_id", F.explode("grams").alias("gram"))
-    shared = seen.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("gram")
-    found = seen.join(shared, "gram").groupBy("doc_id").agg(F.collect_list("gram").alias("found"))
+    shared = cut(seen.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("times")).where("low < high").select("gram", "times"))
+    found = looked_up(seen, shared, ["gram"], "doc_id").groupBy("doc_id").agg(F.collect_list("gram").alias("found"))
     # The filter is what the inner join below implies; with it here all joins read one shuffle of the texts.
     bodies = known.mapInArrow(compressed, "doc_id long, body binary").where("doc_id IS NOT NULL")
     wanted = found.join(placed.where("doc_id = lead"), "doc_id").select("doc_id", "found")
     windows = bodies.join(wanted, "doc_id").mapInArrow(lambda it: _windows(it, window), _WINDOWS)
-    first = windows.groupBy("window_1", "window_2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window_1", "window_2", "low")
-    later = windows.join(first, ["window_1", "window_2"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_list("places").alias("found"))
+    first = windows.groupBy("window_1", "window_2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("times")).where("low < high")
+    first = cut(first.select("window_1", "window_2", "low", "times"))
+    later = looked_up(windows, first, ["window_1", "window_2"], "doc_id").where("doc_id > low").groupBy("doc_id").agg(F.collect_list("places").alias("found"))
     joined = bodies.join(placed.join(later, "doc_id", "left"), "doc_id", "left").select("doc_id", "body", "lead", "digest_1", "found")
     out = joined.mapInArrow(lambda it: _cut_out(it, window, texts), _RESULT)
     lost = docs.where("doc_id IS NULL").mapInArrow(compressed, "doc_id long, body binary")

@@ -7,7 +7,7 @@ document). Sorting every suffix of a corpus would ship each byte a hundred times
    grams. What repeats within a text is found where the text is read, each text for itself. Grams are counted in Spark
    (two shuffles of about one row per 43 bytes), and only those that two texts hold go on.
 2. For each such anchor the stretch of text whose windows it anchors goes to the shard of its gram, once per text. A
-   gram that more than ``SHARD_ROWS`` texts hold is dealt over several shards.
+   gram that more than ``SHARD_ROWS`` texts hold is dealt over as many shards (a power of two) as keep each that small.
 3. A shard sorts the suffixes of its stretches by Larsson-Sadakane refinement (groups not yet sorted are split by the
    rank of the suffix h further on, h doubling), finds common prefixes by Kasai's recurrence, and removes all but the
    earliest of each run of windows that share LENGTH bytes.
@@ -34,23 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import BASE_1, BASE_2, BYTE_1, BYTE_2, Texts, chunks, merged, mix, prefix_hash, signed, span_hash, window_anchors
-from ._graph import cut
-from .minhash import compressed, unpacked
+from ._bytes import BASE_1, BASE_2, BYTE_1, BYTE_2, Texts, body_chunks, chunks, compressed, merged, mix, prefix_hash, signed, span_hash, unpacked, window_anchors
+from ._graph import cut, looked_up
 
 LENGTH = 100
 GRAM = 16
 #: Stretches of one gram that a shard holds, about, and bytes that it sorts at once.
-SHARD_ROWS, SHARD_BYTES = 4096, 1 << 20
+SHARD_ROWS, SHARD_BYTES = 2048, 1 << 18
+#: Bytes of a text's own stretches that are sorted at once, about: whole grams, or one longer one.
+OWN_BYTES = 1 << 17
 
 
 def _eight_bytes(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place on as one big-endian number; zeros follow the end."""
-    out = np.zeros(len(data), np.uint64)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    for i in range(8):
-        out = (out << np.uint64(8)) | padded[i : i + len(data)]
-    return out
+    return np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)].copy().view(">u8").ravel().astype(np.uint64)
 
 
 def window_grams(texts: Texts, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,11 +95,14 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         again = order[~new_body]  # equal to an earlier stretch of the text
         group = np.cumsum(new_gram) - 1
         several = np.bincount(group[new_body], minlength=1)[group] > 1 if len(order) else np.zeros(0, bool)
-        mine = np.sort(order[new_body & several])  # stretches that share a gram but not all bytes
+        mine = order[new_body & several]  # stretches that share a gram but not all bytes, gram by gram
         spans = [(row[again], first[again], first[again] + n[again] + length - 1)]
-        if len(mine):
-            size = n[mine] + length - 1
-            spans.append(sort_stretches(gathered(texts.data, first[mine], size), size, row[mine], first[mine], n[mine], length, apart=True)[:3])
+        size = np.cumsum(n[mine] + length - 1)
+        shard = np.maximum.accumulate(np.where(np.append(True, group[new_body & several][1:] != group[new_body & several][:-1])[: len(mine)], (size - n[mine]) // OWN_BYTES, 0)) if len(mine) else size
+        for part in np.split(mine, np.flatnonzero(np.diff(shard)) + 1) if len(mine) else ():
+            part = np.sort(part)
+            size = n[part] + length - 1
+            spans.append(sort_stretches(gathered(texts.data, first[part], size), size, row[part], first[part], n[part], length, apart=True)[:3])
         d, a, z = (np.concatenate(x) for x in zip(*spans, strict=True))
         by = np.argsort(d, kind="stable")
         d, a, z = d[by], a[by] - texts.offsets[d[by]], z[by] - texts.offsets[d[by]]
@@ -118,39 +119,37 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         )
 
 
-_STRETCHES = "gram long, part int, parts int, doc_id long, start int, n int, body binary"
+_STRETCHES = "gram long, part long, split boolean, doc_id long, start int, n int, body binary"
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], length: int, shared: bytes) -> Iterator[pa.RecordBatch]:
-    """(doc_id, body, found: [gram + parts * 2**48]) -> the distinct stretches of the text whose gram other texts hold too."""
+    """(doc_id, body, found: [gram + 2**48 * (1 + log2 of its shards)]) -> the distinct stretches of the text whose gram other texts hold too."""
     pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(shared) if shared else None, write_checksum=False, write_content_size=True, write_dict_id=False).compress
-    for batch in batches:
-        for a in range(0, batch.num_rows, 128):
-            part = batch.slice(a, 128)
-            texts = Texts(pa.array(unpacked(part.column("body")), pa.binary()).view(pa.string()))
-            first, n, row, gram, body = stretches(texts, length)
-            gram = signed(gram)
-            order = np.lexsort((first, body, gram, row))
-            new = np.append(True, (row[order][1:] != row[order][:-1]) | (gram[order][1:] != gram[order][:-1]) | (body[order][1:] != body[order][:-1]))[: len(order)]
-            mine = np.sort(order[new])
-            parts = np.zeros(len(first), np.int64)
-            ends = np.searchsorted(row, np.arange(texts.n + 1))
-            for i, found in enumerate(part.column("found")):
-                packed = found.values.to_numpy()
-                known, split = packed & (2**48 - 1), packed >> 48
-                by = np.argsort(known)
-                at = by[np.minimum(np.searchsorted(known, gram[ends[i] : ends[i + 1]], sorter=by), len(known) - 1)]
-                parts[ends[i] : ends[i + 1]] = np.where(known[at] == gram[ends[i] : ends[i + 1]], split[at], 0)
-            mine = mine[parts[mine] > 0]
-            if not len(mine):
-                continue
-            docs = part.column("doc_id").to_numpy()[row[mine]]
-            start, size = first[mine] - texts.offsets[row[mine]], n[mine] + length - 1
-            dealt = np.where(parts[mine] > 1, (docs * 31 + start) % parts[mine], 0)
-            raw = texts.data
-            bodies = pa.array([pack(raw[x:y].tobytes()) for x, y in zip(first[mine].tolist(), (first[mine] + size).tolist(), strict=True)], pa.binary())
-            columns = [pa.array(gram[mine]), *(pa.array(x.astype(np.int32)) for x in (dealt, parts[mine])), pa.array(docs), *(pa.array(x.astype(np.int32)) for x in (start, n[mine])), bodies]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _STRETCHES.split(", ")])
+    for part in body_chunks(batches):
+        texts = Texts(pa.array(unpacked(part.column("body")), pa.binary()).view(pa.string()))
+        first, n, row, gram, body = stretches(texts, length)
+        gram = signed(gram)
+        order = np.lexsort((first, body, gram, row))
+        new = np.append(True, (row[order][1:] != row[order][:-1]) | (gram[order][1:] != gram[order][:-1]) | (body[order][1:] != body[order][:-1]))[: len(order)]
+        mine = np.sort(order[new])
+        parts = np.zeros(len(first), np.int64)
+        ends = np.searchsorted(row, np.arange(texts.n + 1))
+        for i, found in enumerate(part.column("found")):
+            packed = found.values.to_numpy()
+            known, split = packed & (2**48 - 1), np.left_shift(1, (packed >> 48) - 1)
+            by = np.argsort(known)
+            at = by[np.minimum(np.searchsorted(known, gram[ends[i] : ends[i + 1]], sorter=by), len(known) - 1)]
+            parts[ends[i] : ends[i + 1]] = np.where(known[at] == gram[ends[i] : ends[i + 1]], split[at], 0)
+        mine = mine[parts[mine] > 0]
+        if not len(mine):
+            continue
+        docs = part.column("doc_id").to_numpy()[row[mine]]
+        start, size = first[mine] - texts.offsets[row[mine]], n[mine] + length - 1
+        dealt = np.where(parts[mine] > 1, signed(mix((docs * 31 + start).astype(np.uint64)) >> np.uint64(1)) % parts[mine], 0)
+        raw = texts.data
+        bodies = pa.array([pack(raw[x:y].tobytes()) for x, y in zip(first[mine].tolist(), (first[mine] + size).tolist(), strict=True)], pa.binary())
+        columns = [pa.array(gram[mine]), pa.array(dealt), pa.array(parts[mine] > 1), pa.array(docs), *(pa.array(x.astype(np.int32)) for x in (start, n[mine])), bodies]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _STRETCHES.split(", ")])
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +271,7 @@ def _sort_shard(rows: list[pa.RecordBatch], length: int, unpack) -> Iterator[pa.
     alone = np.ones(len(doc), bool)
     alone[order[same]] = False
     # A gram with one stretch left holds no more repeats, unless other shards do.
-    dealt = table.column("parts").to_numpy() > 1
+    dealt = table.column("split").to_numpy()
     _, number, times = np.unique(gram[alone], return_inverse=True, return_counts=True)
     keep = np.flatnonzero(alone)
     keep = keep[(times[number] > 1) | dealt[keep]]
@@ -371,16 +370,17 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     placed = texts.join(leads, ["digest_1", "digest_2"]).select("doc_id", "digest_1", "lead", F.when(F.col("doc_id") == F.col("lead"), F.col("own")).alias("own"))
     placed = cut(placed)
     seen = anchors.select("doc_id", F.explode("grams").alias("gram"))
-    twice = seen.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram", F.least(F.ceil(F.col("times") / SHARD_ROWS), F.lit(32767)).alias("parts"))
-    found = seen.join(twice, "gram").groupBy("doc_id").agg(F.collect_list(F.col("gram") + F.shiftleft("parts", 48)).alias("found"))
+    twice = cut(seen.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"))
+    shards = F.greatest(F.ceil(F.log2(F.col("times") / SHARD_ROWS)), F.lit(0)) + 1
+    known_grams = looked_up(seen, twice, ["gram"], "doc_id").select("doc_id", (F.col("gram") + F.shiftleft(shards, 48)).alias("gram"))
+    found = known_grams.groupBy("doc_id").agg(F.collect_list("gram").alias("found"))
     # The filter is what the inner join below implies; with it here both joins read one shuffle of the texts.
     bodies = docs.mapInArrow(compressed, _with_body(docs)).where("doc_id IS NOT NULL")
     shared = _dictionary(known)
     wanted = found.join(placed.where("doc_id = lead"), "doc_id").select("doc_id", "found")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = bodies.select("doc_id", "body").join(wanted, "doc_id").mapInArrow(lambda it: _stretches(it, length, shared), _STRETCHES).repartition(n, "gram", "part").sortWithinPartitions("gram", "part")
+    dealt = bodies.select("doc_id", "body").join(wanted, "doc_id").mapInArrow(lambda it: _stretches(it, length, shared), _STRETCHES).repartition("gram", "part").sortWithinPartitions("gram", "part")
     shards = dealt.mapInArrow(lambda it: _sort_shards(it, length, shared), _FOUND)
-    merge = shards.repartition(n, "window_1").sortWithinPartitions("window_1", "window_2", "doc_id", "start").mapInArrow(lambda it: _merge(it, length), "doc_id long, start int, end int")
+    merge = shards.repartition("window_1").sortWithinPartitions("window_1", "window_2", "doc_id", "start").mapInArrow(lambda it: _merge(it, length), "doc_id long, start int, end int")
     removed = merge.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     empty = F.array().cast(_SPANS)
     every = F.concat(F.coalesce("own", empty), F.coalesce("spans", empty)).alias("spans")
@@ -395,27 +395,26 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
-            rows, rests = [], []
-            for doc, raw, lead, digest, found in zip(part.column("doc_id").to_pylist(), unpacked(part.column("body")), part.column("lead").to_pylist(), part.column("digest_1").to_pylist(), part.column("spans"), strict=True):
-                start = end = np.zeros(0, np.int64)
-                if lead is not None and digest == int(np.frombuffer(xxhash.xxh3_128_digest(raw), "<i8")[0]):
-                    if lead != doc and len(raw) >= length:
-                        start, end = np.zeros(1, np.int64), np.full(1, len(raw))
-                    elif lead == doc and found.is_valid and len(found.values):
-                        start, end = merged(found.values.field("start").to_numpy().astype(np.int64), found.values.field("end").to_numpy().astype(np.int64), len(raw))
-                kept = b"".join(raw[x:y] for x, y in zip(np.append(0, end), np.append(start, len(raw)), strict=True)) if len(start) else raw
-                rests.append(kept)
-                rows.append((doc, len(raw), len(raw) - len(kept), len(start), hashlib.sha256(kept).hexdigest()))
+    for part in body_chunks(batches):
+        rows, rests = [], []
+        for doc, raw, lead, digest, found in zip(part.column("doc_id").to_pylist(), unpacked(part.column("body")), part.column("lead").to_pylist(), part.column("digest_1").to_pylist(), part.column("spans"), strict=True):
+            start = end = np.zeros(0, np.int64)
+            if lead is not None and digest == int(np.frombuffer(xxhash.xxh3_128_digest(raw), "<i8")[0]):
+                if lead != doc and len(raw) >= length:
+                    start, end = np.zeros(1, np.int64), np.full(1, len(raw))
+                elif lead == doc and found.is_valid and len(found.values):
+                    start, end = merged(found.values.field("start").to_numpy().astype(np.int64), found.values.field("end").to_numpy().astype(np.int64), len(raw))
+            kept = b"".join(raw[x:y] for x, y in zip(np.append(0, end), np.append(start, len(raw)), strict=True)) if len(start) else raw
             if texts:
                 # A cut may fall within a code point; what is left of it is dropped.
-                strings = [x.decode("utf-8", "ignore") for x in rests]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(strings, pa.string()), part.column("rest")], names=["doc_id", "text", "rest"])
+                rests.append(kept.decode("utf-8", "ignore"))
             else:
-                kinds = (*[pa.int64()] * 4, pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _RESULT.split(", ")])
+                rows.append((doc, len(raw), len(raw) - len(kept), len(start), hashlib.sha256(kept).hexdigest()))
+        if texts:
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rests, pa.string()), part.column("rest")], names=["doc_id", "text", "rest"])
+        else:
+            kinds = (*[pa.int64()] * 4, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _RESULT.split(", ")])
 
 
 def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -5,16 +5,17 @@ and cut into segments of m components, ``|q - x|^2 >= sum of m * ((mean_q - mean
 Levels of 1, 2, 4, ... segments give ever closer lower bounds of the distance, so upper bounds of the score; a row
 survives a level if its bound reaches the query's k-th best score so far, and survivors of all levels get exact scores.
 
-The query set (every row whose id is divisible by ``every``) grows with the table, so it goes out in blocks of at most
-``QUERY_BLOCK`` vectors, each a bounded broadcast (at most 16 MB at 256 components); each block scans the rows once.
-Tasks return k rows a query and block at most, and Spark ranks them.
+The query set (every row whose id is divisible by ``every``) grows with the table, so it stays in Spark: queries are dealt to
+blocks of about ``QUERY_BLOCK`` and rows to blocks of about ``ROW_BLOCK``, every pair of blocks is the key of one shuffle, and in
+each pair the queries come first and are held while the rows stream past them. A pair returns k rows a query at most, and
+Spark ranks them. Nothing but two counts passes through the driver, and nothing is broadcast.
 
 Doubles are exact while ``|q| * |x|`` is below 2**53. Where it may not be, products in doubles with a bound of their
 rounding only pick the pairs that can be among the best, and these are scored in integers of any length.
 
 Defined results: a vector that is null, empty or holds a null or non-finite component takes no part, nor does a null id;
 a score beyond a long is given as the nearest long and still ranked by its exact value; vectors of different lengths aren't compared; repeated rows each count as candidates;
-ties go to the smaller id; an empty table gives no rows; other columns are left out.
+ties go to the smaller id; a query row that is repeated is one query; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K = 10
 EVERY = 100
 SCALE = 1024
-QUERY_BLOCK = 8192
+QUERY_BLOCK, ROW_BLOCK = 32_768, 8192
 #: Rows and queries of one step of the search in a task.
 ROWS, QUERIES = 2048, 256
 #: Kinds of vectors: products of two PLAIN ones (scaled, shorter than 2**26) are exact in doubles, those of LARGE ones are
@@ -192,41 +194,64 @@ class Block:
             self.least[at] = _below(-best[-1][0])
 
 
-def _search(batches: Iterator[pa.RecordBatch], queries: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
-    blocks: dict[int, list[Block]] = {}
-    for (n, kind), (ids, x) in queries.items():
-        blocks.setdefault(n, []).append(Block(ids, x, k, kind))
+def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (query block, row block), in each pair the queries first -> the best k of each query in each pair."""
+    pair: tuple | None = None
+    asked: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    blocks: dict[int, list[Block]] | None = None
+
+    def build() -> dict[int, list[Block]]:
+        built: dict[int, list[Block]] = {}
+        for (n, kind), parts in asked.items():
+            ids, x = np.concatenate([i for i, _ in parts]), np.vstack([v for _, v in parts])
+            built.setdefault(n, []).append(Block(ids, x, k, kind))
+        asked.clear()
+        return built
+
+    def results() -> Iterator[pa.RecordBatch]:
+        kinds = (*[pa.int64()] * 3, pa.binary())
+        for block in (b for several in (blocks or {}).values() for b in several):
+            for a in range(0, len(block.ids), 4096):
+                found = [(int(q), i, *_long(int(-s))) for q, best in zip(block.ids[a : a + 4096], block.best[a : a + 4096], strict=True) for s, i in best]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["query_id", "vec_id", "score", "beyond"])
+
     for batch in batches:
-        for a in range(0, batch.num_rows, ROWS):
-            part = batch.slice(a, ROWS)
-            for (n, kind), (ids, x) in scaled(part.column("embedding"), part.column("vec_id")).items():
-                for block in blocks.get(n, ()):
-                    block.search(ids, x, kind)
-    kinds = (*[pa.int64()] * 3, pa.binary())
-    for block in (b for several in blocks.values() for b in several):
-        found = [(int(q), i, *_long(int(-s))) for q, best in zip(block.ids, block.best, strict=True) for s, i in best]
-        for a in range(0, len(found), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[a : a + 65536], strict=True), kinds, strict=True)], names=["query_id", "vec_id", "score", "beyond"])
-
-
-def search(df: DataFrame, every: int = EVERY, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
+        keys = np.stack([batch.column(c).cast(pa.int64()).to_numpy() for c in ("query_block", "row_block", "is_row")])
+        edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        for a, b in zip(np.append(0, edges).tolist(), np.append(edges, batch.num_rows).tolist(), strict=True):
+            if (now := (int(keys[0, a]), int(keys[1, a]))) != pair:
+                yield from results()
+                pair, blocks = now, None
+                asked.clear()
+            for at in range(a, b, ROWS):
+                part = batch.slice(at, min(ROWS, b - at))
+                vectors = scaled(part.column("embedding"), part.column("vec_id"))
+                if not keys[2, a]:
+                    for group, found in vectors.items():
+                        asked.setdefault(group, []).append(found)
+                    continue
+                blocks = build() if blocks is None else blocks
+                for (n, kind), (ids, x) in vectors.items():
+                    for block in blocks.get(n, ()):
+                        block.search(ids, x, kind)
+    yield from results()
+
+
+def search(df: DataFrame, every: int = EVERY, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of highest score of each query, its own id left out."""
-    rows = df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<double>").alias("embedding"))
-    spark = rows.sparkSession
-    asked = rows.where(F.col("vec_id") % every == 0)
-    n = asked.count()
-    found = None
-    for block in range(max(1, -(-n // query_block))):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // query_block)))) == block)
-        queries: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        table = mine.distinct().toArrow()
-        for batch in table.combine_chunks().to_batches():
-            for group, (ids, x) in scaled(batch.column("embedding"), batch.column("vec_id")).items():
-                old = queries.get(group)
-                queries[group] = (np.append(old[0], ids), np.vstack([old[1], x])) if old else (ids, x)
-        sent = spark.sparkContext.broadcast(queries)
-        part = rows.mapInArrow(lambda it, sent=sent: _search(it, sent.value, k), SCHEMA)
-        found = part if found is None else found.unionByName(part)
+    element = df.schema[vector_col].dataType.elementType
+    vector = df[vector_col] if isinstance(element, (T.FloatType, T.DoubleType)) else df[vector_col].cast("array<double>")
+    rows = df.select(df[id_col].cast("long").alias("vec_id"), vector.alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    is_query = F.col("vec_id") % every == 0
+    n, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    row_blocks, query_blocks = max(1, -(-n // row_block)), max(1, -(-asked // query_block))
+    dealt = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    every_one = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    queries = rows.where(is_query).distinct().select(dealt(query_blocks).alias("query_block"), every_one(row_blocks).alias("row_block"), F.lit(False).alias("is_row"), "vec_id", "embedding")
+    candidates = rows.select(every_one(query_blocks).alias("query_block"), dealt(row_blocks).alias("row_block"), F.lit(True).alias("is_row"), "vec_id", "embedding")
+    pairs = queries.unionByName(candidates).repartition("query_block", "row_block").sortWithinPartitions("query_block", "row_block", "is_row")
+    found = pairs.mapInArrow(lambda it: _search(it, k), SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

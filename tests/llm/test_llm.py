@@ -283,8 +283,11 @@ def test_packing(docs, corpus):
     repeated = Counter(r.doc_id for r in docs.select("doc_id").collect())
     for i, text in texts.items():
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
-        assert sorted({(r.start, r.length, r.ids_crc32, r.doc_tokens) for r in pieces[i]}) == [(a, len(ids[a : a + 1024]), zlib.crc32(ids[a : a + 1024].tobytes()), len(ids)) for a in range(0, len(ids), 1024)]
-        assert len(pieces[i]) == repeated[i] * len({r.start for r in pieces[i]})
+        times = np.zeros(len(ids), int)
+        for r in pieces[i]:
+            assert (r.ids_crc32, r.doc_tokens) == (zlib.crc32(ids[r.start : r.start + r.length].tobytes()), len(ids)) and 0 < r.length <= 1024
+            times[r.start : r.start + r.length] += 1
+        assert (times == repeated[i]).all()
     for s in sequences.values():
         at = 0
         for r in sorted(s, key=lambda r: r.offset):
@@ -293,6 +296,19 @@ def test_packing(docs, corpus):
         assert at <= 1024
 
 
+def test_packing_leaves_little_padding():
+    """Groups that follow each other: what exceeds a window is cut off, only the last group's count rises."""
+    rng = np.random.RandomState(8)
+    texts = [" ".join("word" for _ in range(n)) for n in rng.randint(1, 2500, 3000)]
+    out = pa.Table.from_batches(packing._packed([pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], names=["doc_id", "text"])], 1024, "byte_bpe_50k"))
+    length, sequence = out.column("length").to_numpy(), out.column("sequence_id").to_numpy()
+    filled = np.bincount(sequence - sequence.min(), length)
+    assert filled.max() <= 1024 and filled.sum() == sum(len(t.split()) + 1 for t in texts)
+    assert 1 - filled.sum() / (1024 * len(filled)) < 0.01
+    sizes = rng.randint(1, 1025, 150)
+    assert packing.windows(sizes)[1].max() <= 1024
+
+
 @pytest.mark.parametrize("chars", [400_000, 0])
 def test_packing_ids_of_added_tokens(chars, monkeypatch):
     """Either path gives the ids of the JSON file's tokenizer with its defaults, also on texts that hold its end mark."""
@@ -345,6 +361,11 @@ def test_sentencepiece(docs, corpus):
         marked = "▁" + text.replace(" ", "▁") if text else ""
         assert got.tolist() == (whole(marked)[1] if marked else [])
         assert codec.decode(got) == text
+    import public_tokenizers
+    import sentencepiece
+
+    greedy = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(sentencepiece_codec.MODEL))
+    assert all(len(codec.encode(t)) <= len(greedy.encode(t)) for _, t in corpus if t)
     # Committed in parts, so the window stays bounded however long the text is.
     parts = list(codec.viterbi("abcde" * 400))
     assert len(parts) > 10 and [x for p in parts for x in p] == whole("abcde" * 400)[1]
@@ -425,6 +446,72 @@ def test_secrets(spark):
     assert secrets.scan(d.limit(1), allow=[key]).first().spans == ""
 
 
+#: Written by hand, apart from the table that the field is trained on: text, and the personal data in it.
+PERSONAL_BY_HAND = [
+    ("please write to maria (at) lagoon (dot) org before noon", ["maria (at) lagoon (dot) org"]),
+    ("Send it to jonas at harbour dot net, he reads mail daily.", ["jonas at harbour dot net"]),
+    ("reach the crew: sea.lion [at] reef.com or by post", ["sea.lion [at] reef.com"]),
+    ("my office line is (212) 555-0147 until six", ["(212) 555-0147"]),
+    ("call 646-555-0199 for a berth", ["646-555-0199"]),
+    ("fax 415.555.0133 still works", ["415.555.0133"]),
+    ("the card 4111.1111.1111.1111 was charged twice", ["4111.1111.1111.1111"]),
+    ("charge 5500.0000.0000.0004 please", ["5500.0000.0000.0004"]),
+    ("mobile (305)555-0188 or none", ["(305)555-0188"]),
+    ("Questions? ana (at) divers (dot) net knows", ["ana (at) divers (dot) net"]),
+    ("we met at noon at the dot on the map", []),
+    ("version 2.14.3 came out on 2024-05-17 at 12:30", []),
+    ("order no-4471 costs $12.50, paid in 3 parts of 4,166", []),
+    ("the year 1999-2000 saw 12345678 fish and 3.14159 sharks", []),
+    ("look at page 44 and at line 12.5 of the log", []),
+    ("ISBN 978-3-16-148410-0 sits on shelf 12", []),
+    ("he was at home; she was at sea. nothing else to report!", []),
+]
+#: Random keys and what only looks like them.
+KEYS_BY_HAND = [
+    ("use kJ8sQ2vLx0Zt7RmW4bYp to log in", ["kJ8sQ2vLx0Zt7RmW4bYp"]),
+    ("export K=Zx9+Qm3/Lw7Rt2Vb5Ny8Hc4Kd6Jf1Gs0Pa=", ["Zx9+Qm3/Lw7Rt2Vb5Ny8Hc4Kd6Jf1Gs0Pa="]),
+    ("the bearer was h7d93kslq02mzx84bvn1", ["h7d93kslq02mzx84bvn1"]),
+    ("A1B9-C3D7_E5F2G8H4J6K0 is old", ["A1B9-C3D7_E5F2G8H4J6K0"]),
+    ("QwErZxTyVbUiNmOpLkJhGf is one too", ["QwErZxTyVbUiNmOpLkJhGf"]),
+    ("internationalization and counterrevolutionaries", []),
+    ("see /usr/local/share/documentation/overview for more", []),
+    ("the id 123e4567-e89b-12d3-a456-426614174000 is public", []),
+    ("self-contained-and-well-known-phrases-of-some-length", []),
+    ("taken on 2024-05-17T10-20-30Z in the harbour", []),
+    ("zzzzzzzzzzzzzzzzzzzzzzzz1111111111", []),
+    ("Bearer eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9 expires", ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9"]),
+    ("client id 9f3Kq7TzW1xVb5Lm0Rj2", ["9f3Kq7TzW1xVb5Lm0Rj2"]),
+    ("ghp_x7Kd02LmQz9Vb4Tn8RcY1sWjE5uHaGf3 was revoked", ["ghp_x7Kd02LmQz9Vb4Tn8RcY1sWjE5uHaGf3"]),
+    ("getElementByIdentifierAndName(documentRootElement)", []),
+]
+
+
+def test_the_field_finds_what_no_pattern_lists():
+    """Precision and recall of the field alone on sentences written by hand."""
+    field, right, found, want = pii_crf.trained(), 0, 0, 0
+    for text, spans in PERSONAL_BY_HAND:
+        base, every = pii_crf.find_in(Texts(pa.array([text])), [text], field)[0]
+        assert not base, text
+        got = [text[a:b] for _, a, b in every]
+        right += len(set(got) & set(spans))
+        found += len(got)
+        want += len(spans)
+    assert found and right / found >= 0.9 and right / want >= 0.9, (right, found, want)
+
+
+def test_entropy_finds_what_no_pattern_lists():
+    """Precision and recall of the entropy scan alone on strings written by hand."""
+    right, found, want = 0, 0, 0
+    for text, keys in KEYS_BY_HAND:
+        base, every = secrets.find(text, secrets._allow(()))
+        assert not base, text
+        got = [text[a:b] for a, _, b in every]
+        right += len(set(got) & set(keys))
+        found += len(got)
+        want += len(keys)
+    assert found and right / found >= 0.9 and right / want >= 0.8, (right, found, want)
+
+
 def test_secrets_of_few_digits_are_found_whole():
     """Random keys, of whatever digits they have, are covered from end to end; words written together aren't keys."""
     rng = random.Random(21)
@@ -456,15 +543,15 @@ def test_entropy_is_incremental():
         assert math.isclose(bits, -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values()), abs_tol=1e-9)
 
 
-@pytest.mark.parametrize("block", [8192, 2])
-def test_top_k(spark, block):
+@pytest.mark.parametrize(("block", "row_block"), [(8192, 8192), (2, 50)])
+def test_top_k(spark, block, row_block):
     rng = np.random.RandomState(9)
     base = rng.randn(230, 24) / 5
     base[50:60] = base[0]  # ties
     rows = [(i * 10, [float(x) for x in v]) for i, v in enumerate(base)]
     rows += [(5000, None), (5100, [None] * 24), (5200, [float("nan")] * 24), (5300, [float("inf")] * 24), (None, rows[0][1]), (5400, []), (5500, [1.0, 2.0]), (5501, [2.0, 1.0])]
     got = defaultdict(list)
-    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).repartition(3), query_block=block).orderBy("query_id", "rank").collect():
+    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).repartition(3), query_block=block, row_block=row_block).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     good = {i: np.floor(1024 * np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
     for q, x in good.items():
@@ -525,3 +612,46 @@ def test_byte_helpers():
     assert [p.num_rows for p in parts] == [2, 1, 1, 1]
     t = Texts(pa.array(["a b", None, "", "\tcé "]))
     assert [t.data[s:e].tobytes().decode() for s, e, _ in zip(*t.words())] == ["a", "b", "cé"] and t.words()[2].tolist() == [0, 0, 3]
+
+
+@pytest.mark.parametrize("sizes", [[3_000_000], [140_000] * 40])
+def test_long_texts_are_read_whole_in_bounded_chunks(sizes):
+    """Chunks hold CHUNK_BYTES or one row; what a batch of long texts needs doesn't grow with its rows."""
+    import tracemalloc
+
+    from plumbline.llm import _bytes
+
+    rng = np.random.RandomState(3)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(4000)])
+    texts = [" ".join(words[rng.randint(0, 4000, n // 7)]) for n in sizes]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    assert all(sum(map(len, b.column("text").to_pylist())) <= _bytes.CHUNK_BYTES or b.num_rows == 1 for b in chunks([batch]))
+    bodies = list(_bytes.compressed([batch]))
+    assert [x.decode() for b in bodies for x in _bytes.unpacked(b.column("body"))] == texts
+    found = pa.array([[1 + (1 << 48)]] * len(texts), pa.list_(pa.int64()))
+    parts = pa.Table.from_batches(bodies).combine_chunks().append_column("found", found).to_batches()
+    largest = max(_bytes.CHUNK_BYTES, max(map(len, texts)))
+    runs = {
+        "anchors of bytes": lambda: suffix_dedup._anchor_rows([batch], 100), "stretches": lambda: suffix_dedup._stretches(parts, 100, b""), "anchors of words": lambda: substring_dedup._anchor_rows([batch], 50),
+        "windows": lambda: substring_dedup._windows(parts, 50), "signatures": lambda: minhash._signed_sets([batch], 5), "sets": lambda: minhash._sets(bodies, 5), "statistics": lambda: map(_stats.counts, (b.column("text") for b in chunks([batch]))),
+    }
+    for name, run in runs.items():
+        tracemalloc.start()
+        for _ in run():
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 200 * largest, (name, most / largest)
+
+
+def test_frequent_keys_are_looked_up_apart(spark):
+    """A key of a third of all rows: the join gives every row, and no task of it reads that key whole."""
+    from plumbline.llm._graph import cut, looked_up
+
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 5000).alias("k"))
+    facts = cut(rows.groupBy("k").agg(F.count("*").alias("times"), F.min("id").alias("low")).where("k <> 4"))
+    got = looked_up(rows, facts, ["k"], "id")
+    assert got.columns == ["id", "k", "times", "low"]
+    want = rows.join(facts, "k")
+    assert got.count() == want.count() == rows.where("k <> 4").count()
+    assert got.agg(F.sum("low"), F.sum("times"), F.countDistinct("id")).first() == want.agg(F.sum("low"), F.sum("times"), F.countDistinct("id")).first()
