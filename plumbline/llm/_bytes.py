@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 1 << 19
 
@@ -63,6 +64,19 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int)
     return mix((prefix[end] - prefix[start]) * powers(base, len(prefix))[1][start])
 
 
+#: Bytes of an Arrow batch between Spark and a task's Python, where the session has none of its own; Spark's default is 64 MB,
+#: of which the executor and the worker hold one or two each.
+BATCH, _BATCH_KEY, _BATCH_DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", ("64m", "67108864", "67108864b")
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow in batches of bounded bytes."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY).lower() in _BATCH_DEFAULT:
+        conf.set(_BATCH_KEY, BATCH)
+    return df.mapInArrow(run, schema)
+
+
 class Texts:
     """The UTF-8 bytes of a text column: data, and offsets of each row. Null counts as empty."""
 
@@ -148,7 +162,7 @@ def mapped_text(df: DataFrame, text_col: str, change: Callable[[], Callable[[lis
         for batch in chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(one(batch.column("text").to_pylist()), pa.string()), batch.column("rest")], names=["text", "rest"])
 
-    out = inner.mapInArrow(run, inner.schema)
+    out = mapped(inner, run, inner.schema)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in df.columns])
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +21,11 @@ def folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: no lineage behind it, the sizes of its files known to the optimizer."""
-    path = f"{folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """checkpoint() in the shared folder. A join with a cut side is one that adaptive execution can split where a key is frequent."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder(df.sparkSession))
+    return df.checkpoint()
 
 
 #: A key is frequent if it has more than one in so many rows; so at most so many keys are, whatever the data.
@@ -49,22 +49,34 @@ def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], spread: str, t
     return joined.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in values])
 
 
+#: Parts of a key in a spread join.
+SALTS = 4
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with facts (one row per key) on the key and a salt of the column ``by``.
+
+    Both sides are shuffled by key and salt, so a frequent key lands in SALTS tasks, and adaptive execution can split these on.
+    """
+    salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): of each node of the links (a, b), the least node that it reaches.
 
     Each round points every node's larger neighbours to its least one (large star), then its smaller ones and itself
     (small star); edges stay as many or fewer, and rounds grow with the logarithm of the longest path. Stops when a
-    round changes nothing. A node that is the center of a large star is looked up as any frequent key is.
+    round changes nothing.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")))
-        large = looked_up(both.where("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = cut(large.distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")))
-        small = looked_up(large, least, ["u"], "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = spread_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = spread_join(large, least, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import BASE_1, BYTE_1, WHITE, Texts, chunks, mix, prefix_hash, span_hash
+from ._bytes import BASE_1, BYTE_1, Texts, WHITE, chunks, mapped, mix, prefix_hash, span_hash
 
 GRAM = 5
 #: Integer statistics, by name; all cover the whole text.
@@ -131,7 +131,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             count = counts(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(count[c].astype(np.int64)) for c in COUNTS)], names=["doc_id", *COUNTS])
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.transform(mapped, run, SCHEMA)
 
 
 #: Labelled rows that a learner reads, at most: a documented bound, so the driver and the broadcast of their ids stay small.

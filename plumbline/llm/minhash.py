@@ -13,8 +13,8 @@ shares no band with probability 5e-6. In small sets minimum and maximum depend o
    share one of their rarest shingles (prefix filter), and pairs of different components that do are confirmed.
    So no pair that shares a bucket loses its link, however large the bucket is.
 
-Buckets, classes and shingles that a large part of all rows share are looked up as frequent keys (``_graph.looked_up``), so none lands
-in one task.
+What is counted or chosen per bucket, class and shingle is cut before it is joined to their members, so that adaptive execution
+splits those that a large part of all rows share.
 
 Defined results: a text without words (null, empty, blank) has an empty set and is linked with nothing; so is a row with
 a null id, which stays; rows that share an id count as one document; an empty table gives no rows; columns other than
@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import BASE_1, BYTE_1, Texts, body_chunks, chunks, compressed, mix, prefix_hash, signed, span_hash, unpacked
-from ._graph import components, cut, looked_up
+from ._bytes import BASE_1, BYTE_1, Texts, body_chunks, chunks, compressed, mapped, mix, prefix_hash, signed, span_hash, unpacked
+from ._graph import components, cut
 
 WORDS, PERCENT = 5, 75
 PERMUTATIONS, BANDS = 64, 32
@@ -152,7 +152,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
     joined = pairs.join(left, "a").join(right, "b")
-    return joined.select("a", "b", "grams_a", "grams_b").mapInArrow(lambda it: _confirmed(it, percent), "a long, b long")
+    return joined.select("a", "b", "grams_a", "grams_b").transform(mapped, lambda it: _confirmed(it, percent), "a long, b long")
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,11 +173,11 @@ def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     follows their places is long enough for the overlap. Most members of a shingle are in one component by now; pairs
     are the others with all, so a large group that is one component costs its size and not the square of it.
     """
-    grams = members.join(sets, "doc_id").select("doc_id", "component", "grams").mapInArrow(_prefixes, "doc_id long, component long, n long, gram long")
+    grams = members.join(sets, "doc_id").select("doc_id", "component", "grams").transform(mapped, _prefixes, "doc_id long, component long, n long, gram long")
     by_part = grams.groupBy("gram", "component").agg(F.count("*").alias("times"))
     held = by_part.groupBy("gram").agg(F.sum("times").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("times", "component")).alias("main"))
     # A shingle of one component takes its place in the order but brings no pair.
-    ranked = looked_up(grams, cut(held), ["gram"], "doc_id", "held").withColumn("place", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY held, gram)"))
+    ranked = grams.join(cut(held), "gram").withColumn("place", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY held, gram)"))
     heads = ranked.where("low < high").where(f"place <= n - ({percent} * n + 99) div 100 + 1").select("gram", "doc_id", "component", "n", "place", (F.col("component") != F.col("main")).alias("other"))
     heads = heads.withColumn("brief", F.expr(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1"))
     heads = cut(heads)
@@ -193,41 +193,41 @@ def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links) and kept, one row per input row."""
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    signed_docs = cut(docs.mapInArrow(lambda it: _signed_sets(it, words), _SIGNED))
+    signed_docs = cut(docs.transform(mapped, lambda it: _signed_sets(it, words), _SIGNED))
     filled = signed_docs.where("doc_id IS NOT NULL AND n_shingles > 0")
     key = ["set_1", "set_2", "n_shingles"]
-    classes = cut(filled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("times")))
+    classes = cut(filled.groupBy(*key).agg(F.min("doc_id").alias("rep")))
     # One row per representative, matched by its id, for a class may hold a third of all rows; rows that share an id and a set are alike.
     reps = filled.join(classes.select(*key, F.col("rep").alias("doc_id")), ["doc_id", *key]).dropDuplicates(["doc_id", *key])
     reps = cut(reps.select("doc_id", "n_shingles", "bands"))
     keyed = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     buckets = cut(keyed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
-    found = cut(looked_up(keyed, buckets, ["band"], "doc_id", "size").select("band", "doc_id", "n", "size"))
+    found = cut(keyed.join(buckets, "band").select("band", "doc_id", "n", "size"))
     # The star's center is the member that stands in the largest buckets: the least edited of a group, as a rule.
     weight = found.groupBy("doc_id").agg(F.sum("size").alias("weight"))
     center = F.max_by(F.struct("doc_id", "n"), F.struct("weight", -F.col("doc_id")))
-    centers = found.join(weight, "doc_id").groupBy("band").agg(center.alias("c"), F.count("*").alias("times"))
-    centers = cut(centers.select("band", F.col("c.doc_id").alias("center"), F.col("c.n").alias("n_center"), "times"))
+    centers = found.join(weight, "doc_id").groupBy("band").agg(center.alias("c"))
+    centers = cut(centers.select("band", F.col("c.doc_id").alias("center"), F.col("c.n").alias("n_center")))
 
     involved = found.select("doc_id").distinct()
-    bodies = docs.where("doc_id IS NOT NULL").mapInArrow(compressed, "doc_id long, body binary")
-    sets = cut(bodies.join(involved, "doc_id").mapInArrow(lambda it: _sets(it, words), "doc_id long, n long, grams binary").dropDuplicates(["doc_id"]))
-    starred = looked_up(found, centers, ["band"], "doc_id")
+    bodies = docs.where("doc_id IS NOT NULL").transform(mapped, compressed, "doc_id long, body binary")
+    sets = cut(bodies.join(involved, "doc_id").transform(mapped, lambda it: _sets(it, words), "doc_id long, n long, grams binary").dropDuplicates(["doc_id"]))
+    starred = found.join(centers, "band")
     stars = starred.where(f"doc_id <> center AND least(n, n_center) * 100 >= {percent} * greatest(n, n_center)").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct()
     links = cut(_confirm(stars, sets, percent))
-    parts = cut(components(links))
+    parts = components(links)
 
     # Buckets whose members are in several components yet.
     placed = found.join(parts, found.doc_id == parts.node, "left").select("band", F.coalesce("component", "doc_id").alias("component"))
-    split = cut(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("times")).where("low < high").select("band", "times"))
-    members = looked_up(found, split, ["band"], "doc_id").select("doc_id").distinct()
+    split = cut(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"))
+    members = found.join(split, "band").select("doc_id").distinct()
     members = cut(members.join(parts, members.doc_id == parts.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
     more = cut(_within(members, sets, percent))
     if not more.isEmpty():
         parts = components(links.unionByName(more))
 
-    named = classes.join(parts, classes.rep == parts.node, "left").select(*key, F.coalesce("component", "rep").alias("component_id"), "times")
-    out = looked_up(filled, cut(named), key, "doc_id").select("doc_id", "n_shingles", "component_id")
+    named = classes.join(parts, classes.rep == parts.node, "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
+    out = filled.join(cut(named), key).select("doc_id", "n_shingles", "component_id")
     rest = signed_docs.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

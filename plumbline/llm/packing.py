@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._bytes import chunks
+from ._bytes import chunks, mapped
 
 CAPACITY = 1024
 SEPARATOR = 0
@@ -177,4 +177,4 @@ def _packed(batches: Iterator[pa.RecordBatch], capacity: int, tokenizer: str) ->
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k") -> DataFrame:
     """One row per piece: which ids of which document lie where in which sequence."""
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    return docs.mapInArrow(lambda it: _packed(it, capacity, tokenizer), SCHEMA)
+    return docs.transform(mapped, lambda it: _packed(it, capacity, tokenizer), SCHEMA)

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._bytes import BASE_1, BASE_2, BYTE_1, Texts, chunks, mapped_text, prefix_hash, span_hash
+from ._bytes import BASE_1, BASE_2, BYTE_1, Texts, chunks, mapped, mapped_text, prefix_hash, span_hash
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
@@ -384,7 +384,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             kinds = [pa.int64()] * 5 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).transform(mapped, run, SCHEMA)
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:

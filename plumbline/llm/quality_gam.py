@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _stats
-from ._bytes import chunks
+from ._bytes import chunks, mapped
 
 BINS, PAIR_BINS = 48, 8
 ROUNDS, PAIR_ROUNDS, RATE = 250, 120, 0.1
@@ -153,7 +153,7 @@ def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             score = model.score(_stats.features(_stats.counts(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    scored = _stats.documents(df, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = _stats.documents(df, id_col, text_col).transform(mapped, run, "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
@@ -167,7 +167,7 @@ def keep_good(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in chunks(batches):
             yield batch.filter(pa.array(model.score(_stats.features(_stats.counts(batch.column("text")))) >= 0.5))
 
-    out = inner.mapInArrow(run, inner.schema)
+    out = inner.transform(mapped, run, inner.schema)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in df.columns])
 
 

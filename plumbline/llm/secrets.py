@@ -22,7 +22,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._bytes import chunks, mapped_text
+from ._bytes import chunks, mapped, mapped_text
 
 #: Fixed patterns of the base kinds, and the least length of what counts (of group 2, of the match, of the match).
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -179,7 +179,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: S
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.transform(mapped, run, SCHEMA)
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", allow: Sequence[str] = ()) -> DataFrame:

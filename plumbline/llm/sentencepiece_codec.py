@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._bytes import chunks
+from ._bytes import chunks, mapped
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -178,7 +178,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(same), lists], names=["doc_id", "n_ids", "ids_crc32", "round_trip", "ids"])
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).transform(mapped, run, SCHEMA)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -190,4 +190,4 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: s
             texts = [one.decode(np.array([i for i in x if i is not None and 0 <= i < len(one.raw)], np.int32)) if x is not None else None for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[ids_col].cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[ids_col].cast("array<int>").alias("ids")).transform(mapped, run, "doc_id long, text string")

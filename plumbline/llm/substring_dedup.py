@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import BASE_1, BASE_2, BYTE_1, BYTE_2, Texts, body_chunks, chunks, compressed, merged, prefix_hash, signed, span_hash, unpacked, window_anchors
+from ._bytes import BASE_1, BASE_2, BYTE_1, BYTE_2, Texts, body_chunks, chunks, compressed, mapped, merged, prefix_hash, signed, span_hash, unpacked, window_anchors
 from ._graph import cut, looked_up
 
 WINDOW, GRAM = 50, 16
@@ -127,7 +127,7 @@ def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     """Per document its words, how many went, and a digest of the rest; with ``texts`` also the rest itself."""
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     known = docs.where("doc_id IS NOT NULL")
-    anchors = cut(known.mapInArrow(lambda it: _anchor_rows(it, window), "doc_id long, digest_1 long, digest_2 long, grams array<long>"))
+    anchors = cut(known.transform(mapped, lambda it: _anchor_rows(it, window), "doc_id long, digest_1 long, digest_2 long, grams array<long>"))
     one = anchors.groupBy("doc_id").agg(F.min(F.struct("digest_1", "digest_2")).alias("d")).select("doc_id", "d.*")
     leads = one.groupBy("digest_1", "digest_2").agg(F.min("doc_id").alias("lead"))
     leads = cut(leads)  # so that the join below is one that adaptive execution can split where many rows are copies
@@ -136,17 +136,17 @@ def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     shared = cut(seen.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("times")).where("low < high").select("gram", "times"))
     found = looked_up(seen, shared, ["gram"], "doc_id").groupBy("doc_id").agg(F.collect_list("gram").alias("found"))
     # The filter is what the inner join below implies; with it here all joins read one shuffle of the texts.
-    bodies = known.mapInArrow(compressed, "doc_id long, body binary").where("doc_id IS NOT NULL")
+    bodies = known.transform(mapped, compressed, "doc_id long, body binary").where("doc_id IS NOT NULL")
     wanted = found.join(placed.where("doc_id = lead"), "doc_id").select("doc_id", "found")
-    windows = bodies.join(wanted, "doc_id").mapInArrow(lambda it: _windows(it, window), _WINDOWS)
+    windows = bodies.join(wanted, "doc_id").transform(mapped, lambda it: _windows(it, window), _WINDOWS)
     first = windows.groupBy("window_1", "window_2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("times")).where("low < high")
     first = cut(first.select("window_1", "window_2", "low", "times"))
     later = looked_up(windows, first, ["window_1", "window_2"], "doc_id").where("doc_id > low").groupBy("doc_id").agg(F.collect_list("places").alias("found"))
     joined = bodies.join(placed.join(later, "doc_id", "left"), "doc_id", "left").select("doc_id", "body", "lead", "digest_1", "found")
-    out = joined.mapInArrow(lambda it: _cut_out(it, window, texts), _RESULT)
-    lost = docs.where("doc_id IS NULL").mapInArrow(compressed, "doc_id long, body binary")
+    out = joined.transform(mapped, lambda it: _cut_out(it, window, texts), _RESULT)
+    lost = docs.where("doc_id IS NULL").transform(mapped, compressed, "doc_id long, body binary")
     lost = lost.select("doc_id", "body", F.lit(None).cast("long").alias("lead"), F.lit(None).cast("long").alias("digest_1"), F.lit(None).cast("array<array<int>>").alias("found"))
-    return out.unionByName(lost.mapInArrow(lambda it: _cut_out(it, window, texts), _RESULT))
+    return out.unionByName(lost.transform(mapped, lambda it: _cut_out(it, window, texts), _RESULT))
 
 
 #: The same rows in SQL.

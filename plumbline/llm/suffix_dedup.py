@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import BASE_1, BASE_2, BYTE_1, BYTE_2, Texts, body_chunks, chunks, compressed, merged, mix, prefix_hash, signed, span_hash, unpacked, window_anchors
+from ._bytes import BASE_1, BASE_2, BYTE_1, BYTE_2, Texts, body_chunks, chunks, compressed, mapped, merged, mix, prefix_hash, signed, span_hash, unpacked, window_anchors
 from ._graph import cut, looked_up
 
 LENGTH = 100
@@ -362,7 +362,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     not merged yet; null for copies, of which all goes).
     """
     known = docs.select("doc_id", "text")
-    anchors = cut(known.mapInArrow(lambda it: _anchor_rows(it, length), _ANCHORS))
+    anchors = cut(known.transform(mapped, lambda it: _anchor_rows(it, length), _ANCHORS))
     # One text per id; and of equal texts the smallest id stays.
     texts = anchors.groupBy("doc_id").agg(F.min(F.struct("digest_1", "digest_2", "own")).alias("d")).select("doc_id", "d.*")
     leads = texts.groupBy("digest_1", "digest_2").agg(F.min("doc_id").alias("lead"))
@@ -375,12 +375,12 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     known_grams = looked_up(seen, twice, ["gram"], "doc_id").select("doc_id", (F.col("gram") + F.shiftleft(shards, 48)).alias("gram"))
     found = known_grams.groupBy("doc_id").agg(F.collect_list("gram").alias("found"))
     # The filter is what the inner join below implies; with it here both joins read one shuffle of the texts.
-    bodies = docs.mapInArrow(compressed, _with_body(docs)).where("doc_id IS NOT NULL")
+    bodies = docs.transform(mapped, compressed, _with_body(docs)).where("doc_id IS NOT NULL")
     shared = _dictionary(known)
     wanted = found.join(placed.where("doc_id = lead"), "doc_id").select("doc_id", "found")
-    dealt = bodies.select("doc_id", "body").join(wanted, "doc_id").mapInArrow(lambda it: _stretches(it, length, shared), _STRETCHES).repartition("gram", "part").sortWithinPartitions("gram", "part")
-    shards = dealt.mapInArrow(lambda it: _sort_shards(it, length, shared), _FOUND)
-    merge = shards.repartition("window_1").sortWithinPartitions("window_1", "window_2", "doc_id", "start").mapInArrow(lambda it: _merge(it, length), "doc_id long, start int, end int")
+    dealt = bodies.select("doc_id", "body").join(wanted, "doc_id").transform(mapped, lambda it: _stretches(it, length, shared), _STRETCHES).repartition("gram", "part").sortWithinPartitions("gram", "part")
+    shards = dealt.transform(mapped, lambda it: _sort_shards(it, length, shared), _FOUND)
+    merge = shards.repartition("window_1").sortWithinPartitions("window_1", "window_2", "doc_id", "start").transform(mapped, lambda it: _merge(it, length), "doc_id long, start int, end int")
     removed = merge.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     empty = F.array().cast(_SPANS)
     every = F.concat(F.coalesce("own", empty), F.coalesce("spans", empty)).alias("spans")
@@ -421,7 +421,7 @@ def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     """Per document what was removed and a digest of the rest."""
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     bodies, removed = spans(docs.where("doc_id IS NOT NULL"), length)
-    out = bodies.join(removed, "doc_id", "left").select("doc_id", "body", "lead", "digest_1", "spans").mapInArrow(lambda it: _cut_out(it, length, False), _RESULT)
+    out = bodies.join(removed, "doc_id", "left").select("doc_id", "body", "lead", "digest_1", "spans").transform(mapped, lambda it: _cut_out(it, length, False), _RESULT)
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     zero = F.lit(0).cast("long")
     whole = docs.where("doc_id IS NULL").select("doc_id", F.length(body).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(body, 256).alias("kept_sha256"))
@@ -436,7 +436,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[docs[c] for c in rest]).alias("rest"))
     bodies, removed = spans(docs, length)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), docs.schema["rest"]])
-    out = bodies.join(removed, "doc_id", "left").select("doc_id", "body", "lead", "digest_1", "spans", "rest").mapInArrow(lambda it: _cut_out(it, length, True), schema)
+    out = bodies.join(removed, "doc_id", "left").select("doc_id", "body", "lead", "digest_1", "spans", "rest").transform(mapped, lambda it: _cut_out(it, length, True), schema)
     columns = {id_col: F.col("doc_id").cast(df.schema[id_col].dataType), text_col: F.col("text")}
     return out.select(*[columns[c].alias(c) if c in columns else F.col("rest")[c].alias(c) for c in df.columns]).unionByName(kept)
 

@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from ._bytes import mapped
 from pyspark.sql import types as T
 
 K = 10
@@ -251,7 +253,7 @@ def search(df: DataFrame, every: int = EVERY, k: int = K, id_col: str = "vec_id"
     queries = rows.where(is_query).distinct().select(dealt(query_blocks).alias("query_block"), every_one(row_blocks).alias("row_block"), F.lit(False).alias("is_row"), "vec_id", "embedding")
     candidates = rows.select(every_one(query_blocks).alias("query_block"), dealt(row_blocks).alias("row_block"), F.lit(True).alias("is_row"), "vec_id", "embedding")
     pairs = queries.unionByName(candidates).repartition("query_block", "row_block").sortWithinPartitions("query_block", "row_block", "is_row")
-    found = pairs.mapInArrow(lambda it: _search(it, k), SCHEMA)
+    found = pairs.transform(mapped, lambda it: _search(it, k), SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
