@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import BASE_1, BYTE_1, Texts, body_chunks, chunks, compressed, mapped, mix, prefix_hash, signed, span_hash, unpacked
-from ._graph import components, cut
+from ._graph import components, cut, stored
 
 WORDS, PERCENT = 5, 75
 PERMUTATIONS, BANDS = 64, 32
@@ -177,10 +177,10 @@ def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     by_part = grams.groupBy("gram", "component").agg(F.count("*").alias("times"))
     held = by_part.groupBy("gram").agg(F.sum("times").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("times", "component")).alias("main"))
     # A shingle of one component takes its place in the order but brings no pair.
-    ranked = grams.join(cut(held), "gram").withColumn("place", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY held, gram)"))
+    ranked = grams.join(stored(held), "gram").withColumn("place", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY held, gram)"))
     heads = ranked.where("low < high").where(f"place <= n - ({percent} * n + 99) div 100 + 1").select("gram", "doc_id", "component", "n", "place", (F.col("component") != F.col("main")).alias("other"))
     heads = heads.withColumn("brief", F.expr(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1"))
-    heads = cut(heads)
+    heads = stored(heads)
     test = f"""a.gram = b.gram AND a.component <> b.component AND (a.n < b.n OR a.n = b.n AND a.doc_id < b.doc_id) AND a.n * 100 >= {percent} * b.n
       AND 1 + least(a.n - a.place, b.n - b.place) >= ({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent}"""
     pairs = None
@@ -201,13 +201,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = filled.join(classes.select(*key, F.col("rep").alias("doc_id")), ["doc_id", *key]).dropDuplicates(["doc_id", *key])
     reps = cut(reps.select("doc_id", "n_shingles", "bands"))
     keyed = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    buckets = cut(keyed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
-    found = cut(keyed.join(buckets, "band").select("band", "doc_id", "n", "size"))
+    buckets = stored(keyed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
+    found = stored(keyed.join(buckets, "band").select("band", "doc_id", "n", "size"))
     # The star's center is the member that stands in the largest buckets: the least edited of a group, as a rule.
     weight = found.groupBy("doc_id").agg(F.sum("size").alias("weight"))
     center = F.max_by(F.struct("doc_id", "n"), F.struct("weight", -F.col("doc_id")))
     centers = found.join(weight, "doc_id").groupBy("band").agg(center.alias("c"))
-    centers = cut(centers.select("band", F.col("c.doc_id").alias("center"), F.col("c.n").alias("n_center")))
+    centers = stored(centers.select("band", F.col("c.doc_id").alias("center"), F.col("c.n").alias("n_center")))
 
     involved = found.select("doc_id").distinct()
     bodies = docs.where("doc_id IS NOT NULL").transform(mapped, compressed, "doc_id long, body binary")

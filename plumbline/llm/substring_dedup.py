@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import BASE_1, BASE_2, BYTE_1, BYTE_2, Texts, body_chunks, chunks, compressed, mapped, merged, prefix_hash, signed, span_hash, unpacked, window_anchors
-from ._graph import cut, looked_up
+from ._graph import cut, looked_up, stored
 
 WINDOW, GRAM = 50, 16
 
@@ -133,14 +133,14 @@ def removal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     leads = cut(leads)  # so that the join below is one that adaptive execution can split where many rows are copies
     placed = cut(one.join(leads, ["digest_1", "digest_2"]).select("doc_id", "digest_1", "lead"))
     seen = anchors.select("doc_id", F.explode("grams").alias("gram"))
-    shared = cut(seen.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("times")).where("low < high").select("gram", "times"))
+    shared = stored(seen.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("times")).where("low < high").select("gram", "times"))
     found = looked_up(seen, shared, ["gram"], "doc_id").groupBy("doc_id").agg(F.collect_list("gram").alias("found"))
     # The filter is what the inner join below implies; with it here all joins read one shuffle of the texts.
     bodies = known.transform(mapped, compressed, "doc_id long, body binary").where("doc_id IS NOT NULL")
     wanted = found.join(placed.where("doc_id = lead"), "doc_id").select("doc_id", "found")
     windows = bodies.join(wanted, "doc_id").transform(mapped, lambda it: _windows(it, window), _WINDOWS)
     first = windows.groupBy("window_1", "window_2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("times")).where("low < high")
-    first = cut(first.select("window_1", "window_2", "low", "times"))
+    first = stored(first.select("window_1", "window_2", "low", "times"))
     later = looked_up(windows, first, ["window_1", "window_2"], "doc_id").where("doc_id > low").groupBy("doc_id").agg(F.collect_list("places").alias("found"))
     joined = bodies.join(placed.join(later, "doc_id", "left"), "doc_id", "left").select("doc_id", "body", "lead", "digest_1", "found")
     out = joined.transform(mapped, lambda it: _cut_out(it, window, texts), _RESULT)

@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import BASE_1, BASE_2, BYTE_1, BYTE_2, Texts, body_chunks, chunks, compressed, mapped, merged, mix, prefix_hash, signed, span_hash, unpacked, window_anchors
-from ._graph import cut, looked_up
+from ._graph import cut, looked_up, stored
 
 LENGTH = 100
 GRAM = 16
 #: Stretches of one gram that a shard holds, about, and bytes that it sorts at once.
-SHARD_ROWS, SHARD_BYTES = 2048, 1 << 18
+SHARD_ROWS, SHARD_BYTES = 2048, 1 << 19
 #: Bytes of a text's own stretches that are sorted at once, about: whole grams, or one longer one.
-OWN_BYTES = 1 << 17
+OWN_BYTES = 1 << 18
 
 
 def _eight_bytes(data: np.ndarray) -> np.ndarray:
@@ -370,7 +370,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     placed = texts.join(leads, ["digest_1", "digest_2"]).select("doc_id", "digest_1", "lead", F.when(F.col("doc_id") == F.col("lead"), F.col("own")).alias("own"))
     placed = cut(placed)
     seen = anchors.select("doc_id", F.explode("grams").alias("gram"))
-    twice = cut(seen.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"))
+    twice = stored(seen.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"))
     shards = F.greatest(F.ceil(F.log2(F.col("times") / SHARD_ROWS)), F.lit(0)) + 1
     known_grams = looked_up(seen, twice, ["gram"], "doc_id").select("doc_id", (F.col("gram") + F.shiftleft(shards, 48)).alias("gram"))
     found = known_grams.groupBy("doc_id").agg(F.collect_list("gram").alias("found"))
