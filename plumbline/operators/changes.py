@@ -55,7 +55,9 @@ def newly_read(before: DataFrame, after: DataFrame, field: str) -> DataFrame:
     """One row: is the field read for the first time, with no value in any old row and some in the new? [CHG06]"""
     b = before.agg(F.coalesce(F.bool_or(F.col(field).isNotNull()), F.lit(False)).alias("old"))
     a = after.agg(F.coalesce(F.bool_or(F.col(field).isNotNull()), F.lit(False)).alias("new"))
-    return b.withColumn("_k", F.lit(1)).join(a.withColumn("_k", F.lit(1)), "_k").select((~F.col("old") & F.col("new")).alias("newly_read"))
+    return b.join(F.broadcast(a)).select(  # one row each
+        (~F.col("old") & F.col("new")).alias("newly_read")
+    )
 
 
 def transition(was: Column, now: Column, state: str) -> Column:

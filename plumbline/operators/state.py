@@ -54,9 +54,8 @@ def merge_latest(state: DataFrame, changes: DataFrame, keys: Sequence[str], orde
 
 def keep_days(book: DataFrame, day: str, days: int) -> DataFrame:
     """Rows of the last so many days before the newest recorded one (not the clock). [SNK07, SNK08, INC07]"""
-    newest = book.agg(F.max(day).alias("_newest")).withColumn("_k", F.lit(1))
-    joined = book.withColumn("_k", F.lit(1)).join(newest, "_k")
-    return joined.where(F.col(day) > F.date_sub("_newest", days)).drop("_k", "_newest")
+    newest = book.agg(F.max(day).alias("_newest"))
+    return book.join(F.broadcast(newest)).where(F.col(day) > F.date_sub("_newest", days)).drop("_newest")  # one row
 
 
 def replay(bronze: DataFrame, parse: Column, out: str) -> DataFrame:

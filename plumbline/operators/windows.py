@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.aggregates import medians
+
 
 def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:
     """Gaps and islands: the rows where the flag holds, with the number of their run within the key's own order. [WIN01]
@@ -53,8 +55,9 @@ def fare_verdicts(moves: DataFrame, group: Sequence[str], least_siblings: int =
     unpriced, markdown began or changed, same, too few siblings, the whole group moved alike, rose, fell.
     """
     ratio = F.when(F.col("was_currency") == F.col("now_currency"), F.try_divide("now_amount", "was_amount"))
-    w = Window.partitionBy(*group)
-    df = moves.withColumn("ratio", ratio).withColumn("_middle", F.median("ratio").over(w)).withColumn("_n", F.count("ratio").over(w))
+    rated = moves.withColumn("ratio", ratio)
+    counts = rated.groupBy(*group).agg(F.count("ratio").alias("_n")).join(medians(rated, group, "ratio", "_middle"), list(group), "left")
+    df = rated.join(counts, list(group))
     beyond = F.col("ratio") / F.col("_middle") - 1
     verdict = (
         F.when(F.col("was_currency") != F.col("now_currency"), "currency").when(F.col("was_amount").isNull() | F.col("now_amount").isNull(), "unpriced")
@@ -114,6 +117,7 @@ def due(df: DataFrame, today: Column, moved: Column, last_read: str, id_col: str
 
 def top_of_section(df: DataFrame, section: str, order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of each section, with how many more there are. [SRT05, SNK05, SNK06]"""
-    w = Window.partitionBy(section)
-    out = df.withColumn("nth", F.row_number().over(w.orderBy(*order))).withColumn("more", F.greatest(F.count("*").over(w) - n, F.lit(0)))
-    return out.where(F.col("nth") <= n)
+    w = Window.partitionBy(section).orderBy(*order)
+    top = df.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
+    sizes = df.groupBy(section).agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
+    return top.join(sizes, section)

@@ -154,16 +154,16 @@ def join_borrow_units(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT p_partkey AS k, p_size AS v, DATE '2024-01-01' + CAST(p_partkey % 7 AS INTEGER) AS d FROM part WHERE p_partkey % 3 <> 0),
-s AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 <> 0 THEN p_size + 1 END AS v, DATE '2024-01-04' AS d FROM part WHERE p_partkey % 2 = 0),
+WITH h AS (SELECT p_partkey AS k, p_size AS v, DATE '2024-01-01' + CAST(p_partkey % 7 AS INTEGER) AS d FROM part WHERE p_size <= 30),
+s AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 <> 0 THEN p_size + 1 END AS v, DATE '2024-01-04' AS d FROM part WHERE p_size >= 20),
 j AS (SELECT coalesce(h.k, s.k) AS k, h.v AS hv, h.d AS hd, s.v AS sv, s.d AS sd FROM h FULL JOIN s ON h.k = s.k)
 SELECT k, CASE WHEN sv IS NOT NULL AND (hv IS NULL OR sd > hd) THEN sv ELSE coalesce(hv, sv) END AS v, coalesce(sv IS NOT NULL AND hv IS NOT NULL AND sd > hd, false) AS superseded FROM j
 """)
 def join_prefer_unless_fresher(t: Tables) -> DataFrame:
     """Hand-read values against scraped ones that may be fresher. [JOI13]"""
     k = F.col("p_partkey")
-    h = t.part.where("p_partkey % 3 <> 0").select(k.alias("k"), F.col("p_size").alias("v"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 7).cast("int")).alias("d"))
-    s = t.part.where("p_partkey % 2 = 0").select(k.alias("k"), F.when(k % 5 != 0, F.col("p_size") + 1).alias("v"), F.lit("2024-01-04").cast("date").alias("d"))
+    h = t.part.where("p_size <= 30").select(k.alias("k"), F.col("p_size").alias("v"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 7).cast("int")).alias("d"))
+    s = t.part.where("p_size >= 20").select(k.alias("k"), F.when(k % 5 != 0, F.col("p_size") + 1).alias("v"), F.lit("2024-01-04").cast("date").alias("d"))
     return joins.prefer_unless_fresher(h, s, ["k"], "v", "d")
 
 
@@ -360,14 +360,16 @@ def agg_first_copy(t: Tables) -> DataFrame:
 
 @query("""
 WITH b AS (SELECT l_orderkey AS id, l_suppkey, l_shipdate AS start, l_extendedprice AS base, CASE WHEN l_discount > 0 THEN l_extendedprice * (1 + l_tax) END AS total, l_quantity, l_partkey, l_linenumber FROM lineitem),
-f AS (SELECT l_suppkey, arg_min(struct_pack(id := id, base := base, total := total), (start, id)) AS r, count(*) AS n FROM b GROUP BY l_suppkey),
-u AS (SELECT l_suppkey, id, start FROM b GROUP BY ALL HAVING count(*) = 1)
-SELECT f.l_suppkey, r.id AS id FROM f
+f AS (SELECT l_suppkey, id, start, min(base) AS base, min(total) AS total FROM b GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY start, id) AS nth FROM f)
+SELECT l_suppkey, id, round(base, 4) AS base, round(total, 4) AS total, CASE WHEN base > 0 THEN round(100 * (total - base) / base, 6) END AS markup FROM r WHERE nth = 1
 """)
 def agg_check_table(t: Tables) -> DataFrame:
-    """First bill of each supplier. [AGG29]"""
+    """First bill of each supplier with its base, total and markup. [AGG29]"""
     b = t.lineitem.select(F.col("l_orderkey").alias("id"), "l_suppkey", F.col("l_shipdate").alias("start"), F.col("l_extendedprice").alias("base"), F.when(F.col("l_discount") > 0, F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("total"))
-    return aggregates.check_table(b, ["l_suppkey"], "start").select("l_suppkey", "id")
+    one = b.groupBy("l_suppkey", "id", "start").agg(F.min("base").alias("base"), F.min("total").alias("total"))
+    out = aggregates.check_table(one, ["l_suppkey"], "start")
+    return out.select("l_suppkey", "id", F.round("base", 4).alias("base"), F.round("total", 4).alias("total"), F.round("markup", 6).alias("markup"))
 
 
 @query("SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY c_nationkey")
@@ -607,16 +609,16 @@ def sale_census(t: Tables) -> DataFrame:
 
 # --- changes ---------------------------------------------------------------------------------------------------------
 
-_SNAPSHOTS = """before AS (SELECT o_orderkey AS id, o_custkey AS boat, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 10 <> 0),
-after AS (SELECT o_orderkey AS id, o_custkey AS boat, CASE WHEN o_orderkey % 7 = 0 THEN 'P' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice + o_orderkey % 13 - 4 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 9 <> 0 AND o_custkey % 17 <> 0)"""
+_SNAPSHOTS = """before AS (SELECT o_orderkey AS id, o_custkey AS boat, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderdate < TIMESTAMP '2000-12-01'),
+after AS (SELECT o_orderkey AS id, o_custkey AS boat, CASE WHEN o_orderkey % 7 = 0 THEN 'P' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice + o_orderkey % 13 - 4 ELSE o_totalprice END AS price FROM orders WHERE o_orderdate >= TIMESTAMP '1998-05-01')"""
 
 
 def _snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
     k = F.col("o_orderkey")
-    base = t.orders.select(k.alias("id"), F.col("o_custkey").alias("boat"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
-    after = base.where("id % 9 <> 0 AND boat % 17 <> 0")
+    base = t.orders.select(k.alias("id"), F.col("o_custkey").alias("boat"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), "o_orderdate")
+    before, after = base.where("o_orderdate < '2000-12-01'").drop("o_orderdate"), base.where("o_orderdate >= '1998-05-01'").drop("o_orderdate")
     after = after.withColumn("status", F.when(F.col("id") % 7 == 0, "P").otherwise(F.col("status"))).withColumn("price", F.when(F.col("id") % 11 == 0, F.col("price") + F.col("id") % 13 - 4).otherwise(F.col("price")))
-    return base.where("id % 10 <> 0"), after
+    return before, after
 
 
 @query(f"""
@@ -728,8 +730,8 @@ def facet_used_only(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT c_custkey AS key, DATE '2024-01-20' - CAST(c_custkey % 20 AS INTEGER) AS checked FROM customer WHERE c_custkey % 2 = 0),
-v AS (SELECT c_custkey AS key FROM customer WHERE c_custkey % 3 = 0), l AS (SELECT DISTINCT o_custkey AS key FROM orders),
+WITH s AS (SELECT c_custkey AS key, DATE '2024-01-20' - CAST(c_custkey % 20 AS INTEGER) AS checked FROM customer WHERE c_acctbal < 6000),
+v AS (SELECT c_custkey AS key FROM customer WHERE c_acctbal > 3000), l AS (SELECT DISTINCT o_custkey AS key FROM orders),
 j AS (SELECT coalesce(s.key, v.key) AS key, checked, v.key IS NOT NULL AS visited FROM s FULL JOIN v ON s.key = v.key)
 SELECT key, CASE WHEN visited THEN DATE '2024-01-20' ELSE checked END AS checked FROM j WHERE NOT (visited AND key IN (SELECT key FROM l)) AND (visited OR DATE '2024-01-20' - checked BETWEEN 0 AND 14)
 """, dates=("checked",))
@@ -737,8 +739,8 @@ def state_skip_list(t: Tables) -> DataFrame:
     """A skip list after a day's visits: stamped, removed, expired. [INC02, INC03]"""
     today = F.lit("2024-01-20").cast("date")
     k = F.col("c_custkey")
-    s = t.customer.where(k % 2 == 0).select(k.alias("key"), F.date_sub(today, (k % 20).cast("int")).alias("checked"))
-    return state.update_skip_list(s, t.customer.where(k % 3 == 0).select(k.alias("key")), t.orders.select(F.col("o_custkey").alias("key")), today)
+    s = t.customer.where("c_acctbal < 6000").select(k.alias("key"), F.date_sub(today, (k % 20).cast("int")).alias("checked"))
+    return state.update_skip_list(s, t.customer.where("c_acctbal > 3000").select(k.alias("key")), t.orders.select(F.col("o_custkey").alias("key")), today)
 
 
 @query("""
@@ -748,7 +750,7 @@ SELECT key, max(day) AS day, arg_max(price, (day, id)) AS price FROM b GROUP BY
 def state_merge_latest(t: Tables) -> DataFrame:
     """Upsert that keeps the newest row of a key. [SET10, SNK11, INC07]"""
     b = t.orders.select(F.col("o_custkey").alias("key"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("price"), F.struct(F.to_date("o_orderdate").alias("d"), F.col("o_orderkey").alias("id")).alias("o"))
-    return state.merge_latest(b.where("o.id % 2 = 0"), b.where("o.id % 2 = 1"), ["key"], "o").drop("o")
+    return state.merge_latest(b.where("price < 200000"), b.where("price >= 200000"), ["key"], "o").drop("o")
 
 
 @query("SELECT event_id, CAST(ts AS DATE) AS day FROM events WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - 7", dates=("day",))
@@ -826,14 +828,16 @@ def text_first_rule(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def extract_json(t: Tables) -> DataFrame:
-    """A field of nested JSON. [EXT28]"""
+    """A field of nested JSON."""
     return t.events.select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
 
 
-@query(r"""SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS INTEGER) AS n_links FROM pages""")
+@query(r"""
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages) SELECT DISTINCT page_id, link FROM l WHERE link <> '/the'
+""")
 def extract_links(t: Tables) -> DataFrame:
     """Distinct links of each page. [EXT10, SET09]"""
-    return t.pages.select("page_id", F.size(extract.links(F.col("html"), 'href="([^"]*)"')).alias("n_links"))
+    return t.pages.select("page_id", F.explode(extract.links(F.col("html"), 'href="([^"]*)"', ("/the",))).alias("link"))
 
 
 @query(r"""
@@ -897,3 +901,6 @@ def money_per_night(t: Tables) -> DataFrame:
 def stream_windowed(t: Tables) -> DataFrame:
     """Hourly windows; the same plan as over a stream."""
     return streams.windowed(t.events)
+
+
+from plumbline.plans import details  # noqa: E402,F401  (registers its queries here)
