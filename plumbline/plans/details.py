@@ -231,6 +231,68 @@ def extract_trip(t: Tables) -> DataFrame:
     ).withColumn("paragraphs", F.regexp_replace("paragraphs_", r"^(a\|b\|c\|)", "")).drop("paragraphs_")
 
 
+@query("""
+SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS cabin_id, p_name || ' & more' AS name, 2 AS sleeps, p_brand AS beds, CAST(1000 + p_size AS DOUBLE) AS price, CASE WHEN p_size % 3 = 0 THEN CAST(1500 AS DOUBLE) END AS list_price,
+  CASE WHEN p_type = 'ECONOMY' THEN 0 ELSE p_size END AS berths, p_type = 'ECONOMY' AS sold_out, CASE WHEN p_size % 2 = 0 THEN 60 ELSE 80 END AS supplement, CASE WHEN p_size % 4 = 0 THEN 'GBP' END AS shown FROM part
+""")
+def extract_cabins(t: Tables) -> DataFrame:
+    """Rooms of booking pages: prices, places, beds, surcharges by id, and marks of another currency. [EXT11-EXT13, EXT49]"""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    mark = F.when(F.col("p_size") % 4 == 0, "&pound;").when(F.col("p_size") % 4 == 1, "$").otherwise("&#x20AC;")
+    choice = F.when(F.col("p_type") == "ECONOMY", "<b>FULL</b>").otherwise(_cat(_lit("<select name=input-cabin-guests-"), key, _lit(" data-allocation="), size, _lit("><option>1</select>")))
+    html = _cat(
+        _lit("<button aria-controls=help-content-cabin-details-"), key, _lit(' title="'), "p_name", _lit(' &amp; more">x</button><ol><li><span>2 People</span><li><span title=Beds>'), "p_brand", _lit("</span></ol>"), choice,
+        F.when(F.col("p_size") % 3 == 0, "<del>€1,500</del>").otherwise(""), _lit("<em>"), mark, _lit("</em> <span translate=no>1,0"), F.lpad(size, 2, "0"), _lit("</span><button aria-controls=help-content-cabin-details-"), key, _lit(" aria-label='Close dialog'></button><div id="),
+        F.when(F.col("p_size") % 2 == 0, "private-cabin-help-text-").otherwise("privacy-optional-help-text-"), key, _lit(">a <b>"), F.when(F.col("p_size") % 2 == 0, "60").otherwise("80"), _lit("%</b> surcharge applies</div>"),
+    )
+    out = extract.cabins(t.part.select("p_partkey", html.alias("html")), "html", _lit("EUR"))
+    return out.select("p_partkey", "cabin_id", "name", "sleeps", "beds", "price", "list_price", "berths", "sold_out", "supplement", "shown")
+
+
+@query(r"SELECT p_partkey, p_name || chr(10) || '5:T2,é' AS plan, p_size AS size, 1 AS undecoded FROM part")
+def extract_streamed(t: Tables) -> DataFrame:
+    """Objects of streamed chunks, with text rows by byte length in place of their labels. [EXT41-EXT45]"""
+    plan = _cat("p_name", _lit("\n5:T2,é"))
+    row = _cat(_lit("0:[]\n3f:T"), F.lower(F.hex(F.octet_length(plan))), _lit(","), plan, _lit('7:{"a":{"details":{"text":"$3f","size":'), F.col("p_size").cast("string"), _lit("}}}"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    html = _cat(_lit("push([1,"), quoted(F.substring(row, 1, 9)), _lit("])push([1,"), quoted(F.substring(row, 10, 100_000)), _lit('])push([1,"\\x"])'))
+    found = t.part.select("p_partkey", html.alias("html")).lateralJoin(extract.StreamedObjects(F.col("html").outer(), _lit("details")))
+    return found.select("p_partkey", F.get_json_object("node", "$.details.text").alias("plan"), F.get_json_object("node", "$.details.size").cast("int").alias("size"), "undecoded")
+
+
+@query("""
+SELECT p_partkey, 'required' AS block, 'Park fees' AS label, CAST(p_size AS DOUBLE) AS amount, CAST(100 AS DOUBLE) AS amount_max, 'USD' AS currency, 'per_day' AS basis, false AS unit_unstated FROM part
+UNION ALL SELECT p_partkey, 'required', p_type, CAST(1000 + p_size AS DOUBLE), NULL, 'EUR', NULL, true FROM part UNION ALL SELECT p_partkey, 'included', 'Nitrox', NULL, NULL, 'EUR', NULL, false FROM part
+UNION ALL SELECT p_partkey, 'optional', 'Wine', NULL, NULL, 'EUR', NULL, false FROM part
+""")
+def extract_fees(t: Tables) -> DataFrame:
+    """Fee lines of disclosures: blocks, ranges, currencies, units; an inclusion replaces an optional line without a price. [EXT14, EXT15, EXT46, EXT47]"""
+    size = F.col("p_size").cast("string")
+    body = _cat(_lit("Required Extras: Park fees $"), size, _lit("-100 per day,\n"), "p_type", _lit(" €1,0"), F.lpad(size, 2, "0"), _lit(".\nOptional Extras: Wine, Nitrox.\nIncluded: Nitrox."))
+    found = t.part.select("p_partkey", body.alias("body")).lateralJoin(extract.ParseFees(F.col("body").outer(), _lit("EUR")))
+    return found.select("p_partkey", "block", "label", "amount", "amount_max", "currency", "basis", "unit_unstated")
+
+
+@query("SELECT p_partkey, 'included' AS block, p_name || ', meals' AS excerpt FROM part UNION ALL SELECT p_partkey, 'optional', 'Wine ' || p_brand FROM part")
+def extract_fee_excerpts(t: Tables) -> DataFrame:
+    """The stored beginning of each block of a disclosure. [EXT16]"""
+    body = _cat(_lit("Included: "), "p_name", _lit(",  meals Optional Extras: Wine "), "p_brand")
+    return t.part.select("p_partkey", F.explode(extract.fee_excerpts(body)).alias("block", "excerpt")).withColumn("excerpt", F.regexp_replace("excerpt", r"[\s,]+$", ""))
+
+
+@query("""
+SELECT p_partkey, 'gear_rental' AS code, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS amount, CASE WHEN p_size % 2 = 0 THEN 'EUR' END AS currency, CASE WHEN p_size % 2 = 0 AND p_size % 3 > 0 THEN 'per_trip' ELSE 'per_week' END AS basis, p_size % 2 = 0 AND p_size % 3 > 0 AS unit_unstated FROM part
+""")
+def extract_gear(t: Tables) -> DataFrame:
+    """The one fee line of a gear dialog: a set with its unit, a set without one, or items alone. [EXT17, EXT18]"""
+    size = F.col("p_size").cast("string")
+    item = lambda label, value: _cat(_lit(f"<li><strong>{label}</strong><span>"), value, _lit("</span></li>"))
+    full = _cat(_lit("Full equipment rent"), item("Set", _cat(_lit("€"), size, F.when(F.col("p_size") % 3 == 0, " / week").otherwise(""))))
+    html = _cat(_lit("<h3>Rental Gear Prices</h3>"), item("Mask", _lit("€5 / week")), F.when(F.col("p_size") % 2 == 0, full).otherwise(""))
+    found = t.part.select("p_partkey", html.alias("html")).lateralJoin(extract.GearLine(F.col("html").outer(), _lit("EUR")))
+    return found.select("p_partkey", "code", "amount", "currency", "basis", "unit_unstated")
+
+
 # --- bills -----------------------------------------------------------------------------------------------------------
 
 _BILL = """

@@ -85,19 +85,30 @@ def test_schedule_walk(spark):
 
 
 def test_cabins(spark):
-    html = """<button class="cabin-name" data-cabin="7">Deck <b>Twin</b></button> €1,000 €900 <select data-allocation="4"></select> single use 80 %
-    <button class="cabin-name" data-cabin="8">Suite</button> $2000 FULL <button class="cabin-name" data-cabin="9">No price</button>"""
-    d = spark.createDataFrame([(html,)], "h string").lateralJoin(extract.ParseCabins(F.col("h").outer(), F.lit("EUR"))).drop("h")
-    a, b = d.orderBy("position").collect()
-    assert (a.name, a.price, a.list_price, a.berths, a.sold_out, a.supplement, a.currency_differs) == ("Deck Twin", 900.0, 1000.0, 4, False, 80, False)
-    assert (b.name, b.berths, b.sold_out, b.currency_differs) == ("Suite", 0, True, True)
+    """A page as served: attributes quoted only where they must be, entities, dialogs after the listings, surcharges by id."""
+    room = lambda i, title, mark, now, rest: f"<li><button type=button aria-controls=help-content-cabin-details-{i} title={title}>x</button><ol><li><span>2 People</span></li><li><span class=b title=Beds>1 Double &amp; 1 Twin</span></li></ol>{rest}<em class=c>{mark}</em><span class=n translate=no>{now}</span>"
+    html = (
+        room(71, '"Lower &amp; Twin"', "&#x20AC;", "1,080", "<del>€1,350</del><p>only 3 spaces left</p><select id=s name=input-cabin-guests-71 data-allocation=3><option value=1>1 person</select>")
+        + "<div id=private-cabin-help-text-71>a <b>60%</b> surcharge applies</div>" + room(7, "Suite", "$", "2,000.50", "<span>FULL</span>") + "<div id=privacy-optional-help-text-7>for an additional 80% surcharge</div>"
+        + room(8, "Deck", "£", "900", '<select name="input-cabin-guests-8" data-allocation="0"></select>') + room(9, "Untitled", "", "", "<select name=input-cabin-guests-9>")
+        + "<div id=help-content-cabin-details-71><button aria-controls=help-content-cabin-details-71 aria-label='Close dialog'></div>"
+    )
+    a, b, c = extract.cabins(spark.createDataFrame([("p", html), ("empty", ""), ("none", None)], "page string, h string"), "h", F.lit("EUR")).orderBy("position").collect()
+    assert (a.cabin_id, a.name, a.sleeps, a.beds, a.price, a.list_price, a.berths, a.spaces_left, a.sold_out, a.supplement, a.shown) == ("71", "Lower & Twin", 2, "1 Double & 1 Twin", 1080.0, 1350.0, 3, 3, False, 60, None)
+    assert (b.cabin_id, b.name, b.price, b.list_price, b.berths, b.sold_out, b.supplement, b.shown) == ("7", "Suite", 2000.5, None, 0, True, 80, None)
+    assert (c.name, c.berths, c.sold_out, c.supplement, c.shown) == ("Deck", 0, False, None, "GBP")
 
 
 def test_streamed_objects(spark):
-    body = '3f:T5,hello\n' + json.dumps({"a": {"details": {"text": "$3f"}}})
-    html = f"push([1,{json.dumps(body)}])"
-    r = spark.createDataFrame([(html,)], "h string").lateralJoin(extract.StreamedObjects(F.col("h").outer(), F.lit("details"))).first()
-    assert json.loads(r.node)["details"]["text"] == "hello"
+    """Text rows by byte length: over line breaks, beside what looks like a row, at the head of a chunk, in other scripts."""
+    text = "Day 1\nwreck – é\n3d:T5,no row"
+    body = f"0:[]\n3f:T{len(text.encode()):x},{text}3e:T2,ok\n5:" + json.dumps({"a": {"details": {"text": "$3f", "list": ["$3e", "$7", "$x"]}}})
+    half = len(body) // 2
+    html = "".join(f"self.__next_f.push([1,{json.dumps(part)}])" for part in (body[:half], body[half:])) + 'push([1,"\\x"])'
+    r = spark.createDataFrame([(html,), (None,), ("",)], "h string").lateralJoin(extract.StreamedObjects(F.col("h").outer(), F.lit("details"))).collect()
+    assert len(r) == 1 and r[0].undecoded == 1
+    assert json.loads(r[0].node)["details"] == {"text": text, "list": ["ok", "$7", "$x"]}
+    assert extract.text_rows(body) == {"3f": text, "3e": "ok"}
 
 
 def test_schedule(spark):
