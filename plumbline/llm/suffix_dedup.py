@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import BASE_1, BASE_2, BYTE_1, BYTE_2, Texts, body_chunks, chunks, compressed, mapped, merged, mix, prefix_hash, signed, span_hash, unpacked, window_anchors
-from ._graph import cut, looked_up, stored
+from ._graph import cut, stored
 
 LENGTH = 100
 GRAM = 16
@@ -160,7 +160,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(data)
     eight = _eight_bytes(data)
-    order = np.argsort(eight, kind="stable")
+    order = np.argsort(eight)
     key = eight[order]
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(head, n))
@@ -172,7 +172,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         step = min(h, depth - h)
         mine = order[slots]
         key = (rank[mine] << 32) | rank[mine + step]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         mine, key = mine[by], key[by]
         order[slots] = mine
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -180,6 +180,9 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         rank[mine] = np.repeat(slots[head], size) + 1
         slots = slots[np.repeat(size > 1, size)]
         h += step
+    if len(slots):  # equal up to the depth: in text order
+        mine = order[slots]
+        order[slots] = np.sort((rank[mine] << 32) | mine) & 0xFFFFFFFF
     return order, eight
 
 
@@ -372,7 +375,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     seen = anchors.select("doc_id", F.explode("grams").alias("gram"))
     twice = stored(seen.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"))
     shards = F.greatest(F.ceil(F.log2(F.col("times") / SHARD_ROWS)), F.lit(0)) + 1
-    known_grams = looked_up(seen, twice, ["gram"], "doc_id").select("doc_id", (F.col("gram") + F.shiftleft(shards, 48)).alias("gram"))
+    known_grams = seen.join(twice, "gram").select("doc_id", (F.col("gram") + F.shiftleft(shards, 48)).alias("gram"))
     found = known_grams.groupBy("doc_id").agg(F.collect_list("gram").alias("found"))
     # The filter is what the inner join below implies; with it here both joins read one shuffle of the texts.
     bodies = docs.transform(mapped, compressed, _with_body(docs)).where("doc_id IS NOT NULL")
