@@ -40,13 +40,15 @@ def stored(df: DataFrame) -> DataFrame:
 FREQUENT = 2048
 
 
-def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], spread: str, times: str = "times") -> DataFrame:
+def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], spread: str, times: str = "times", total: int | None = None) -> DataFrame:
     """rows joined with facts (one row per key, cut, with the number of rows of the key as ``times``) on the keys.
 
     The join is an inner one without a hot task: the frequent keys, FREQUENT at most, are broadcast, and their rows are dealt by
     the column ``spread``; all others are shuffled by key, where no key has more than one in FREQUENT rows. No key may be null.
+    ``total``, where the caller knows it, is the number of rows or more.
     """
-    total = facts.agg(F.sum(times)).first()[0]
+    if total is None:
+        total = facts.agg(F.sum(times)).first()[0]
     values = [c for c in facts.columns if c not in keys]
     frequent = facts.where(F.col(times) * FREQUENT > F.lit(total or 0)).select(*keys, F.struct(*values).alias("_frequent"))
     marked = rows.join(F.broadcast(frequent), keys, "left")
@@ -57,36 +59,25 @@ def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], spread: str, t
     return joined.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in values])
 
 
-#: Parts of a key in a spread join.
-SALTS = 4
-
-
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
-    """rows joined with facts (one row per key) on the key and a salt of the column ``by``.
-
-    Both sides are shuffled by key and salt, so a frequent key lands in SALTS tasks, and adaptive execution can split these on.
-    """
-    salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, component): of each node of the links (a, b), the least node that it reaches.
 
     Each round points every node's larger neighbours to its least one (large star), then its smaller ones and itself
     (small star); edges stay as many or fewer, and rounds grow with the logarithm of the longest path. Stops when a
-    round changes nothing.
+    round changes nothing. A center that a large part of all edges share is a frequent key of the look-up, so its edges
+    are dealt over all tasks and nothing is copied for it.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = spread_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = spread_join(large, least, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    sums = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    mark, now = None, edges.agg(*sums).first()
+    while now != mark:
         mark = now
+        back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        least = edges.unionByName(back).groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("times")).where("times > 0")
+        least = cut(least.select("u", F.least("u", "m").alias("m"), "times"))
+        large = cut(looked_up(back, least, ["u"], "v", total=mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")))
+        small = looked_up(large, least, ["u"], "v", total=mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = edges.agg(*sums).first()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
