@@ -74,9 +74,9 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
         back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
         least = edges.unionByName(back).groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("times")).where("times > 0")
-        least = cut(least.select("u", F.least("u", "m").alias("m"), "times"))
-        large = cut(looked_up(back, least, ["u"], "v", total=mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")))
+        least = least.select("u", F.least("u", "m").alias("m"), "times")
+        large = looked_up(back, least, ["u"], "v", total=mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times"))
         small = looked_up(large, least, ["u"], "v", total=mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(*sums).first()

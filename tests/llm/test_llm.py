@@ -267,6 +267,25 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and {got[i] for i in (100, 101, 102)} == {100} and len(got) == 44
 
 
+def test_components_of_a_large_star(spark):
+    """A center of most edges, whose id is neither the least nor the largest, and random edges beside it."""
+    rng = np.random.RandomState(9)
+    edges = [(5000, i) for i in range(9000) if i % 3] + [(int(a) + 20_000, int(b) + 20_000) for a, b in rng.randint(0, 3000, (1500, 2))]
+    root = {n: n for e in edges for n in e}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    want = {n: find(n) for n in {n for a, b in edges if a != b for n in (a, b)}}
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
 def test_packing(docs, corpus):
     from tokenizers import Tokenizer
 
