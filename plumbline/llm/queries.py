@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, pii_crf, quality_gam, quality_rules, secrets, sentencepiece_codec, substring_dedup, suffix_dedup, topk
+from . import byte_bpe, conversation_repair, minhash, packing, pii_crf, quality_gam, quality_rules, secrets, sentencepiece_codec, substring_dedup, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,14 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damaged_and_repaired(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -65,10 +73,13 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_secrets": op9_secrets,
     "op10_topk": op10_topk,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {
     "op2_suffix_dedup": suffix_dedup.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op7_near_duplicates": minhash.ORACLE,
     "op10_topk": topk.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
 }
