@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, conversation_repair, minhash, packing, pii_crf, quality_gam, quality_rules, secrets, sentencepiece_codec, substring_dedup, suffix_dedup, topk
+from . import byte_bpe, conversation_repair, minhash, packing, pii_crf, quality_gam, quality_rules, secrets, sentencepiece_codec, substring_dedup, suffix_dedup, topk, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.quantise(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_secrets": op9_secrets,
     "op10_topk": op10_topk,
+    "op11_vector_codes": op11_vector_codes,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -81,5 +86,6 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op7_near_duplicates": minhash.ORACLE,
     "op10_topk": topk.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
     "op13_conversation_repair": conversation_repair.ORACLE,
 }
