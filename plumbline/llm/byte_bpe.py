@@ -112,10 +112,10 @@ def splitter(other: dict[int, str]) -> Callable[[str], Iterator[list[str]]]:
     import regex
 
     pattern = regex.compile(public_tokenizers.PATTERN)
-    odd = re.compile("[" + "".join(map(re.escape, map(chr, sorted(other)))) + "]") if other else None
+    odd = frozenset(map(chr, other))
 
     def words(part: str) -> list[str]:
-        if odd and not part.isascii() and odd.search(part):
+        if not part.isascii() and not odd.isdisjoint(part):
             return [part[m.start() : m.end()] for m in pattern.finditer(part.translate(other))]
         return pattern.findall(part)
 
