@@ -903,4 +903,4 @@ def stream_windowed(t: Tables) -> DataFrame:
     return streams.windowed(t.events)
 
 
-from plumbline.plans import details  # noqa: E402,F401  (registers its queries here)
+from plumbline.plans import depth, details  # noqa: E402,F401  (they register their queries here)
