@@ -3,14 +3,15 @@
 A *word* here is one match of the vocabulary's splitting pattern (a pre-token, with its leading space).
 
 1. Each task splits whole texts into words, numbers the distinct words of a group of texts (``GROUP_BYTES`` of text, or one
-   longer text) and keeps the texts as sequences of those numbers: the positions, packed. The groups are written as a table.
+   longer text) and keeps the texts as sequences of those numbers: the positions, packed. The groups are shuffled once, and
+   both steps that follow read that one shuffle.
 2. The distinct words of the groups are exploded by hash bucket and shuffled, so that all occurrences of a word meet: each
    distinct word is encoded once, by byte-pair merging, and its ids go back to every group that asked.
 3. The ids are joined to the groups' sequences and put together again by position.
 
 So a word that a third of all text consists of crosses the network once a group, not once an occurrence, and every bucket
-holds near the same number of words whatever their frequency. The number of buckets follows the counted words, about
-``BUCKET_WORDS`` in each, up to 2**``MOST_BITS`` of them; it only deals work out. ``decode`` joins the ids with the table of the
+holds near the same number of words whatever their frequency. The number of buckets follows the bytes of all texts, about
+``BUCKET_BYTES`` for each, up to 2**``MOST_BITS`` of them; it only deals work out. ``decode`` joins the ids with the table of the
 tokens' bytes, whose size is that of the vocabulary; each task looks its ids up there.
 
 The splitting pattern is applied by a library whose tables of letters and digits may be of another Unicode version than the
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -39,14 +41,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import chunks, mapped
-from ._graph import stored
 
 VOCABULARY = "byte_bpe_50k"
 #: Bytes of text whose distinct words are numbered together.
 GROUP_BYTES = 16 << 20
 #: Characters of a slice of a long text.
 SLICE = 1 << 20
-BUCKET_WORDS, MOST_BITS = 1 << 15, 16
+BUCKET_BYTES, MOST_BITS = 2 << 20, 16
 #: No match goes on beyond a single space between two other characters: it begins one.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -140,7 +141,9 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-_GROUPS = "`group` long, doc_ids array<long>, counts array<long>, sequence binary, places binary, n_words long, sizes binary, words binary"
+#: In one column, so that both readers of a group's row read the same shuffle: the document ids, counts of words,
+#: sequence, places, and the sizes and bytes of the distinct words.
+_GROUPS = "`group` long, body binary"
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -169,11 +172,11 @@ def _groups(batches: Iterator[pa.RecordBatch], other: dict[int, str], limit: int
         place[by_hash] = np.arange(len(order))
         raw = [words[i] for i in by_hash.tolist()]
         sizes = np.array(list(map(len, raw)), np.uint32)
-        values = [group, docs, counts, _packed(rank[sequence]), _packed(place[order]), len(raw), _packed(sizes), zstandard.ZstdCompressor(level=3).compress(b"".join(raw))]
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+        body = pickle.dumps((docs, counts, _packed(rank[sequence]), _packed(place[order]), _packed(sizes), zstandard.ZstdCompressor(level=3).compress(b"".join(raw))))
+        number_of = group
         held, docs, counts, parts, group = 0, [], [], [], group + 1
         number.clear()
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[c.split()[0].strip("`") for c in _GROUPS.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array([number_of], pa.int64()), pa.array([body], pa.binary())], names=["group", "body"])
 
     for batch in chunks(batches):
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -197,8 +200,8 @@ def _asked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
     """A group's distinct words, by the first bits of their hash."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        for group, sizes, words in zip(*(batch.column(c).to_pylist() for c in ("group", "sizes", "words")), strict=True):
-            raw = _words(sizes, words)
+        for group, body in zip(batch.column("group").to_pylist(), batch.column("body").to_pylist(), strict=True):
+            raw = _words(*pickle.loads(body)[4:])
             bucket = (_hashes(raw) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(raw), np.int64)
             edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(raw)).tolist()
             rows = []
@@ -243,16 +246,17 @@ def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(group row, its answers) -> the ids of each text, in order of position."""
     for batch in batches:
         for row in batch.to_pylist():
-            place = _unpacked(row["places"])
+            doc_ids, counts, sequence, place, *_ = pickle.loads(row["body"])
+            place = _unpacked(place)
             answers = sorted(row["answers"] or (), key=lambda x: x["bucket"])
             size = np.concatenate([_unpacked(x["sizes"]) for x in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
             ids = np.concatenate([_unpacked(x["ids"]) for x in answers]) if answers else np.zeros(0, np.uint32)
             if len(size) != len(place):
                 raise RuntimeError(f"group {row['group']}: {len(place)} words, {len(size)} answers")
             start, length = (np.cumsum(size) - size)[place], size[place]
-            sequence, at = _unpacked(row["sequence"]), 0
+            sequence, at = _unpacked(sequence), 0
             out_docs, out_ids, waiting = [], [], 0
-            for doc, n in zip(row["doc_ids"], row["counts"], strict=True):
+            for doc, n in zip(doc_ids, counts, strict=True):
                 mine = sequence[at : at + n]
                 at += n
                 lengths = length[mine]
@@ -276,14 +280,13 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     """(doc_id, ids) of every row: the ids of the whole text, without special tokens."""
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     other = stand_ins()
-    groups = stored(docs.transform(mapped, lambda it: _groups(it, other, group_bytes), _GROUPS))
-    words = groups.agg(F.sum("n_words")).first()[0] or 0
-    bits = min(MOST_BITS, (words // BUCKET_WORDS).bit_length())
-    asked = groups.select("group", "sizes", "words").transform(mapped, lambda it: _asked(it, bits), _ASKED)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, (size // BUCKET_BYTES).bit_length())
+    groups = docs.transform(mapped, lambda it: _groups(it, other, group_bytes), _GROUPS).repartition("group")
+    asked = groups.transform(mapped, lambda it: _asked(it, bits), _ASKED)
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").transform(mapped, lambda it: _answers(it, vocabulary), _ANSWERS)
     of_group = answers.groupBy("group").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("answers"))  # bounded: the distinct words of one group
-    sequences = groups.select("group", "doc_ids", "counts", "sequence", "places")
-    return sequences.join(of_group, "group", "left").transform(mapped, _reassembled, _IDS)
+    return groups.join(of_group, "group", "left").transform(mapped, _reassembled, _IDS)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
