@@ -11,6 +11,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import slices
+from plumbline.operators.joins import looked_up
+
+
+def kept(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool = False) -> DataFrame:
+    """The first (or last) whole row of each key: one partial and one final aggregate, no sort of a key's rows. Nulls come first in the order. [SRC14]"""
+    rest = [c for c in df.columns if c not in keys]
+    pick = F.max_by if last else F.min_by
+    best = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return best.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
+
 
 def vote(df: DataFrame, keys: Sequence[str], value: str, out: str, largest: bool = False) -> DataFrame:
     """Most frequent non-null value of each key; of equals the smallest, or the largest. [AGG02, AGG03]"""
@@ -78,25 +89,34 @@ def last_state(df: DataFrame, keys: Sequence[str], state: str, order: Sequence[s
 BRACKET, ACCURACY = 0.0002, 20_000
 
 
-def medians(df: DataFrame, keys: Sequence[str], value: str, out: str = "middle") -> DataFrame:
-    """Exact median of the non-null values per key, without a key's values in one task.
+def medians(df: DataFrame, keys: Sequence[str], value: str, out: str = "middle", count: str | None = None, split: int = 0) -> DataFrame:
+    """Exact median of the non-null values per key, without a key's values in one task; with ``count`` also their number. [NUM14]
 
-    A mergeable sketch brackets the middle; what lies below the bracket is counted, and only the distinct values within it
-    (a few in ten thousand) are ranked. Frequent keys cost no more than two partial aggregates. [NUM14]
+    A mergeable sketch brackets the middle; one partial aggregate counts what lies below the bracket and the distinct
+    values within it (a few in ten thousand), and only these are ranked. Frequent keys meet their bracket by broadcast, and
+    their rows stay where they are dealt. With ``split`` the brackets of frequent keys are cut into so many slices, ranked
+    apart: for keys of more than some billion distinct values.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).alias("_v")).where("_v IS NOT NULL")
+    by = keys or ["_all_rows"]
+    rows = df.select(*(keys or [F.lit(0).alias("_all_rows")]), F.col(value).alias("_v")).where("_v IS NOT NULL")
     ends = F.percentile_approx("_v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY)
-    bracket = rows.groupBy(*keys).agg(ends.alias("_ends"), F.count("*").alias("_all"))
-    placed = rows.join(bracket, keys) if keys else rows.join(F.broadcast(bracket))  # without keys one row
-    below = placed.groupBy(*keys).agg(F.count_if(F.col("_v") < F.col("_ends")[0]).alias("_below"), F.first("_all").alias("_all"))
-    inside = placed.where(F.col("_v").between(F.col("_ends")[0], F.col("_ends")[1])).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    ranked = inside.join(below, keys) if keys else inside.join(F.broadcast(below))
-    upto = F.col("_below") + F.sum("_n").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_v"))
-    ranked = ranked.withColumn("_upto", upto)
-    held = lambda at: F.max(F.when((F.col("_upto") > at) & (F.col("_upto") - F.col("_n") <= at), F.col("_v")))
-    two = ranked.groupBy(*keys).agg(held(F.floor((F.col("_all") - 1) / 2)).alias("_a"), held(F.floor(F.col("_all") / 2)).alias("_b"))
-    return two.select(*keys, ((F.col("_a") + F.col("_b")) / 2).cast("double").alias(out))
+    bracket = rows.groupBy(*by).agg(ends.alias("_ends"), F.count("*").alias("_all"))
+    placed = looked_up(rows, bracket, by, "_all", ["_v"])
+    inside = F.col("_v").between(F.col("_ends")[0], F.col("_ends")[1])
+    ranked = placed.groupBy(*by, F.when(inside, F.col("_v")).alias("_slot")).agg(F.count_if(inside | (F.col("_v") < F.col("_ends")[0])).alias("_n"), F.first("_all").alias("_all"))
+    # The row without a slot holds what is below the bracket; nulls come first.
+    order = F.col("_slot").asc_nulls_first()
+    if split:
+        ranked = slices.sliced(ranked, by, "_slot", split)
+        before = slices.inherited(ranked.groupBy(*by, "_slice").agg(F.sum("_n").alias("_state")), by, F.sum("_state").over(slices.before(by)), "_carried")
+        upto = F.sum("_n").over(Window.partitionBy(*by, "_slice").orderBy(order)) + F.coalesce("_carried", F.lit(0))
+        ranked = ranked.join(F.broadcast(before), [*by, "_slice"], "left").withColumn("_upto", upto)
+    else:
+        ranked = ranked.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy(order)))
+    held = lambda at: F.max(F.when((F.col("_upto") > at) & (F.col("_upto") - F.col("_n") <= at), F.col("_slot")))
+    two = ranked.groupBy(*by).agg(F.first("_all").alias("_all"), held(F.floor((F.col("_all") - 1) / 2)).alias("_a"), held(F.floor(F.col("_all") / 2)).alias("_b"))
+    return two.select(*keys, ((F.col("_a") + F.col("_b")) / 2).cast("double").alias(out), *([F.col("_all").alias(count)] if count else []))
 
 
 def spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -144,8 +164,7 @@ def rate(hits: Column, n: Column) -> Column:
 
 def first_copy(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key. [AGG30, SRC17, SRC18, SRC19, EXT31]"""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    return kept(df, keys, order)
 
 
 def check_table(bills: DataFrame, keys: Sequence[str], start: str) -> DataFrame:

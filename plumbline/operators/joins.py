@@ -13,6 +13,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A key is frequent if it has more than one in so many rows; so no more than so many keys are, whatever the data.
+FREQUENT = 2048
+
+
+def measure(df: DataFrame, column: str) -> Column:
+    """A date (days), time (microseconds) or number as a double, in the same order."""
+    kind, c = dict(df.dtypes)[column], F.col(column)
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(c if kind == "timestamp" else c.cast("timestamp")).cast("double")
+    return c.cast("double")
+
+
+def whole_number(df: DataFrame, column: str) -> Column:
+    """A date, time (microseconds) or whole number as a long."""
+    kind = dict(df.dtypes)[column]
+    return F.unix_micros(column) if kind == "timestamp" else F.unix_micros(F.col(column).cast("timestamp")) if kind.startswith(("date", "timestamp")) else F.col(column).cast("long")
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, keys: Sequence[str], times: str, spread: Sequence[str]) -> DataFrame:
+    """rows joined with facts (a row a key, with the key's number of rows as ``times``), without a hot task.
+
+    Frequent keys, FREQUENT at most, are broadcast, and their rows are dealt by the columns ``spread``; all others meet by
+    key, where none has more than one in FREQUENT rows. A row without facts is dropped, as is one with a null key.
+    """
+    keys = list(keys)
+    values = [c for c in facts.columns if c not in keys]
+    total = facts.agg(F.sum(times).alias("_total"))
+    frequent = facts.crossJoin(F.broadcast(total)).where(F.col(times) * FREQUENT > F.col("_total")).select(*keys, F.struct(*values).alias("_frequent"))
+    marked = rows.join(F.broadcast(frequent), keys, "left").withColumn("_deal", F.when(F.col("_frequent").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(FREQUENT))).otherwise(-1).cast("int"))
+    others = facts.select(*keys, F.lit(-1).alias("_deal"), F.struct(*values).alias("_other"))
+    joined = marked.join(others, [*keys, "_deal"], "left").withColumn("_found", F.coalesce("_frequent", "_other")).where("_found IS NOT NULL")
+    return joined.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in values])
+
+
 def must_join(facts: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:
     """Foreign-key lookup that must succeed: a row without its dimension is an error when read. [JOI01]"""
     marked = dim.withColumn("_found", F.lit(True))
@@ -122,8 +158,7 @@ def as_of(rows: DataFrame, keys: Sequence[str], order: str, values: Sequence[str
 
     ``order`` is a timestamp, a date or a whole number. Rows of equal ``order`` see the same earlier row, the last of the order before by ``tie``.
     """
-    kind = dict(rows.dtypes)[order]
-    number = F.unix_micros(order) if kind == "timestamp" else F.unix_micros(F.col(order).cast("timestamp")) if kind.startswith(("date", "timestamp")) else F.col(order).cast("long")
+    number = whole_number(rows, order)
     w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
     best = F.max_by(F.struct(*[F.col(v) for v in values], F.col(order).alias("_when")), F.struct("_at", *tie)).over(w)
     out = rows.withColumn("_at", number).withColumn("_best", best)

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import aggregates
+
 
 def carry_unread(previous: DataFrame, new: DataFrame, unread: DataFrame, key: str, today: Column, days: int = 14) -> DataFrame:
     """New rows, and of unread keys previous rows not older than so many days, their own read date kept. [INC01, INC10]"""
@@ -48,8 +50,7 @@ def known(*sources: DataFrame) -> DataFrame:
 def merge_latest(state: DataFrame, changes: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Upsert: per key the newest row, of equals the change's; idempotent. [SET10, SNK11, INC07]"""
     both = state.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc("_new"))
-    return both.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth", "_new")
+    return aggregates.kept(both, keys, [order, "_new"], last=True).drop("_new")
 
 
 def keep_days(book: DataFrame, day: str, days: int) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import documents
+from plumbline.functions import text
+from plumbline.operators import aggregates, documents, intervals, slices, vocabulary
 from plumbline.plans.queries import Tables, query
 
 # --- documents -------------------------------------------------------------------------------------------------------
@@ -43,3 +44,78 @@ def change_deep_diff(t: Tables) -> DataFrame:
     """Where an order's document as made afresh differs from the committed one, by path, two a document and how many more. [SET08, SNK10]"""
     old, new = _order_documents(t)
     return documents.drift_report(documents.deep_diff(old, new, "o_orderkey", "json"), "o_orderkey", cap=2).withColumn("nth", F.col("nth").cast("long"))
+
+
+# --- vocabulary ------------------------------------------------------------------------------------------------------
+
+_KEY = "trim(regexp_replace(replace(translate(translate(lower(translate({0}, '''’‘ʼ`´′', '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuy'), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""
+WITH k AS (SELECT doc_id, string_split({_KEY.format("text")}, ' ') AS w FROM documents),
+names AS (SELECT DISTINCT array_to_string(w[1:2], ' ') AS key, 1 AS rank FROM k WHERE len(w) >= 2),
+hints AS (SELECT DISTINCT string_split({_KEY.format("text")}, ' ')[1] AS key, 0 AS rank FROM benchmark),
+book AS (SELECT key, upper(key) AS name, min(rank) AS rank FROM (FROM names UNION ALL FROM hints) WHERE key <> '' GROUP BY key),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS key FROM k)
+SELECT doc_id, list(name ORDER BY rank, name) AS names FROM grams JOIN book USING (key) GROUP BY doc_id
+""")
+def text_vocabulary_join(t: Tables) -> DataFrame:
+    """A vocabulary as large as the corpus, the first two words of every text, against every whole text; hints before names. [STR12, STR17, JOI17]"""
+    first = F.split(text.latin_key(F.col("text")), " ")
+    names = t.documents.where(F.size(first) >= 2).select(F.array_join(F.slice(first, 1, 2), " ").alias("key"), F.lit(1).alias("rank"))
+    hints = t.benchmark.select(first[0].alias("key"), F.lit(0).alias("rank"))
+    book = names.unionByName(hints).groupBy("key").agg(F.min("rank").alias("rank")).withColumn("name", F.upper("key"))
+    return vocabulary.match_lists(t.documents.select("doc_id", "text"), "doc_id", "text", book).where(F.size("names") > 0).select("doc_id", "names")
+
+
+# --- intervals and slices --------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH runs AS (SELECT o_custkey % 10 AS k, o_orderkey AS run, o_orderdate AS lo, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 40) AS hi FROM orders WHERE o_orderpriority LIKE '1%'),
+asked AS (SELECT o_orderkey, o_custkey % 10 AS k, o_orderdate FROM orders WHERE o_orderpriority LIKE '2%')
+SELECT o_orderkey, min(run) AS run FROM asked LEFT JOIN runs ON asked.k = runs.k AND o_orderdate BETWEEN lo AND hi GROUP BY o_orderkey
+""")
+def join_first_interval(t: Tables) -> DataFrame:
+    """Orders in the windows of others of ten large groups of customers: bins and levels instead of whole groups. [JOI15]"""
+    k = (F.col("o_custkey") % 10).alias("k")
+    runs = t.orders.where("o_orderpriority LIKE '1%'").select(k, F.col("o_orderkey").alias("run"), F.col("o_orderdate").alias("lo"), F.timestamp_add("DAY", F.col("o_orderkey") % 40, F.col("o_orderdate")).alias("hi"))
+    asked = t.orders.where("o_orderpriority LIKE '2%'").select("o_orderkey", k, "o_orderdate")
+    return intervals.first_interval(asked, runs, "o_orderkey", ["k"], "o_orderdate", "lo", "hi", ["run"]).select("o_orderkey", "run")
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type, ts, value FROM events),
+w AS (SELECT event_id, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev_value, lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev_ts FROM e)
+SELECT event_id, prev_value, prev_ts FROM w
+""")
+def join_as_of_sliced(t: Tables) -> DataFrame:
+    """Each event beside the newest earlier one of its type; a handful of types hold all rows, so they are read in slices. [JOI18]"""
+    rows = t.events.select("event_id", "event_type", "ts", "value")
+    return slices.as_of(rows, ["event_type"], "ts", ["value"], tie=["event_id"]).select("event_id", "prev_value", "prev_ts")
+
+
+@query("""
+WITH m AS (SELECT event_type, event_id, value > 20 AS flag, sum(CASE WHEN value > 20 THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run FROM events)
+SELECT event_type, CAST(run AS BIGINT) AS run, count(*) AS n, min(event_id) AS first FROM m WHERE flag GROUP BY ALL
+""")
+def win_runs_sliced(t: Tables) -> DataFrame:
+    """Runs of large values within each event type, in slices. [WIN01]"""
+    rows = t.events.select("event_type", "event_id", "ts", (F.col("value") > 20).alias("flag"))
+    return slices.runs(rows, ["event_type"], ["ts", "event_id"], "flag").groupBy("event_type", "run").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+@query("""
+SELECT event_type, was_event_id, event_id AS now_event_id, was_value, value AS now_value
+FROM (SELECT event_type, event_id, value, lag(event_id) OVER w AS was_event_id, lag(value) OVER w AS was_value FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)) WHERE was_event_id IS NOT NULL
+""")
+def win_steps_sliced(t: Tables) -> DataFrame:
+    """Consecutive events of each type as steps, in slices. [WIN05]"""
+    return slices.steps(t.events.select("event_type", "event_id", "value"), ["event_type"], "event_id", ["value"])
+
+
+@query("SELECT event_type, median(value) AS middle, count(value) AS n FROM events GROUP BY event_type")
+def agg_median_of_large_keys(t: Tables) -> DataFrame:
+    """Exact medians of keys that hold a large part of all rows, their brackets ranked in slices. [NUM14, AGG18]"""
+    return aggregates.medians(t.events, ["event_type"], "value", count="n", split=16)

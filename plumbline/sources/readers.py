@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import money
+from plumbline.operators import aggregates
 
 MONEY_STRUCT = "struct<amount:string,currency:string>"
 #: One dataset document: dimensions and facts nested under their names; amounts are read as text, never through doubles.
@@ -51,8 +52,7 @@ def rates_from_xml(xml: DataFrame, column: str, required: str = "USD") -> DataFr
 
 def last_of_day(snapshots: DataFrame, day: str, order: str) -> DataFrame:
     """The last snapshot taken on each day. [SRC14, SRC15, SRC16]"""
-    w = Window.partitionBy(day).orderBy(F.desc(order))
-    return snapshots.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    return aggregates.kept(snapshots, [day], [order], last=True)
 
 
 def calendar(spark: SparkSession, start: str, end: str, days: int = 7) -> DataFrame:

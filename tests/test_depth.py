@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import documents
+from plumbline.operators import aggregates, documents, intervals, joins, slices, vocabulary, windows
 
 
 def rows(df, *order):
@@ -44,3 +44,166 @@ def test_a_report_is_capped_and_says_what_is_left(spark):
     report = documents.drift_report(documents.deep_diff(side(old), side(new), "k", "json"), "k", cap=4)
     assert [(r.path, r.more) for r in report.orderBy("nth").collect()] == [(f"k{i}", 5) for i in range(4)]
     assert documents.deep_diff(side(old), side(old), "k", "json").count() == 0
+
+
+# --- revisions -------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def repository(tmp_path_factory):
+    import os
+    import subprocess
+
+    folder = str(tmp_path_factory.mktemp("history"))
+    run = lambda *a, **e: subprocess.run(["git", "-C", folder, *a], check=True, capture_output=True, env=os.environ | {"GIT_AUTHOR_NAME": "a", "GIT_AUTHOR_EMAIL": "a@b", "GIT_COMMITTER_NAME": "a", "GIT_COMMITTER_EMAIL": "a@b", **e})
+    run("init", "-q")
+    for i, (when, subject) in enumerate([("2026-01-01T08:00:00", "refresh one"), ("2026-01-01T20:00:00", "edit"), ("2026-01-02T09:00:00", "refresh two"), ("2026-01-04T09:00:00", "refresh three")]):
+        os.makedirs(f"{folder}/data", exist_ok=True)
+        with open(f"{folder}/data/book.json", "w") as f:
+            json.dump({"n": i, "rows": [{"id": "x", "price": 10 + i}]}, f)
+        with open(f"{folder}/data/other.json", "w") as f:
+            json.dump({"n": -i}, f)
+        run("add", "-A")
+        run("commit", "-qm", subject, GIT_AUTHOR_DATE=f"{when}Z", GIT_COMMITTER_DATE=f"{when}Z")
+    run("rm", "-q", "data/other.json")
+    run("commit", "-qm", "gone", GIT_AUTHOR_DATE="2026-01-05T00:00:00Z", GIT_COMMITTER_DATE="2026-01-05T00:00:00Z")
+    return folder
+
+
+def test_revisions_are_rows(spark, repository):
+    from plumbline.sources import archive
+
+    df = archive.revisions(spark, repository, "data/book.json", per_task=1)
+    assert [json.loads(r.content)["n"] for r in df.orderBy("committed").collect()] == [0, 1, 2, 3]
+    last = aggregates.kept(df, ["day", "path"], ["committed"], last=True)
+    assert [(str(r.day), r.subject) for r in last.orderBy("day").collect()] == [("2026-01-01", "edit"), ("2026-01-02", "refresh two"), ("2026-01-04", "refresh three")]
+    read = archive.documents_of(last, "n int, rows array<struct<id: string, price: int>>").orderBy("day")
+    assert [(r.n, r.rows[0].price) for r in read.collect()] == [(1, 11), (2, 12), (3, 13)]
+    assert df.where(F.col("subject").startswith("refresh")).count() == 3
+    one = df.where(F.col("revision") == df.orderBy("committed").first().revision).collect()
+    assert [r.subject for r in one] == ["refresh one"]
+    assert archive.revisions(spark, repository, "data/book.json", limit=2).count() == 2
+
+
+def test_revisions_that_cannot_match_are_not_opened(spark, repository):
+    import datetime as dt
+
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, StringContains
+
+    from plumbline.sources import archive
+
+    options = {"repository": repository, "path": "data/*.json", "revisionspertask": "1"}
+    reader = archive.RevisionsReader(options)
+    assert len(reader.partitions()) == 5 and {p for s in reader.partitions() for r in s.revisions for p in r[3]} == {"data/book.json", "data/other.json"}
+    kept = StringContains(("content",), "x")
+    assert list(reader.pushFilters([GreaterThanOrEqual(("day",), dt.date(2026, 1, 2)), EqualTo(("path",), "data/book.json"), kept])) == [kept]
+    assert [r[2] for s in reader.partitions() for r in s.revisions] == ["gone", "refresh three", "refresh two"] and {p for s in reader.partitions() for r in s.revisions for p in r[3]} == {"data/book.json"}
+    df = archive.revisions(spark, repository, "data/*.json", per_task=1).where("day = '2026-01-04'")
+    assert df.rdd.getNumPartitions() == 1 and {r.path for r in df.collect()} == {"data/book.json", "data/other.json"}
+    assert archive.revisions(spark, repository, "data/other.json").where("committed > timestamp'2026-01-04 10:00:00'").count() == 0
+
+
+# --- vocabulary ------------------------------------------------------------------------------------------------------
+
+
+def test_vocabulary_join_gives_what_the_expression_gives(spark):
+    import random
+
+    from plumbline.functions import text
+
+    rng = random.Random(7)
+    words = ["blue", "reef", "north", "Élphinstone", "b", "hole", "&", "wall", "st", "john's"]
+    hints = [("blue hole", "Blue Hole"), ("elphinstone", "Elphinstone"), ("reef", "Reef"), ("!!", "nothing")]
+    names = [("reef", "Reef"), ("north wall reef", "North Wall Reef"), ("and", "And"), ("st johns", "St John's"), ("b", "B")]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(300)] + [(900, None), (901, ""), (902, "  --  "), (903, "reef " * 3000)]
+    df = spark.createDataFrame(docs, "id long, body string").repartition(3)
+    book = spark.createDataFrame([(k, v, r) for r, (k, v) in enumerate([*hints, *names])], "key string, name string, rank int")
+    got = {r.id: r.names for r in vocabulary.match_lists(df, "id", "body", book).collect()}
+    want = {r.id: [x for x in r.names or [] if x != "nothing"] for r in df.select("id", text.vocabulary_matches(F.col("body"), hints, names).alias("names")).collect()}
+    assert got == want and sum(map(len, want.values())) > 300
+    assert vocabulary.matches(df, "id", "body", book.limit(0)).count() == 0
+
+
+# --- intervals -------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("kind", ["int", "double", "date", "timestamp"])
+def test_first_interval_equals_the_plain_join(spark, kind):
+    import datetime as dt
+    import random
+
+    rng = random.Random(kind)
+    make = {"int": lambda x: x, "double": lambda x: x / 7 - 3, "date": lambda x: dt.date(2024, 1, 1) + dt.timedelta(x), "timestamp": lambda x: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=x * 1000)}[kind]
+    points = [(i, "hot" if i % 3 else f"k{i % 7}", make(rng.randint(-5, 400)) if i % 50 else None) for i in range(1500)]
+    runs = []
+    for i in range(200):
+        a = rng.randint(-10, 400)
+        runs.append((rng.choice(["hot", "k0", "k3"]), make(a), make(a + rng.choice([0, 0, 1, 5, 300, -4])), f"r{i}"))
+    runs += [("hot", None, make(3), "open"), ("hot", make(3), None, "open")]
+    if kind == "double":
+        runs += [("k1", float("-inf"), float("inf"), "all"), ("k2", 1e300, float("inf"), "far")]
+        points += [(9000, "k2", 2e300), (9001, "k1", -1e308), (9002, "k1", float("nan"))]
+    p = spark.createDataFrame(points, f"id int, key string, at {kind}")
+    r = spark.createDataFrame(runs, f"key string, lo {kind}, hi {kind}, run string")
+    want = {}
+    for i, k, x in points:
+        fits = [(lo, hi, n) for key, lo, hi, n in runs if key == k and None not in (x, lo, hi) and lo <= x <= hi]
+        want[i] = min(fits)[2] if fits else None
+    got = {x.id: x.run for x in intervals.first_interval(p, r, "id", ["key"], "at", "lo", "hi", ["lo", "hi", "run"]).collect()}
+    assert got == want
+    assert {x.run for x in intervals.first_interval(p, r.limit(0), "id", ["key"], "at", "lo", "hi", ["lo"]).collect()} == {None}
+
+
+def test_a_hot_key_of_intervals_is_spread(spark):
+    points = spark.range(60_000).select("id", F.lit("hot").alias("key"), (F.col("id") % 5).cast("int").alias("at"))
+    runs = spark.createDataFrame([("hot", 0, 9, "wide"), ("hot", 3, 4, "narrow")], "key string, lo int, hi int, run string")
+    out = intervals.first_interval(points, runs, "id", ["key"], "at", "lo", "hi", ["run"])
+    assert {r.run: r["count"] for r in out.groupBy("run").count().collect()} == {"narrow": 24_000, "wide": 36_000}
+
+
+# --- slices ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def readings(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(i, "hot" if i % 10 < 3 else f"k{i % 97}", rng.randint(0, 300) if i % 40 else None, rng.random() < 0.6, round(rng.random(), 3)) for i in range(4000)]
+    return spark.createDataFrame(rows, "id int, key string, at int, flag boolean, value double").repartition(4).cache()
+
+
+def test_a_hot_key_is_cut_into_slices(readings):
+    sizes = slices.sliced(readings, ["key"], "at", slices=16, frequent=8).groupBy("key", "_slice").count().collect()
+    hot = [r["count"] for r in sizes if r.key == "hot"]
+    assert len(hot) > 10 and max(hot) < 300 and all(r._slice == 0 for r in sizes if r.key != "hot")
+
+
+def test_sliced_scans_equal_windows(readings):
+    same = lambda a, b: sorted(map(repr, a.select(*sorted(a.columns)).collect())) == sorted(map(repr, b.select(*sorted(a.columns)).collect()))
+    how = {"slices": 16, "frequent": 8}
+    assert same(slices.as_of(readings.where("at IS NOT NULL"), ["key"], "at", ["value"], tie=["id"], **how), joins.as_of(readings.where("at IS NOT NULL"), ["key"], "at", ["value"], tie=["id"]))
+    assert same(slices.runs(readings, ["key"], ["at", "id"], "flag", **how), windows.runs(readings, ["key"], ["at", "id"], "flag"))
+    one = readings.dropDuplicates(["key", "at"])
+    assert same(slices.steps(one, ["key"], "at", ["value"], **how), windows.steps(one, ["key"], "at", ["value"]))
+    with_nulls = slices.as_of(readings, ["key"], "at", ["value"], tie=["id"], **how)
+    assert with_nulls.count() == 4000 and with_nulls.where("at IS NULL AND prev_value IS NOT NULL").count() == 0
+
+
+def test_medians_with_a_hot_key(readings):
+    import statistics
+
+    values = {}
+    for r in readings.collect():
+        values.setdefault(r.key, []).append(r.value)
+    want = {k: (statistics.median(v), len(v)) for k, v in values.items()}
+    for split in (0, 8):
+        assert {r.key: (r.middle, r.n) for r in aggregates.medians(readings, ["key"], "value", count="n", split=split).collect()} == want
+    assert aggregates.medians(readings, [], "value").first().middle == statistics.median([x for v in values.values() for x in v])
+
+
+def test_frequent_keys_are_dealt(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, -7).otherwise(F.col("id")).alias("key"), "id")
+    facts = rows.groupBy("key").agg(F.count("*").alias("n"))
+    out = joins.looked_up(rows, facts, ["key"], "n", ["id"])
+    assert out.where("key = -7 AND n = 13334").count() == 13_334 and out.count() == 40_000
