@@ -93,8 +93,8 @@ def medians(df: DataFrame, keys: Sequence[str], value: str, out: str = "middle",
     """Exact median of the non-null values per key, without a key's values in one task; with ``count`` also their number. [NUM14]
 
     A mergeable sketch brackets the middle; one partial aggregate counts what lies below the bracket and the distinct
-    values within it (a few in ten thousand), and only these are ranked. Frequent keys meet their bracket by broadcast, and
-    their rows stay where they are dealt. With ``split`` the brackets of frequent keys are cut into so many slices, ranked
+    values within it (a few in ten thousand), and only these are ranked. Rows meet their bracket in a join whose frequent keys
+    adaptive execution splits. With ``split`` the brackets of frequent keys are cut into so many slices, ranked
     apart: for keys of more than some billion distinct values.
     """
     keys = list(keys)
@@ -102,7 +102,7 @@ def medians(df: DataFrame, keys: Sequence[str], value: str, out: str = "middle",
     rows = df.select(*(keys or [F.lit(0).alias("_all_rows")]), F.col(value).alias("_v")).where("_v IS NOT NULL")
     ends = F.percentile_approx("_v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY)
     bracket = rows.groupBy(*by).agg(ends.alias("_ends"), F.count("*").alias("_all"))
-    placed = looked_up(rows, bracket, by, "_all", ["_v"])
+    placed = looked_up(rows, bracket, by) if keys else rows.join(F.broadcast(bracket), by)  # without keys one row
     inside = F.col("_v").between(F.col("_ends")[0], F.col("_ends")[1])
     ranked = placed.groupBy(*by, F.when(inside, F.col("_v")).alias("_slot")).agg(F.count_if(inside | (F.col("_v") < F.col("_ends")[0])).alias("_n"), F.first("_all").alias("_all"))
     # The row without a slot holds what is below the bracket; nulls come first.

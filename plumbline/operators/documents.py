@@ -4,47 +4,45 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PLAIN_KEY = re.compile(r"[A-Za-z_][A-Za-z0-9_-]*\Z")
 
 
-@F.udtf(returnType="path string, parent string, shape string, kind string, value string")
-class FlattenJson:
+def nodes(text: str) -> Iterator[tuple]:
     """Every node of a JSON text: its path, its parent's path, the lengths of the lists around it, its kind, and its value.
 
     Entries of a list are named by their "id" where that is stated and no other entry of the list has it, else by position. An
     object has no value, a list its length, anything else its JSON text. A text that isn't JSON is one node of kind invalid.
     """
-
-    def eval(self, text: str):
-        if text is None:
-            return
-        try:
-            root = json.loads(text)
-        except (ValueError, RecursionError):
-            yield "", None, "", "invalid", text
-            return
-        open_ = [("", None, "", root)]
-        while open_:
-            path, parent, shape, x = open_.pop()
-            if isinstance(x, dict):
-                yield path, parent, shape, "object", None
-                for k, v in x.items():
-                    here = (f"{path}.{k}" if path else k) if _PLAIN_KEY.match(k) else f"{path}[{json.dumps(k)}]"
-                    open_.append((here, path, shape, v))
-            elif isinstance(x, list):
-                yield path, parent, shape, "list", str(len(x))
-                names = [v.get("id") if isinstance(v, dict) else None for v in x]
-                names = [str(n) if isinstance(n, (str, int)) and not isinstance(n, bool) and n != "" else None for n in names]
-                once = {n for n in names if n is not None and names.count(n) == 1} if len(names) < 50 else _once(names)
-                for i, (n, v) in enumerate(zip(names, x, strict=True)):
-                    open_.append((f"{path}[{n if n in once else f'#{i}'}]", path, f"{shape}/{len(x)}", v))
-            else:
-                kind = "null" if x is None else "boolean" if isinstance(x, bool) else "integer" if isinstance(x, int) else "number" if isinstance(x, float) else "string"
-                yield path, parent, shape, kind, json.dumps(x, ensure_ascii=False)
+    try:
+        root = json.loads(text)
+    except (ValueError, RecursionError):
+        yield "", None, "", "invalid", text
+        return
+    open_ = [("", None, "", root)]
+    while open_:
+        path, parent, shape, x = open_.pop()
+        if isinstance(x, dict):
+            yield path, parent, shape, "object", None
+            for k, v in x.items():
+                here = (f"{path}.{k}" if path else k) if _PLAIN_KEY.match(k) else f"{path}[{json.dumps(k)}]"
+                open_.append((here, path, shape, v))
+        elif isinstance(x, list):
+            yield path, parent, shape, "list", str(len(x))
+            names = [v.get("id") if isinstance(v, dict) else None for v in x]
+            names = [str(n) if isinstance(n, (str, int)) and not isinstance(n, bool) and n != "" else None for n in names]
+            once = _once(names)
+            for i, (n, v) in enumerate(zip(names, x, strict=True)):
+                open_.append((f"{path}[{n if n in once else f'#{i}'}]", path, f"{shape}/{len(x)}", v))
+        else:
+            kind = "null" if x is None else "boolean" if isinstance(x, bool) else "integer" if isinstance(x, int) else "number" if isinstance(x, float) else "string"
+            yield path, parent, shape, kind, json.dumps(x, ensure_ascii=False)
 
 
 def _once(names: list) -> set:
@@ -56,7 +54,22 @@ def _once(names: list) -> set:
 
 def flattened(docs: DataFrame, key: str, column: str) -> DataFrame:
     """(key, path, parent, shape, kind, value) of every node of the documents; a null document has none."""
-    return docs.select(key, F.col(column).alias("_json")).lateralJoin(FlattenJson(F.col("_json").outer())).drop("_json")
+    names = ("path", "parent", "shape", "kind", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows, at = batch.column(key), [], []
+            for i, text in enumerate(batch.column("_json").to_pylist()):
+                for node in nodes(text):
+                    rows.append(node)
+                    at.append(i)
+                if len(rows) >= 8192 or (rows and i + 1 == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *(pa.array(c, pa.string()) for c in zip(*rows, strict=True))], names=[key, *names])
+                    rows, at = [], []
+
+    given = docs.where(F.col(column).isNotNull()).select(key, F.col(column).cast("string").alias("_json"))
+    schema = T.StructType([given.schema[key], *(T.StructField(n, T.StringType()) for n in names)])
+    return given.mapInArrow(run, schema)
 
 
 def deep_diff(committed: DataFrame, fresh: DataFrame, key: str, column: str) -> DataFrame:

@@ -33,20 +33,16 @@ def whole_number(df: DataFrame, column: str) -> Column:
     return F.unix_micros(column) if kind == "timestamp" else F.unix_micros(F.col(column).cast("timestamp")) if kind.startswith(("date", "timestamp")) else F.col(column).cast("long")
 
 
-def looked_up(rows: DataFrame, facts: DataFrame, keys: Sequence[str], times: str, spread: Sequence[str]) -> DataFrame:
-    """rows joined with facts (a row a key, with the key's number of rows as ``times``), without a hot task.
+def looked_up(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """rows joined with facts, an aggregate with a row a key, so that a frequent key is no hot task.
 
-    Frequent keys, FREQUENT at most, are broadcast, and their rows are dealt by the columns ``spread``; all others meet by
-    key, where none has more than one in FREQUENT rows. A row without facts is dropped, as is one with a null key.
+    Adaptive execution splits a join's skewed side only where both sides are plain shuffles. An aggregate by the join's own
+    keys is none, as it already lies by key; by the struct of the keys it is shuffled again, a row a key, and is one.
     """
     keys = list(keys)
     values = [c for c in facts.columns if c not in keys]
-    total = facts.agg(F.sum(times).alias("_total"))
-    frequent = facts.crossJoin(F.broadcast(total)).where(F.col(times) * FREQUENT > F.col("_total")).select(*keys, F.struct(*values).alias("_frequent"))
-    marked = rows.join(F.broadcast(frequent), keys, "left").withColumn("_deal", F.when(F.col("_frequent").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(FREQUENT))).otherwise(-1).cast("int"))
-    others = facts.select(*keys, F.lit(-1).alias("_deal"), F.struct(*values).alias("_other"))
-    joined = marked.join(others, [*keys, "_deal"], "left").withColumn("_found", F.coalesce("_frequent", "_other")).where("_found IS NOT NULL")
-    return joined.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in values])
+    key = F.struct(*[F.coalesce(c).alias(c) for c in keys]).alias("_key")
+    return rows.select("*", key).join(facts.select(key, *values), "_key", how).drop("_key")
 
 
 def must_join(facts: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as texts
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    last = F.size(tokens) - n
+def _grams(n: int) -> Column:
+    """The n-grams of ``_tokens``, each by direct access to its words."""
+    tokens = F.col("_tokens")
     if n == 1:
         return tokens
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    words = lambda x, i: F.concat_ws(" ", x, *[F.get(tokens, i + j) for j in range(1, n)])
+    return F.slice(F.transform(tokens, words), 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
 
 
 def matches(docs: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def matches(docs: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame)
     lengths = sorted(r[0] for r in phrases.select("_n").distinct().collect())  # a few small numbers
     tokens = F.filter(F.split(texts.latin_key(F.col(text_col)), " "), lambda x: x != "")
     rows = docs.select(F.col(id_col).alias("_id"), tokens.alias("_tokens")).where("_id IS NOT NULL AND _tokens IS NOT NULL")
-    grams = F.array_distinct(F.concat(*[_grams(F.col("_tokens"), n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    grams = F.array_distinct(F.concat(*[_grams(n) for n in lengths])) if lengths else F.array().cast("array<string>")
     found = rows.select("_id", F.explode(grams).alias("_gram")).join(phrases.drop("_n"), "_gram")
     return found.groupBy(F.col("_id").alias(id_col), "name").agg(F.min("rank").alias("rank"))
 

@@ -57,16 +57,14 @@ def fare_verdicts(moves: DataFrame, group: Sequence[str], least_siblings: int =
     """
     ratio = F.when(F.col("was_currency") == F.col("now_currency"), F.try_divide("now_amount", "was_amount"))
     rated = moves.withColumn("ratio", ratio)
-    # Every row finds its group's facts; rows without a ratio count for how many rows a group has.
-    facts = rated.groupBy(*group).agg(F.count("ratio").alias("_n"), F.count("*").alias("_times")).join(medians(rated, group, "ratio", "_middle"), list(group), "left")
-    df = looked_up(rated, facts, group, "_times", rated.columns)
+    df = looked_up(rated, medians(rated, group, "ratio", "_middle", count="_n"), group, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     beyond = F.col("ratio") / F.col("_middle") - 1
     verdict = (
         F.when(F.col("was_currency") != F.col("now_currency"), "currency").when(F.col("was_amount").isNull() | F.col("now_amount").isNull(), "unpriced")
         .when(~F.col("was_pct").eqNullSafe(F.col("now_pct")), "markdown").when(F.col("was_amount") == F.col("now_amount"), "same")
         .when(F.col("_n") < least_siblings, "too few").when(F.abs(beyond) <= tolerance, "group-wide").when(beyond > 0, "rose").otherwise("fell")
     )
-    return df.withColumn("verdict", verdict).drop("_middle", "_n", "_times")
+    return df.withColumn("verdict", verdict).drop("_middle", "_n")
 
 
 def this_or_next(df: DataFrame, keys: Sequence[str], order: str, verdict: str, outcome: str) -> DataFrame:

@@ -205,5 +205,18 @@ def test_medians_with_a_hot_key(readings):
 def test_frequent_keys_are_dealt(spark):
     rows = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, -7).otherwise(F.col("id")).alias("key"), "id")
     facts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    out = joins.looked_up(rows, facts, ["key"], "n", ["id"])
+    out = joins.looked_up(rows, facts, ["key"])
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    big = rows.select("key", F.sha2(F.col("id").cast("string"), 256).alias("id"))
+    split = joins.looked_up(big.repartition(8), facts, ["key"])
+    assert split.count() == 40_000
+    split.write.format("noop").mode("overwrite").save()
+    plan = split._jdf.queryExecution()
+    plan.executedPlan().execute().count()
+    assert "skewed" in plan.executedPlan().toString() or "skew=true" in plan.executedPlan().toString()
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert out.where("key = -7 AND n = 13334").count() == 13_334 and out.count() == 40_000
