@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
-from plumbline.operators import aggregates, documents, intervals, slices, vocabulary
+from plumbline.operators import aggregates, documents, history, intervals, slices, vocabulary
 from plumbline.plans.queries import Tables, query
+from plumbline.sources import payloads, publish
 
 # --- documents -------------------------------------------------------------------------------------------------------
 
@@ -119,3 +122,118 @@ def win_steps_sliced(t: Tables) -> DataFrame:
 def agg_median_of_large_keys(t: Tables) -> DataFrame:
     """Exact medians of keys that hold a large part of all rows, their brackets ranked in slices. [NUM14, AGG18]"""
     return aggregates.medians(t.events, ["event_type"], "value", count="n", split=16)
+
+
+# --- publication and books -------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH attempts(n, published) AS (VALUES (1, true), (2, false), (3, false), (4, true))
+SELECT o_orderstatus, count(*) AS n, (SELECT string_agg(CASE WHEN published THEN 'published' ELSE 'refused' END, ',' ORDER BY n) FROM attempts) AS attempts FROM orders WHERE o_totalprice >= 1000 GROUP BY o_orderstatus
+""")
+def state_publish(t: Tables) -> DataFrame:
+    """Orders published, a version of too few rows and one that breaks a rule refused, another published over the first. [SNK09, SNK13]"""
+    root = f"{publish.work_folder(t.spark)}/published-{uuid.uuid4().hex}"
+    rules = {"every price is 1000 or more": F.col("least") >= 1000}
+    measures = {"least": F.min("o_totalprice")}
+    told = []
+    for n, rows in enumerate((t.orders.where("o_totalprice >= 1000"), t.orders.where("o_orderstatus = 'P'"), t.orders.withColumn("o_totalprice", F.col("o_totalprice") - 1e6), t.orders.where("o_totalprice >= 1000"))):
+        try:
+            publish.publish(rows, root, f"attempt-{n}", measures=measures, rules=rules)
+            told.append("published")
+        except publish.NotPublished:
+            told.append("refused")
+    return publish.published(t.spark, root).groupBy("o_orderstatus").agg(F.count("*").alias("n")).withColumn("attempts", F.lit(",".join(told)))
+
+
+@query("""
+WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT day, event_type, n FROM d WHERE day > (SELECT max(day) FROM d) - 10
+""", dates=("day",))
+def state_book_of_days(t: Tables) -> DataFrame:
+    """A book of the last ten recorded days, its newest days written twice. [SNK07, SNK12, INC07]"""
+    root = f"{publish.work_folder(t.spark)}/book-{uuid.uuid4().hex}"
+    days = t.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    publish.append_days(days, root)
+    newest = days.agg(F.max("day").alias("last"))
+    publish.append_days(days.join(F.broadcast(newest)).where(F.col("day") > F.date_sub("last", 3)).drop("last"), root)  # one row
+    return publish.book(t.spark, root, "event_type string, n long, day date").select("day", "event_type", "n")
+
+
+# --- history ---------------------------------------------------------------------------------------------------------
+
+_READ = "SELECT event_type AS page, CAST(ts AS DATE) AS day FROM events GROUP BY ALL HAVING max(value) >= 60"
+
+
+@query(f"""
+WITH read AS ({_READ}),
+seen AS (SELECT user_id AS key, event_type AS page, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL),
+s AS (SELECT seen.* FROM seen JOIN read USING (page, day)),
+grid AS (SELECT k.key, k.page, r.day, s.n FROM (SELECT key, page, min(day) AS first FROM s GROUP BY ALL) k JOIN read r ON r.page = k.page AND r.day >= k.first LEFT JOIN s ON s.key = k.key AND s.page = k.page AND s.day = r.day),
+told AS (SELECT *, lag(day) OVER w AS before, lag(n) OVER w AS was FROM grid WINDOW w AS (PARTITION BY key, page ORDER BY day))
+SELECT key, page, day, CASE WHEN before IS NULL THEN 'added' WHEN had IS NULL THEN 'returned' WHEN n IS NULL THEN 'withdrawn' ELSE 'changed' END AS event, CASE WHEN was IS NOT NULL THEN was END AS was, n AS now
+FROM (SELECT * REPLACE (CASE WHEN was IS NULL AND n IS NOT NULL AND before IS NOT NULL THEN last_value(n IGNORE NULLS) OVER (PARTITION BY key, page ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) ELSE was END AS was), was AS had FROM told)
+WHERE before IS NULL OR (had IS NULL) <> (n IS NULL) OR had <> n
+""", dates=("day",))
+def change_history(t: Tables) -> DataFrame:
+    """Users' daily counts by type of event over all days; days on which a type wasn't read, told by its values, are no absence. [INC09, INC10, CHG04]"""
+    day = F.to_date("ts").alias("day")
+    read = t.events.groupBy(F.col("event_type").alias("page"), day).agg(F.max("value").alias("m")).where("m >= 60").select("page", "day")
+    seen = t.events.groupBy(F.col("user_id").alias("key"), F.col("event_type").alias("page"), day).agg(F.count("*").alias("n")).join(read, ["page", "day"], "left_semi")
+    out = history.events(seen, read, "key", "page", "day", ["n"])
+    return out.select("key", "page", "day", "event", F.col("was.n").alias("was"), F.col("now.n").alias("now"))
+
+
+# --- payloads --------------------------------------------------------------------------------------------------------
+
+_ARRAYS = [("onBoard", "mandatory"), ("inAdvance", "mandatory"), ("extras", "optional"), ("rental", "optional"), ("courses", "optional"), ("inclusions", "included")]
+
+
+def _fee_payloads(t: Tables) -> DataFrame:
+    """An order's lines as a payload of six arrays: the array from the mode of its tax, the title from its flag, the price from its quantity."""
+    e = F.struct(
+        F.concat(F.col("l_partkey").cast("string")).alias("id"), F.when(F.col("l_returnflag") == "A", "Park fee (all)").when(F.col("l_returnflag") == "N", "Harbour dues").when(F.col("l_linestatus") == "O", "Nitrox").otherwise("Coffee").alias("title"),
+        F.when(F.col("l_quantity") > 10, F.col("l_quantity").cast("decimal(10,2)").cast("string")).alias("price"), F.when(F.col("l_discount") < 0.09, "1").otherwise("7").alias("payedPer"), F.lit(None).cast("string").alias("validTo"),
+    )
+    rows = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(F.min(F.struct("l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax")).alias("x")).select("l_orderkey", "l_partkey", "x.*")
+    slot = F.least(F.floor(F.round(F.col("l_tax") * 100)).cast("int"), F.lit(5))
+    items = rows.select("l_orderkey", F.struct("l_partkey", slot.alias("slot"), e.alias("e")).alias("x")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+
+    def part(i: int) -> F.Column:
+        return F.transform(F.filter("xs", lambda x: x["slot"] == i), lambda x: x["e"])
+
+    return items.select("l_orderkey", F.to_json(F.struct(*[part(i).alias(name) for i, (name, _) in enumerate(_ARRAYS)])).alias("json"))
+
+
+_ENTRIES_SQL = """
+WITH r AS (SELECT l_orderkey, l_partkey, min({'a': l_linenumber, 'b': l_returnflag, 'c': l_linestatus, 'd': l_quantity, 'e': l_discount, 'f': l_tax}) AS x FROM lineitem GROUP BY ALL),
+e AS (
+  SELECT l_orderkey AS id, l_partkey, least(CAST(round(x.f * 100) AS INTEGER), 5) AS slot, CASE WHEN x.b = 'A' THEN 'park' WHEN x.b = 'N' THEN 'port' WHEN x.c = 'O' THEN 'nitrox' END AS code, CASE WHEN x.d > 10 THEN x.d END AS amount, x.e < 0.09 AS unit,
+    CASE WHEN x.b = 'A' THEN 'Park fee (all)' WHEN x.b = 'N' THEN 'Harbour dues' WHEN x.c = 'O' THEN 'Nitrox' ELSE 'Coffee' END AS title FROM r),
+o AS (SELECT *, CASE WHEN slot < 2 THEN 'm' WHEN slot < 5 THEN 'o' ELSE 'i' END AS origin FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY id, code, origin ORDER BY slot, l_partkey) AS nth, count_if(origin = 'm') OVER (PARTITION BY id, code) AS owed FROM o WHERE code IS NOT NULL AND (unit OR origin = 'i')),
+f AS (SELECT id, code, max(CASE WHEN origin = 'o' AND nth = 1 AND amount IS NOT NULL THEN 1 ELSE 0 END) AS priced, max(CASE WHEN origin = 'i' THEN 1 ELSE 0 END) AS free FROM k GROUP BY ALL),
+lines AS (SELECT k.* FROM k JOIN f USING (id, code) WHERE origin = 'm' OR (owed = 0 AND nth = 1 AND CASE WHEN origin = 'o' THEN amount IS NOT NULL OR free = 0 ELSE priced = 0 END))
+"""
+
+
+@query(_ENTRIES_SQL + """
+SELECT code, CASE WHEN origin = 'm' THEN 'mandatory' ELSE 'optional' END AS tier, origin = 'i' AS included, count(*) AS n, CAST(sum(CASE WHEN origin <> 'i' THEN amount END) AS DOUBLE) AS total FROM lines GROUP BY ALL
+""")
+def extract_payload_lines(t: Tables) -> DataFrame:
+    """Fee lines of payloads of six arrays, by code, tier and inclusion. [EXT29, EXT30, EXT31]"""
+    lines, _ = _payload_bills(t)
+    return lines.groupBy("code", "tier", "included").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
+@query(_ENTRIES_SQL + """
+SELECT id AS l_orderkey, count_if(origin = 'm' AND (code IS NULL OR NOT unit OR amount IS NULL)) = 0 AS complete, coalesce(list_sort(list(DISTINCT title) FILTER (WHERE origin = 'm' AND (code IS NULL OR NOT unit))), []) AS unreadable FROM o GROUP BY id
+""")
+def extract_payload_bills(t: Tables) -> DataFrame:
+    """Is an order's bill complete, and what in it can't be read? [EXT29]"""
+    return _payload_bills(t)[1].select("l_orderkey", "complete", "unreadable")
+
+
+def _payload_bills(t: Tables) -> tuple[DataFrame, DataFrame]:
+    found = payloads.entries(_fee_payloads(t), "l_orderkey", "json", _ARRAYS, "2026-01-01", "2026-12-31")
+    return payloads.fee_lines(found, "l_orderkey", [("(?i)nitrox", "nitrox"), ("(?i)harbour", "port"), ("(?i)park", "park")], {"1": "per_trip"}, "(?i)onboard purchases")

@@ -220,3 +220,108 @@ def test_frequent_keys_are_dealt(spark):
     for k, v in old.items():
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert out.where("key = -7 AND n = 13334").count() == 13_334 and out.count() == 40_000
+
+
+# --- publication -----------------------------------------------------------------------------------------------------
+
+
+def test_a_failed_gate_leaves_the_published_table(spark, tmp_path):
+    from plumbline.sources import publish
+
+    root = str(tmp_path / "table")
+    with pytest.raises(publish.NotPublished):
+        publish.published(spark, root)
+    one = publish.publish(spark.range(100), root, "one")
+    assert (one["number"], one["rows"]) == (1, 100)
+    with pytest.raises(publish.NotPublished, match="enough rows"):
+        publish.publish(spark.range(59), root, "two")
+    assert publish.published(spark, root).count() == 100 and publish.manifest(spark, root)["version"] == "one"
+    rules = {"no null": F.col("nulls") == 0, "unknown fails": F.lit(None).cast("boolean")}
+    with pytest.raises(publish.NotPublished) as e:
+        publish.publish(spark.range(100), root, "two", measures={"nulls": F.count_if(F.col("id").isNull())}, rules=rules)
+    assert e.value.args == ("unknown fails",)
+    # The same attempt again, now whole; and once more after its success, with other rows: nothing changes.
+    two = publish.publish(spark.range(60), root, "two")
+    assert two["number"] == 2 and publish.publish(spark.range(7), root, "two") == two and publish.published(spark, root).count() == 60
+    publish.publish(spark.range(3), root, "three", force=True)
+    publish.publish(spark.range(4), root, "four", keep=1)
+    assert publish.published(spark, root).count() == 4 and publish.Store(spark, root).names("versions") == ["four", "three"]
+    assert not publish.Store(spark, root).write_once("manifests/000000000004.json", "{}")
+
+
+def test_a_day_written_twice_changes_nothing(spark, tmp_path):
+    import datetime as dt
+
+    from plumbline.sources import publish
+
+    root, schema = str(tmp_path / "book"), "n long, day date"
+    assert publish.book(spark, root, schema).count() == 0
+    days = lambda first, n: spark.range(n).select(F.col("id").alias("n"), F.date_add(F.lit(first).cast("date"), F.col("id").cast("int")).alias("day"))
+    assert len(publish.append_days(days("2026-01-01", 5), root, keep=10)) == 5
+    before = rows(publish.book(spark, root, schema), "day")
+    publish.append_days(days("2026-01-01", 5).where("n = 4"), root, keep=10)
+    assert rows(publish.book(spark, root, schema), "day") == before
+    publish.append_days(days("2026-01-05", 1).withColumn("n", F.lit(99).cast("long")), root, keep=10)  # a day read anew
+    assert rows(publish.book(spark, root, schema), "day") == [*before[:4], (99, dt.date(2026, 1, 5))]
+    kept = publish.append_days(days("2026-01-12", 1), root, keep=10)
+    assert kept == [dt.date(2026, 1, 3), dt.date(2026, 1, 4), dt.date(2026, 1, 5), dt.date(2026, 1, 12)]
+    assert [n for n in publish.Store(spark, root).names() if n.startswith("day=")] == [f"day={d}" for d in kept]
+    with pytest.raises(Exception, match="a row without day"):
+        publish.append_days(spark.createDataFrame([(1, None)], schema), root)
+
+
+# --- history ---------------------------------------------------------------------------------------------------------
+
+
+def test_a_page_not_read_is_no_withdrawal(spark):
+    from plumbline.operators import history
+
+    seen = [("a", "p", 1, 10), ("a", "p", 3, 12), ("b", "p", 1, 5), ("b", "p", 5, 5), ("c", "q", 2, 1), ("d", "p", 3, 7)]
+    read = [("p", 1), ("p", 3), ("p", 4), ("p", 5), ("q", 2)]
+    snapshots = spark.createDataFrame([(k, p, f"2026-01-0{d}", v) for k, p, d, v in seen], "key string, page string, day string, price int").withColumn("day", F.col("day").cast("date"))
+    coverage = spark.createDataFrame([(p, f"2026-01-0{d}") for p, d in read], "page string, day string").withColumn("day", F.col("day").cast("date"))
+    got = history.events(snapshots, coverage, "key", "page", "day", ["price"])
+    assert sorted((r.key, r.day.day, r.event, r.was and r.was.price, r.now and r.now.price) for r in got.collect()) == [
+        ("a", 1, "added", None, 10), ("a", 3, "changed", 10, 12), ("a", 4, "withdrawn", 12, None), ("b", 1, "added", None, 5), ("b", 3, "withdrawn", 5, None), ("b", 5, "returned", 5, 5),
+        ("c", 2, "added", None, 1), ("d", 3, "added", None, 7), ("d", 4, "withdrawn", 7, None),
+    ]
+    # Day 2: page p unread, so a and b are unread, not absent.
+    states = lambda day: {r.key: r.state for r in history.states(snapshots, coverage, "key", "page", "day", day).collect()}
+    assert states("2026-01-02") == {"a": "unread", "b": "unread", "c": "seen"}
+    assert states("2026-01-05") == {"a": "absent", "b": "seen", "c": "unread", "d": "absent"}
+
+
+# --- payloads --------------------------------------------------------------------------------------------------------
+
+RULES = [("(?i)nitrox", "nitrox"), ("(?i)port|harbour", "port"), ("(?i)park", "park"), ("(?i)transfer", "transfer"), ("(?i)guide", "guide")]
+ARRAYS = [("onBoard", "mandatory"), ("inAdvance", "mandatory"), ("extras", "optional"), ("rental", "optional"), ("included", "included")]
+
+
+def lines_of(spark, *payloads):
+    from plumbline.sources import payloads as source
+
+    df = spark.createDataFrame([(i, json.dumps(p) if isinstance(p, dict) else p) for i, p in enumerate(payloads)], "trip int, json string")
+    found = source.entries(df, "trip", "json", ARRAYS, "2026-06-01", "2026-09-30")
+    lines, bills = source.fee_lines(found, "trip", RULES, {"1": "per_trip", "2": "per_night"}, "(?i)onboard purchases", ["guide"])
+    return sorted(((r.trip, r.code, r.tier, r.basis, r.amount and float(r.amount), r.included, r.note) for r in lines.collect()), key=repr), {r.trip: (r.complete, r.unreadable, r.on_purchases) for r in bills.collect()}
+
+
+def entry(title, price=None, per="1", **more):
+    return {"title": title, "price": price, "payedPer": per, **more}
+
+
+def test_payload_arrays_become_lines_and_a_verdict(spark):
+    lines, bills = lines_of(
+        spark,
+        {"onBoard": [entry("Park fee", 90), entry("Park fee", 20), entry("Harbour", None, extraValue="15.5"), entry("Guide", 9, "2"), entry("14% GST (on onboard purchases)", 14)], "extras": [entry("Nitrox (EAN)"), entry("Nitrox", 70), entry("Park pass", 1), entry("Torch", 3)], "included": [entry("Free nitrox", per=None), entry("Transfers (port)", per=None), entry("Coffee", per=None)]},
+        {"onBoard": [entry("Park fee")], "inAdvance": [entry("Local fee", 5), entry("Port", 5, "9"), entry("", 1, id="77")], "rental": [entry("Nitrox set", 50, contents="12 l"), entry("Transfer", 5, "9")], "included": [entry("Nitrox for free", per=None), entry("Port fee", per=None)]},
+        {"onBoard": [entry("Park fee", 90, validTo="2026-05-31"), entry("Park fee", 95, validFrom="2026-06-01")], "extras": [entry("Transfer")], "included": []},
+        "no json", {"included": [entry("Water")]},
+    )
+    assert lines == sorted([
+        (0, "park", "mandatory", "per_trip", 90.0, False, "Park fee"), (0, "park", "mandatory", "per_trip", 20.0, False, "Park fee"), (0, "port", "mandatory", "per_trip", 15.5, False, "Harbour"),
+        (0, "guide", "optional", "per_night", 9.0, False, "Guide"), (0, "nitrox", "optional", "per_trip", None, True, "Free nitrox"), (0, "transfer", "optional", "per_trip", None, True, "Transfers (port)"),
+        (1, "park", "mandatory", "per_trip", None, False, "Park fee"), (1, "nitrox", "optional", "per_trip", 50.0, False, "Nitrox set: 12 l"), (1, "port", "optional", "per_trip", None, True, "Port fee"),
+        (2, "park", "mandatory", "per_trip", 95.0, False, "Park fee"), (2, "transfer", "optional", "per_trip", None, False, "Transfer"),
+    ], key=repr)
+    assert bills == {0: (True, [], ["14% GST (on onboard purchases)"]), 1: (False, ["<untitled 77>", "Local fee", "Port"], []), 2: (True, [], []), 4: (True, [], [])}
