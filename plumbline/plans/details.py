@@ -255,7 +255,7 @@ def extract_streamed(t: Tables) -> DataFrame:
     plan = _cat("p_name", _lit("\n5:T2,é"))
     row = _cat(_lit("0:[]\n3f:T"), F.lower(F.hex(F.octet_length(plan))), _lit(","), plan, _lit('7:{"a":{"details":{"text":"$3f","size":'), F.col("p_size").cast("string"), _lit("}}}"))
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
-    html = _cat(_lit("push([1,"), quoted(F.substring(row, 1, 9)), _lit("])push([1,"), quoted(F.substring(row, 10, 100_000)), _lit('])push([1,"\\x"])'))
+    html = _cat(_lit("push([1,"), quoted(F.substring(row, 1, 9)), _lit("])push([1,"), quoted(F.substr(row, F.lit(10))), _lit('])push([1,"\\x"])'))
     found = t.part.select("p_partkey", html.alias("html")).lateralJoin(extract.StreamedObjects(F.col("html").outer(), _lit("details")))
     return found.select("p_partkey", F.get_json_object("node", "$.details.text").alias("plan"), F.get_json_object("node", "$.details.size").cast("int").alias("size"), "undecoded")
 
@@ -289,7 +289,7 @@ def extract_gear(t: Tables) -> DataFrame:
     item = lambda label, value: _cat(_lit(f"<li><strong>{label}</strong><span>"), value, _lit("</span></li>"))
     full = _cat(_lit("Full equipment rent"), item("Set", _cat(_lit("€"), size, F.when(F.col("p_size") % 3 == 0, " / week").otherwise(""))))
     html = _cat(_lit("<h3>Rental Gear Prices</h3>"), item("Mask", _lit("€5 / week")), F.when(F.col("p_size") % 2 == 0, full).otherwise(""))
-    found = t.part.select("p_partkey", html.alias("html")).lateralJoin(extract.GearLine(F.col("html").outer(), _lit("EUR")))
+    found = extract.gear_line(extract.gear_items(t.part.select("p_partkey", html.alias("html")), "p_partkey", "html", _lit("EUR")), "p_partkey")
     return found.select("p_partkey", "code", "amount", "currency", "basis", "unit_unstated")
 
 

@@ -66,13 +66,13 @@ def test_gear_line(spark):
     row = lambda a, b: f"<li><strong>{a}</strong> <span>{b}</span></li>"
     title, single, full = "Rental Gear Prices ", row("BCD", "€83 / week") + row("Nitrox tank", "Included"), "Full equipment rent "
     texts = [title + single + full + row("Set", "€40-60 / item"), title + single + full + row("Set", "$40"), title + single, title + row("Mask", "ask"), title, "Else " + single, None]
-    d = spark.createDataFrame(list(enumerate(texts)), "k int, h string").lateralJoin(extract.GearLine(F.col("h").outer(), F.lit("EUR"))).drop("h")
+    d = extract.gear_line(extract.gear_items(spark.createDataFrame(list(enumerate(texts)), "k int, h string"), "k", "h", F.lit("EUR")), "k")
     got = {r.k: r for r in d.collect()}
     assert sorted(got) == [0, 1, 2, 3] and all((r.code, r.tier, r.included) == ("gear_rental", "optional", False) for r in got.values())
-    assert tuple(got[0])[4:] == (40.0, 60.0, "EUR", "per_trip", False, "Full equipment hire: Set")
-    assert tuple(got[1])[4:] == (40.0, None, "USD", "per_trip", True, "Full equipment hire: Set $40, with no unit stated")
-    assert tuple(got[2])[4:] == (None, None, None, "per_week", False, "Operator prices gear per item, not as a set: BCD €83/week; Nitrox tank included")
-    assert (got[3].basis, got[3].note) == ("per_trip", "Operator prices gear per item, not as a set: Mask")
+    assert tuple(got[0])[4:] == (40.0, 60.0, "EUR", "per_trip", False, "Set €40-60 / item")
+    assert tuple(got[1])[4:] == (40.0, None, "USD", "per_trip", True, "Set $40")
+    assert tuple(got[2])[4:] == (None, None, None, "per_week", False, "BCD €83 / week; Nitrox tank Included")
+    assert (got[3].basis, got[3].note) == ("per_trip", "Mask ask")
 
 
 def test_schedule_walk(spark):
