@@ -5,10 +5,13 @@ and cut into segments of m components, ``|q - x|^2 >= sum of m * ((mean_q - mean
 Levels of 1, 2, 4, ... segments give ever closer lower bounds of the distance, so upper bounds of the score; a row
 survives a level if its bound reaches the query's k-th best score so far, and survivors of all levels get exact scores.
 
-The query set (every row whose id is divisible by ``every``) grows with the table, so it stays in Spark: queries are dealt to
-blocks of about ``QUERY_BLOCK`` and rows to blocks of about ``ROW_BLOCK``, every pair of blocks is the key of one shuffle, and in
-each pair the queries come first and are held while the rows stream past them. A pair returns k rows a query at most, and
-Spark ranks them. Nothing but two counts passes through the driver, and nothing is broadcast.
+The query set (every row whose id is divisible by ``every``) grows with the table, so it stays in Spark. Rows are dealt once to
+blocks of up to ``ROW_BYTES`` of vectors, which a task holds with their statistics, and every query passes by each block, in
+batches: a copy of a query a block is what an exact search has to ship, so blocks are as large as memory allows (but at least
+``LEAST_BLOCKS`` while rows are enough, so that tasks share the work). A block returns a query's best k rows only if they
+reach its threshold. Thresholds come from earlier, smaller searches: of one in STEP rows, and before that of one in
+STEP * STEP, down to ``SAMPLE`` rows; the k-th best score of any part of the rows is no more than that of all. So about STEP * k rows come
+back a query and search, whatever the number of blocks. Nothing but two counts passes through the driver, and nothing is broadcast.
 
 Doubles are exact while ``|q| * |x|`` is below 2**53. Where it may not be, products in doubles with a bound of their
 rounding only pick the pairs that can be among the best, and these are scored in integers of any length.
@@ -35,7 +38,10 @@ from pyspark.sql import types as T
 K = 10
 EVERY = 100
 SCALE = 1024
-QUERY_BLOCK, ROW_BLOCK = 32_768, 8192
+#: Bytes of vectors (8 a component) that a task holds; rows that make a block of their own as long as there are few blocks.
+ROW_BYTES, ROW_BLOCK, LEAST_BLOCKS = 96 << 20, 8192, 64
+#: A search is prepared by one of every STEP-th row, by hash, if that leaves SAMPLE rows or more.
+STEP, SAMPLE = 64, 16_384
 #: Rows and queries of one step of the search in a task.
 ROWS, QUERIES = 2048, 256
 #: Kinds of vectors: products of two PLAIN ones (scaled, shorter than 2**26) are exact in doubles, those of LARGE ones are
@@ -104,21 +110,26 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([mean, dev]) * np.sqrt(np.tile(size, 2))
 
 
+def row_statistics(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    return (x * x).sum(1), [statistics(x, n) for n in levels(x.shape[1])]
+
+
 class Block:
     """Queries of one length and kind with their statistics and the best k so far."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, kind: int = PLAIN):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, kind: int = PLAIN, least: np.ndarray | None = None):
         self.ids, self.x, self.k, self.kind = ids, x, k, kind
         if kind != HUGE:
             self.norm = (x * x).sum(1)
         if kind == PLAIN:
             self.stats = [statistics(x, n) for n in levels(x.shape[1])]
-        self.least = np.full(len(ids), -np.inf)  # the k-th best score
+        self.least = np.full(len(ids), -np.inf) if least is None else least  # no more than the k-th best score
         self.best: list[list[tuple[float, int]]] = [[] for _ in ids]  # (-score, id), in order
 
-    def search(self, ids: np.ndarray, x: np.ndarray, kind: int = PLAIN) -> None:
+    def search(self, ids: np.ndarray, x: np.ndarray, kind: int = PLAIN, known: tuple | None = None) -> None:
+        """``known``: what row_statistics gives for the rows."""
         if max(kind, self.kind) == PLAIN:
-            self._search_plain(ids, x)
+            self._search_plain(ids, x, *(known or row_statistics(x)))
         elif max(kind, self.kind) == LARGE:
             self._search_large(ids, x)
         else:
@@ -149,9 +160,7 @@ class Block:
         found = [(-sum(map(mul, q, map(int, x[i].tolist()))), int(ids[i])) for i in j]
         self._settle(at, found)
 
-    def _search_plain(self, ids: np.ndarray, x: np.ndarray) -> None:
-        norm = (x * x).sum(1)
-        stats = [statistics(x, n) for n in levels(x.shape[1])]
+    def _search_plain(self, ids: np.ndarray, x: np.ndarray, norm: np.ndarray, stats: list[np.ndarray]) -> None:
         for a in range(0, len(self.ids), QUERIES):
             part = slice(a, a + QUERIES)
             half = (self.norm[part, None] + norm) / 2
@@ -193,69 +202,72 @@ class Block:
         best = sorted([*self.best[at], *found])[: self.k]
         self.best[at] = best
         if len(best) == self.k:
-            self.least[at] = _below(-best[-1][0])
+            self.least[at] = max(self.least[at], _below(-best[-1][0]))
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (query block, row block), in each pair the queries first -> the best k of each query in each pair."""
-    pair: tuple | None = None
-    asked: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-    blocks: dict[int, list[Block]] | None = None
-
-    def build() -> dict[int, list[Block]]:
-        built: dict[int, list[Block]] = {}
-        for (n, kind), parts in asked.items():
-            ids, x = np.concatenate([i for i, _ in parts]), np.vstack([v for _, v in parts])
-            built.setdefault(n, []).append(Block(ids, x, k, kind))
-        asked.clear()
-        return built
-
-    def results() -> Iterator[pa.RecordBatch]:
-        kinds = (*[pa.int64()] * 3, pa.binary())
-        for block in (b for several in (blocks or {}).values() for b in several):
-            for a in range(0, len(block.ids), 4096):
-                found = [(int(q), i, *_long(int(-s))) for q, best in zip(block.ids[a : a + 4096], block.best[a : a + 4096], strict=True) for s, i in best]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["query_id", "vec_id", "score", "beyond"])
-
+    """Rows sorted by block, in each the rows first, then the queries with their thresholds -> the best k of each query in each block."""
+    now: int | None = None
+    held: list[tuple[int, int, np.ndarray, np.ndarray, tuple | None]] = []  # length, kind, ids, vectors, statistics
+    kinds = (*[pa.int64()] * 3, pa.binary())
     for batch in batches:
-        keys = np.stack([batch.column(c).cast(pa.int64()).to_numpy() for c in ("query_block", "row_block", "is_row")])
+        keys = np.stack([batch.column(c).cast(pa.int64()).to_numpy() for c in ("row_block", "is_query")])
         edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
         for a, b in zip(np.append(0, edges).tolist(), np.append(edges, batch.num_rows).tolist(), strict=True):
-            if (now := (int(keys[0, a]), int(keys[1, a]))) != pair:
-                yield from results()
-                pair, blocks = now, None
-                asked.clear()
+            if int(keys[0, a]) != now:
+                now = int(keys[0, a])
+                held.clear()
             for at in range(a, b, ROWS):
                 part = batch.slice(at, min(ROWS, b - at))
-                vectors = scaled(part.column("embedding"), part.column("vec_id"))
-                if not keys[2, a]:
-                    for group, found in vectors.items():
-                        asked.setdefault(group, []).append(found)
-                    continue
-                blocks = build() if blocks is None else blocks
-                for (n, kind), (ids, x) in vectors.items():
-                    for block in blocks.get(n, ()):
-                        block.search(ids, x, kind)
-    yield from results()
-
-
-def search(df: DataFrame, every: int = EVERY, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
+                for (n, kind), (ids, x) in scaled(part.column("embedding"), part.column("vec_id")).items():
+                    if not keys[1, a]:
+                        held.append((n, kind, ids, x, row_statistics(x) if kind == PLAIN else None))
+                        continue
+                    # Thresholds are longs, doubles below them are safe.
+                    given = dict(zip(part.column("vec_id").to_pylist(), part.column("least").to_pylist(), strict=True))
+                    least = np.array([-np.inf if given[i] is None else _below(given[i]) for i in ids.tolist()])
+                    block = Block(ids, x, k, kind, least)
+                    for m, other, theirs, vectors, known in held:
+                        if m == n:
+                            block.search(theirs, vectors, other, known)
+                    found = [(int(q), i, *_long(int(-s))) for q, best in zip(block.ids, block.best, strict=True) for s, i in best]
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["query_id", "vec_id", "score", "beyond"])
+
+
+def _best(rows: DataFrame, queries: DataFrame, blocks: int, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the queries (vec_id, embedding, least) among the rows."""
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("row_block")
+    held = rows.select(block, F.lit(False).alias("is_query"), "vec_id", "embedding", F.lit(None).cast("long").alias("least"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("row_block"), F.lit(True).alias("is_query"), "vec_id", "embedding", "least")
+    pairs = held.unionByName(asked).repartition("row_block").sortWithinPartitions("row_block", "is_query")
+    found = pairs.transform(mapped, lambda it: _search(it, k), SCHEMA)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), F.asc("vec_id"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search(df: DataFrame, every: int = EVERY, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", row_bytes: int = ROW_BYTES, row_block: int = ROW_BLOCK, step: int = STEP, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of highest score of each query, its own id left out."""
     element = df.schema[vector_col].dataType.elementType
     vector = df[vector_col] if isinstance(element, (T.FloatType, T.DoubleType)) else df[vector_col].cast("array<double>")
     rows = df.select(df[id_col].cast("long").alias("vec_id"), vector.alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    is_query = F.col("vec_id") % every == 0
-    n, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    row_blocks, query_blocks = max(1, -(-n // row_block)), max(1, -(-asked // query_block))
-    dealt = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    every_one = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = rows.where(is_query).distinct().select(dealt(query_blocks).alias("query_block"), every_one(row_blocks).alias("row_block"), F.lit(False).alias("is_row"), "vec_id", "embedding")
-    candidates = rows.select(every_one(query_blocks).alias("query_block"), dealt(row_blocks).alias("row_block"), F.lit(True).alias("is_row"), "vec_id", "embedding")
-    pairs = queries.unionByName(candidates).repartition("query_block", "row_block").sortWithinPartitions("query_block", "row_block", "is_row")
-    found = pairs.transform(mapped, lambda it: _search(it, k), SCHEMA)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    n, size = rows.agg(F.count("*"), F.sum(F.size("embedding").cast("long")) * 8).first()
+    queries = rows.where(F.col("vec_id") % every == 0).distinct().withColumn("least", F.lit(None).cast("long"))
+    # About one in ``part`` rows; small searches first, each with the thresholds of the one before.
+    part = 1
+    while n // (part * step) >= sample:
+        part *= step
+    while True:
+        some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(part)) == 0) if part > 1 else rows
+        # Held blocks of bounded bytes; while they are few, more of them, that tasks share the work.
+        blocks = max(1, -(-(size or 0) // (part * row_bytes)), min(LEAST_BLOCKS, -(-n // (part * row_block))))
+        found = _best(some, queries, blocks, k)
+        if part == 1:
+            return found
+        part //= step
+        # A score at the lower end of a long may stand for a lower one, and is no threshold.
+        reached = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("reached")).where(F.col("reached") > _LEAST)
+        queries = queries.drop("least").join(reached, "vec_id", "left").withColumnRenamed("reached", "least")
 
 
 #: The same rows in SQL.

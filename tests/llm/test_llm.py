@@ -562,15 +562,15 @@ def test_entropy_is_incremental():
         assert math.isclose(bits, -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values()), abs_tol=1e-9)
 
 
-@pytest.mark.parametrize(("block", "row_block"), [(8192, 8192), (2, 50)])
-def test_top_k(spark, block, row_block):
+@pytest.mark.parametrize("how", [{}, {"row_block": 50}, {"row_bytes": 4000, "row_block": 9}, {"row_block": 40, "step": 3, "sample": 20}])
+def test_top_k(spark, how):
     rng = np.random.RandomState(9)
     base = rng.randn(230, 24) / 5
     base[50:60] = base[0]  # ties
     rows = [(i * 10, [float(x) for x in v]) for i, v in enumerate(base)]
     rows += [(5000, None), (5100, [None] * 24), (5200, [float("nan")] * 24), (5300, [float("inf")] * 24), (None, rows[0][1]), (5400, []), (5500, [1.0, 2.0]), (5501, [2.0, 1.0])]
     got = defaultdict(list)
-    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).repartition(3), query_block=block, row_block=row_block).orderBy("query_id", "rank").collect():
+    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).repartition(3), **how).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     good = {i: np.floor(1024 * np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
     for q, x in good.items():
