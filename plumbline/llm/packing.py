@@ -2,11 +2,12 @@
 
 ``pack`` reads (id, text) rows, encodes every whole text with a public byte-level BPE vocabulary, ends it with one
 separator id and cuts it into pieces. Full windows become sequences of their own. What remains of each document is
-collected into groups of ``GROUP`` rests, and each group is dealt to near-equal windows: partial partitions with opposing
-imbalances are merged (largest difference first). A group starts with as many windows as it fills; the count rises while
-what exceeds the capacity would fill a window, and the little that still does is cut off and goes to the next group. A
-task's last group isn't cut: its window count rises whenever a window exceeds the capacity. Nothing is shuffled: a task packs
-the rows it reads, a group at a time, so a lost task is simply run again and gives the same sequences.
+collected into groups that fill about ``GROUP_WINDOWS`` windows, and each group is dealt to near-equal windows: partial
+partitions with opposing imbalances are merged (largest difference first), and the window count rises whenever a window
+exceeds the capacity. What is cut is cut before: rests longer than half a window in two, the smallest rests, ``FINE`` of all
+ids, into pieces of falling powers of two, which even out the sums, and what the group's windows can't hold is cut off the
+longest pieces and waits for the next group. Nothing is shuffled: a task packs the rows it reads, a group at a time, so
+a lost task is simply run again and gives the same sequences.
 
 Defined results: a null text is an empty one (one separator id); an empty table gives no rows; repeated rows are packed
 once each; a null id is carried through; other columns are left out; a very long text is encoded whole, and only its ids are
@@ -31,8 +32,10 @@ from ._bytes import chunks, mapped
 
 CAPACITY = 1024
 SEPARATOR = 0
-#: Rests that are packed together; bounds the memory and time of one differencing.
-GROUP = 192
+#: Windows, and pieces at most, that are packed together; they bound the memory and time of one differencing.
+GROUP_WINDOWS, GROUP_PIECES = 340, 8192
+#: Share of a group's ids that is cut into fine pieces, the greatest of these, and the share of room left open.
+FINE, FINEST, OPEN = 0.04, 64, 0.002
 #: Longer texts are read by the tokenizer of the JSON file itself.
 FAST_CHARS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -112,26 +115,67 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, sums
 
 
-def windows(sizes: np.ndarray, capacity: int = CAPACITY, cut: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def windows(sizes: np.ndarray, capacity: int = CAPACITY, count: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Near-equal windows by differencing; every size must be within the capacity. Returns each item's window and the sums.
 
-    The count rises whenever the capacity is exceeded; with ``cut`` only while what exceeds it would fill a window.
+    The count starts with the least that can hold all (or more, if so told) and rises whenever the capacity is exceeded.
     """
-    total = int(sizes.sum())
-    k = max(1, total // capacity if cut else -(-total // capacity))
+    k = max(1, -(-int(sizes.sum()) // capacity), count)
     while True:
         bins, sums = differencing(sizes, k)
         over = int(np.maximum(sums - capacity, 0).sum())
-        if over < (capacity if cut else 1):
+        if not over:
             return bins, sums
         k += max(1, over // capacity)
 
 
+Piece = tuple  # (document, start, ids, ids of the document)
+
+
+def prepared(rests: list[Piece], capacity: int, last: bool) -> tuple[list[Piece], list[Piece]]:
+    """(pieces of the group, what waits for the next): all cuts are made here, before the differencing."""
+
+    def parts(piece: Piece, sizes: list[int]) -> list[Piece]:
+        ends = np.cumsum(sizes).tolist()
+        doc, start, ids, n = piece
+        return [(doc, start + a, ids[a:b], n) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    total = sum(len(x[2]) for x in rests)
+    pieces, fine = [], 0
+    for piece in sorted(rests, key=lambda x: len(x[2])):
+        size = len(piece[2])
+        if fine < FINE * total and size > 1:
+            fine += size
+            sizes, step = [], FINEST
+            while size:
+                sizes.append(min(step, size))
+                size -= sizes[-1]
+                step = step // 2 or FINEST
+            pieces += parts(piece, sizes)
+        elif size > capacity // 2 > 0:
+            pieces += parts(piece, [capacity // 2] * (size // (capacity // 2)) + [size % (capacity // 2)] * (size % (capacity // 2) > 0))
+        else:
+            pieces.append(piece)
+    waiting = []
+    over = total - int((total // capacity) * capacity * (1 - OPEN))
+    if not last and total >= capacity:
+        pieces.sort(key=lambda x: len(x[2]))
+        while over > 0:
+            piece = pieces.pop()
+            size = len(piece[2])
+            if size > over:
+                left, piece = parts(piece, [size - over, over])
+                pieces.append(left)
+            waiting.append(piece)
+            over -= len(piece[2])
+    return pieces, waiting
+
+
 def _packed(batches: Iterator[pa.RecordBatch], capacity: int, tokenizer: str) -> Iterator[pa.RecordBatch]:
     encode = encoder(tokenizer)
     context = TaskContext.get()
     sequence = (context.partitionId() if context else 0) << 36
-    rests: list[tuple] = []  # (document, start, ids, ids of the document)
+    rests: list[Piece] = []
     rows: list[tuple] = []
 
     def table() -> pa.RecordBatch:
@@ -141,19 +185,15 @@ def _packed(batches: Iterator[pa.RecordBatch], capacity: int, tokenizer: str) ->
 
     def close(last: bool) -> None:
         nonlocal sequence
-        bins, sums = windows(np.array([len(ids) for _, _, ids, _ in rests], np.int64), capacity, not last)
+        pieces, rests[:] = prepared(rests, capacity, last)
+        bins, sums = windows(np.array([len(ids) for _, _, ids, _ in pieces], np.int64), capacity)
         filled = np.zeros(len(sums), np.int64)
-        beyond = []
-        for (doc, start, ids, n), at in zip(rests, bins, strict=True):
-            room = capacity - int(filled[at])
-            if room:
-                rows.append((doc, start, min(len(ids), room), zlib.crc32(ids[:room].tobytes()), n, sequence + int(at), int(filled[at])))
-                filled[at] += min(len(ids), room)
-            if len(ids) > room:
-                beyond.append((doc, start + room, ids[room:], n))
+        for (doc, start, ids, n), at in zip(pieces, bins, strict=True):
+            rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), n, sequence + int(at), int(filled[at])))
+            filled[at] += len(ids)
         sequence += len(sums)
-        rests[:] = beyond
 
+    held = 0
     for batch in chunks(batches):
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             ids = np.append(encode(text or ""), np.uint32(SEPARATOR)).astype("<u4")
@@ -164,8 +204,10 @@ def _packed(batches: Iterator[pa.RecordBatch], capacity: int, tokenizer: str) ->
                 sequence += 1
             if whole < n:
                 rests.append((doc, whole, ids[whole:].copy(), n))
-            if len(rests) >= GROUP:
+                held += n - whole
+            if held >= GROUP_WINDOWS * capacity or len(rests) >= GROUP_PIECES:
                 close(False)
+                held = sum(len(x[2]) for x in rests)
             if len(rows) >= 8192:
                 yield table()
     if rests:

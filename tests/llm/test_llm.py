@@ -315,19 +315,43 @@ def test_packing(docs, corpus):
         assert at <= 1024
 
 
-def test_packing_leaves_little_padding():
-    """Groups that follow each other: what exceeds a window is cut off, only the last group's count rises."""
+def test_packing_leaves_little_padding(monkeypatch):
+    """Groups that follow each other: all cuts are made before, no window is ever over the capacity, and the count may rise in each."""
     rng = np.random.RandomState(8)
+    dealt, plain = [], packing.windows
+
+    def watched(sizes, capacity, count=0):
+        bins, sums = plain(sizes, capacity, count)
+        dealt.append((len(sizes), -(-int(sizes.sum()) // capacity), len(sums), int(sums.max())))
+        return bins, sums
+
+    monkeypatch.setattr(packing, "windows", watched)
     texts = [" ".join("word" for _ in range(n)) for n in rng.randint(1, 2500, 3000)]
     out = pa.Table.from_batches(packing._packed([pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], names=["doc_id", "text"])], 1024, "byte_bpe_50k"))
     length, sequence = out.column("length").to_numpy(), out.column("sequence_id").to_numpy()
     filled = np.bincount(sequence - sequence.min(), length)
     assert filled.max() <= 1024 and filled.sum() == sum(len(t.split()) + 1 for t in texts)
     assert 1 - filled.sum() / (1024 * len(filled)) < 0.01
+    assert len(dealt) > 3 and all(most <= 1024 and windows >= least for _, least, windows, most in dealt)
+    monkeypatch.setattr(packing, "windows", plain)
     sizes = rng.randint(1, 1025, 150)
     assert packing.windows(sizes)[1].max() <= 1024
 
 
+def test_packing_of_a_text_above_the_fast_path(monkeypatch):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    rng = random.Random(12)
+    text = " ".join(rng.choice(["word", "déjà", "123", "a-b", "\n\n", "  ", "xyzzy", "日本"]) for _ in range(120_000))
+    assert len(text) > packing.FAST_CHARS
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert packing.encoder()(text).tolist() == ids
+    monkeypatch.setattr(packing, "FAST_CHARS", len(text))
+    assert packing.encoder()(text).tolist() == ids
+
+
 @pytest.mark.parametrize("chars", [400_000, 0])
 def test_packing_ids_of_added_tokens(chars, monkeypatch):
     """Either path gives the ids of the JSON file's tokenizer with its defaults, also on texts that hold its end mark."""
