@@ -3,15 +3,17 @@
 Each permutation of the shingle hashes is evaluated once and gives two signature values, its minimum and its maximum:
 half the hash evaluations of plain MinHash, an unbiased estimate of the same similarity and, as the two are negatively
 correlated, of lower variance. 64 permutations give 128 values in 32 bands of 4: a pair of large sets at similarity 0.75
-shares no band with probability 5e-6. In small sets minimum and maximum depend on each other: sets of 4 and 3 shingles
-(texts of 8 and 7 words) share both with probability 0.5, not 0.5625, and so no band with probability 1e-4.
+shares no band with probability 5e-6. In small sets minimum and maximum depend on each other (sets of 4 and 3 shingles share
+both with probability 0.5, not 0.5625), so sets of less than ``SMALL`` shingles are joined exactly, as in step 3, whatever
+buckets they share.
 
 1. Documents with the same shingle set form one class, and only its smallest id goes on.
 2. In each band bucket every member is compared with the bucket's center only (a star, never all pairs). Links are
    confirmed on full sets, and their connected components found.
 3. Where a bucket still holds several components, its members are joined exactly: sets that reach the threshold
    share one of their rarest shingles (prefix filter), and pairs of different components that do are confirmed.
-   So no pair that shares a bucket loses its link, however large the bucket is.
+   So no pair that shares a bucket loses its link, however large the bucket is. All small sets, and those large enough to
+   reach the threshold with one, take part in this.
 
 What is counted or chosen per bucket, class and shingle is cut before it is joined to their members, so that adaptive execution
 splits those that a large part of all rows share.
@@ -36,6 +38,8 @@ from ._graph import components, cut, stored
 
 WORDS, PERCENT = 5, 75
 PERMUTATIONS, BANDS = 64, 32
+#: Sets of fewer shingles are compared exactly.
+SMALL = 20
 
 _rng = np.random.RandomState(6151)
 _MULTIPLY = _rng.randint(0, 2**62, PERMUTATIONS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -209,7 +213,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     centers = found.join(weight, "doc_id").groupBy("band").agg(center.alias("c"))
     centers = stored(centers.select("band", F.col("c.doc_id").alias("center"), F.col("c.n").alias("n_center")))
 
-    involved = found.select("doc_id").distinct()
+    small = reps.where(F.col("n_shingles") * percent < SMALL * 100).select("doc_id")
+    involved = found.select("doc_id").unionByName(small).distinct()
     bodies = docs.where("doc_id IS NOT NULL").transform(mapped, compressed, "doc_id long, body binary")
     sets = cut(bodies.join(involved, "doc_id").transform(mapped, lambda it: _sets(it, words), "doc_id long, n long, grams binary").dropDuplicates(["doc_id"]))
     starred = found.join(centers, "band")
@@ -217,10 +222,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = cut(_confirm(stars, sets, percent))
     parts = components(links)
 
-    # Buckets whose members are in several components yet.
+    # Buckets whose members are in several components yet; and small sets.
     placed = found.join(parts, found.doc_id == parts.node, "left").select("band", F.coalesce("component", "doc_id").alias("component"))
     split = cut(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"))
-    members = found.join(split, "band").select("doc_id").distinct()
+    members = found.join(split, "band").select("doc_id").unionByName(small).distinct()
     members = cut(members.join(parts, members.doc_id == parts.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
     more = cut(_within(members, sets, percent))
     if not more.isEmpty():

@@ -586,6 +586,16 @@ def test_entropy_is_incremental():
         assert math.isclose(bits, -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values()), abs_tol=1e-9)
 
 
+def test_no_link_of_small_sets_is_lost(spark):
+    """Texts of 8 and 7 words, 4 and 3 shingles: similarity 0.75 exactly, each pair of its own words."""
+    pairs = 30_000
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.concat(F.lit("w"), F.hex(F.col("id") * 8 + i))), " ")
+    whole = spark.range(pairs).select((F.col("id") * 2).alias("doc_id"), words.alias("text"))
+    part = whole.select((F.col("doc_id") + 1).alias("doc_id"), F.array_join(F.slice(F.split("text", " "), 1, 7), " ").alias("text"))
+    out = minhash.near_duplicates(whole.unionByName(part))
+    assert out.where("NOT kept").count() == pairs and out.where("component_id <> doc_id - doc_id % 2").count() == 0
+
+
 @pytest.mark.parametrize("how", [{}, {"row_block": 50}, {"row_bytes": 4000, "row_block": 9}, {"row_block": 40, "step": 3, "sample": 20}])
 def test_top_k(spark, how):
     rng = np.random.RandomState(9)
