@@ -6,8 +6,9 @@ document). Sorting every suffix of a corpus would ship each byte a hundred times
 1. Every window of LENGTH bytes has an *anchor*, the leftmost least-hash gram in it; equal windows have equal anchor
    grams. What repeats within a text is found where the text is read, each text for itself. Grams are counted in Spark
    (two shuffles of about one row per 43 bytes), and only those that two texts hold go on.
-2. For each such anchor the stretch of text whose windows it anchors goes to the shard of its gram, once per text. A
-   gram that more than ``SHARD_ROWS`` texts hold is dealt over as many shards (a power of two) as keep each that small.
+2. For each such anchor the stretch of text whose windows it anchors goes to the shard of its gram, each distinct one once
+   per text. A gram of more than ``SHARD_ROWS`` of them, be they of many texts or of few that repeat it among other bytes, is
+   dealt over as many shards (a power of two) as keep each that small; a stretch has less than twice LENGTH bytes.
 3. A shard sorts the suffixes of its stretches by Larsson-Sadakane refinement (groups not yet sorted are split by the
    rank of the suffix h further on, h doubling), finds common prefixes by Kasai's recurrence, and removes all but the
    earliest of each run of windows that share LENGTH bytes.
@@ -80,7 +81,7 @@ def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
 
 
 _SPANS = "array<struct<start:int,end:int>>"
-_ANCHORS = f"doc_id long, digest_1 long, digest_2 long, grams array<long>, own {_SPANS}"
+_ANCHORS = f"doc_id long, digest_1 long, digest_2 long, grams array<long>, own {_SPANS}, more array<struct<gram:long,n:int>>"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -94,7 +95,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         new_body = new_gram | np.append(True, b[1:] != b[:-1])[: len(order)]
         again = order[~new_body]  # equal to an earlier stretch of the text
         group = np.cumsum(new_gram) - 1
-        several = np.bincount(group[new_body], minlength=1)[group] > 1 if len(order) else np.zeros(0, bool)
+        distinct = np.bincount(group[new_body], minlength=1)
+        several = distinct[group] > 1 if len(order) else np.zeros(0, bool)
         mine = order[new_body & several]  # stretches that share a gram but not all bytes, gram by gram
         spans = [(row[again], first[again], first[again] + n[again] + length - 1)]
         size = np.cumsum(n[mine] + length - 1)
@@ -107,15 +109,17 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         by = np.argsort(d, kind="stable")
         d, a, z = d[by], a[by] - texts.offsets[d[by]], z[by] - texts.offsets[d[by]]
         kept = order[new_gram]
+        wide = distinct[: len(kept)] > 1  # grams with several distinct stretches in a text: all beyond the first are counted apart
         digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(texts.data[x:y]), "<i8") for x, y in zip(texts.offsets[:-1], texts.offsets[1:], strict=True)]).reshape(-1, 2)
 
         def listed(rows: np.ndarray, values: pa.Array) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(rows, minlength=texts.n))).astype(np.int32)), values)
 
+        more = pa.StructArray.from_arrays([pa.array(signed(gram[kept[wide]])), pa.array((distinct[: len(kept)][wide] - 1).astype(np.int32))], names=["gram", "n"])
         own = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["start", "end"])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), listed(row[kept], pa.array(signed(gram[kept]))), listed(d, own)],
-            names=["doc_id", "digest_1", "digest_2", "grams", "own"],
+            [batch.column("doc_id"), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), listed(row[kept], pa.array(signed(gram[kept]))), listed(d, own), listed(row[kept[wide]], more)],
+            names=["doc_id", "digest_1", "digest_2", "grams", "own", "more"],
         )
 
 
@@ -358,6 +362,10 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["doc_id", "start", "end"])
 
 
+def repartitioned(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("gram", "part")
+
+
 def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(bodies, removed) of rows (doc_id, text, ...) with an id: every row with its text compressed, and what goes, by id.
 
@@ -373,7 +381,10 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     placed = texts.join(leads, ["digest_1", "digest_2"]).select("doc_id", "digest_1", "lead", F.when(F.col("doc_id") == F.col("lead"), F.col("own")).alias("own"))
     placed = cut(placed)
     seen = anchors.select("doc_id", F.explode("grams").alias("gram"))
-    twice = stored(seen.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"))
+    # Nearly all grams have one stretch a text; what others have beyond that is few rows, and lies by gram like the counts.
+    beyond = anchors.select(F.explode("more").alias("m")).groupBy("m.gram").agg(F.sum("m.n").alias("beyond"))
+    twice = seen.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").join(beyond, "gram", "left")
+    twice = stored(twice.select("gram", (F.col("times") + F.coalesce("beyond", F.lit(0))).alias("times")))
     shards = F.greatest(F.ceil(F.log2(F.col("times") / SHARD_ROWS)), F.lit(0)) + 1
     known_grams = seen.join(twice, "gram").select("doc_id", (F.col("gram") + F.shiftleft(shards, 48)).alias("gram"))
     found = known_grams.groupBy("doc_id").agg(F.collect_list("gram").alias("found"))
@@ -381,7 +392,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     bodies = docs.transform(mapped, compressed, _with_body(docs)).where("doc_id IS NOT NULL")
     shared = _dictionary(known)
     wanted = found.join(placed.where("doc_id = lead"), "doc_id").select("doc_id", "found")
-    dealt = bodies.select("doc_id", "body").join(wanted, "doc_id").transform(mapped, lambda it: _stretches(it, length, shared), _STRETCHES).repartition("gram", "part").sortWithinPartitions("gram", "part")
+    dealt = bodies.select("doc_id", "body").join(wanted, "doc_id").transform(mapped, lambda it: _stretches(it, length, shared), _STRETCHES).transform(repartitioned).sortWithinPartitions("gram", "part")
     shards = dealt.transform(mapped, lambda it: _sort_shards(it, length, shared), _FOUND)
     merge = shards.repartition("window_1").sortWithinPartitions("window_1", "window_2", "doc_id", "start").transform(mapped, lambda it: _merge(it, length), "doc_id long, start int, end int")
     removed = merge.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

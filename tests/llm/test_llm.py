@@ -586,6 +586,29 @@ def test_entropy_is_incremental():
         assert math.isclose(bits, -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values()), abs_tol=1e-9)
 
 
+def test_a_mark_that_few_texts_repeat_is_dealt_over_shards(spark, monkeypatch):
+    """50 texts that hold one mark 250 times each, among changing bytes: the shards stay small, and the result is the SQL's."""
+    import duckdb
+
+    rng = random.Random(21)
+    # A mark of least hash of many, so that it anchors most windows.
+    mark = min((f"<{rng.getrandbits(56):014x}>" for _ in range(4000)), key=lambda m: int(suffix_dedup.window_grams(Texts(pa.array([m])), 16)[0][0]))
+    fill = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    shared = mark + fill(150) + mark
+    texts = ["".join(fill(48) + mark for _ in range(250)) + (shared if i % 7 == 0 else "") for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    anchors = df.transform(suffix_dedup.mapped, lambda it: suffix_dedup._anchor_rows(it, 100), suffix_dedup._ANCHORS)
+    most = anchors.select(F.explode("more").alias("m")).groupBy("m.gram").agg(F.sum("m.n").alias("n")).agg(F.max("n")).first()[0]
+    assert most > 4 * suffix_dedup.SHARD_ROWS  # one gram, few texts, many stretches
+    sizes = []
+    monkeypatch.setattr(suffix_dedup, "repartitioned", lambda dealt: sizes.append(dealt.groupBy("gram", "part").count().agg(F.max("count")).first()[0]) or dealt.repartition("gram", "part"))
+    got = sorted(map(tuple, suffix_dedup.removal(df).collect()))
+    assert max(sizes) < 2 * suffix_dedup.SHARD_ROWS
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(50)), "text": texts}))
+    assert got == sorted(con.execute(suffix_dedup.ORACLE).fetchall()) and sum(r[2] for r in got) > 0
+
+
 def test_no_link_of_small_sets_is_lost(spark):
     """Texts of 8 and 7 words, 4 and 3 shingles: similarity 0.75 exactly, each pair of its own words."""
     pairs = 30_000
