@@ -176,3 +176,17 @@ def check_table(bills: DataFrame, keys: Sequence[str], start: str) -> DataFrame:
 def without_children(parents: DataFrame, children: DataFrame, key: str, group: str) -> DataFrame:
     """Per group, parents that have no child. [AGG32, AGG26]"""
     return parents.join(children.select(key), key, "left_anti").groupBy(group).agg(F.count("*").alias("n"))
+
+
+def sailing_counts(vessels: DataFrame, sailings: DataFrame, key: str, day: str, price: str, first_day: str, last_day: str) -> DataFrame:
+    """Why a vessel shows no sailing: per vessel how many were read, dated, in season, priced in season and unpriced, with the first and last day. [AGG26]
+
+    A vessel of which nothing was read has zeros and no days; a price of 0 or less is none.
+    """
+    dated, priced = F.col(day).isNotNull(), F.coalesce(F.col(price) > 0, F.lit(False))
+    inside = dated & F.col(day).between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))
+    counts = sailings.groupBy(key).agg(
+        F.count("*").alias("read"), F.count_if(dated).alias("dated"), F.count_if(inside).alias("in_season"), F.count_if(inside & priced).alias("priced"), F.count_if(dated & ~priced).alias("unpriced"), F.min(day).alias("first"), F.max(day).alias("last"),
+    )
+    out = vessels.select(key).distinct().join(counts, key, "left")
+    return out.na.fill(0, ["read", "dated", "in_season", "priced", "unpriced"])

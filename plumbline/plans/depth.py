@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
-from plumbline.operators import aggregates, documents, history, intervals, slices, vocabulary
+from plumbline.operators import aggregates, bills, documents, figures, history, intervals, joins, slices, vocabulary
 from plumbline.plans.queries import Tables, query
-from plumbline.sources import payloads, publish
+from plumbline.sources import extract, payloads, publish, readers
 
 # --- documents -------------------------------------------------------------------------------------------------------
 
@@ -237,3 +237,187 @@ def extract_payload_bills(t: Tables) -> DataFrame:
 def _payload_bills(t: Tables) -> tuple[DataFrame, DataFrame]:
     found = payloads.entries(_fee_payloads(t), "l_orderkey", "json", _ARRAYS, "2026-01-01", "2026-12-31")
     return payloads.fee_lines(found, "l_orderkey", [("(?i)nitrox", "nitrox"), ("(?i)harbour", "port"), ("(?i)park", "park")], {"1": "per_trip"}, "(?i)onboard purchases")
+
+
+# --- books of vessels ------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH p AS (SELECT l_suppkey AS boat, l_partkey % 50 AS trip, l_returnflag || l_linestatus AS shape, l_orderkey * 10 + l_linenumber AS place FROM lineitem),
+k AS (SELECT boat, trip, shape, min(place) AS place FROM p GROUP BY ALL),
+sold AS (SELECT DISTINCT l_suppkey AS boat, l_partkey % 50 AS trip FROM lineitem WHERE l_quantity >= 40),
+f AS (SELECT boat, trip, shape, place, CASE WHEN s.boat IS NULL THEN 'unsold' WHEN min(shape) OVER w <> max(shape) OVER w THEN 'conflicting' WHEN place > min(place) OVER w THEN 'repeated' ELSE 'attached' END AS fate
+  FROM k LEFT JOIN sold s USING (boat, trip) WINDOW w AS (PARTITION BY k.boat, k.trip))
+SELECT boat, fate, count(*) AS n, min(place) AS first FROM f GROUP BY ALL
+""")
+def extract_panels(t: Tables) -> DataFrame:
+    """Price panels of trips: attached, in conflict, or of a trip that isn't sold. [EXT48]"""
+    trip = (F.col("l_partkey") % 50).alias("trip")
+    panels = t.lineitem.groupBy(F.col("l_suppkey").alias("boat"), trip, F.concat("l_returnflag", "l_linestatus").alias("shape")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"))
+    sold = t.lineitem.where("l_quantity >= 40").select(F.col("l_suppkey").alias("boat"), trip)
+    return payloads.attached_panels(sold, panels, "boat", "trip", "shape").groupBy("boat", "fate").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+
+
+@query(_ENTRIES_SQL + """
+, b AS (SELECT id, count_if(origin = 'm' AND (code IS NULL OR NOT unit OR amount IS NULL)) = 0 AS complete FROM o GROUP BY id),
+n AS (SELECT id, count(*) AS n, count_if(origin = 'i') AS free FROM lines GROUP BY id)
+SELECT o_orderkey AS l_orderkey, CAST(coalesce(n.n, 0) AS INTEGER) AS n_lines, CAST(coalesce(free, 0) AS INTEGER) AS n_included, coalesce(complete, true) AS complete FROM (SELECT DISTINCT o_orderkey FROM orders) LEFT JOIN n ON n.id = o_orderkey LEFT JOIN b ON b.id = o_orderkey
+""")
+def bill_records(t: Tables) -> DataFrame:
+    """Each order's record of fee lines: read and empty is not the same as unread. [BIL16]"""
+    lines, bills = _payload_bills(t)
+    read = t.orders.select(F.col("o_orderkey").alias("l_orderkey"))
+    out = payloads.records(read, lines, bills, "l_orderkey")
+    return out.select("l_orderkey", F.size("lines").alias("n_lines"), F.size(F.filter("lines", lambda x: x["included"])).alias("n_included"), "complete")
+
+
+@query(_ENTRIES_SQL + """
+, own AS (SELECT DISTINCT o_custkey AS trip, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority LIKE '1%'),
+theirs AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, o_custkey AS boat, o_orderkey AS panel FROM orders WHERE o_orderpriority LIKE '2%'),
+m AS (SELECT own.trip, min(panel) AS panel FROM own JOIN theirs ON own.trip = theirs.boat AND abs(date_diff('day', own.day, theirs.day)) <= 0 GROUP BY own.trip HAVING min(panel) = max(panel))
+SELECT trip, panel, CAST(count(lines.id) AS INTEGER) AS n_lines FROM m LEFT JOIN lines ON lines.id = panel GROUP BY ALL
+""")
+def bill_records_by_date(t: Tables) -> DataFrame:
+    """Another seller's record reached through shared dates, refused where they lead to more than one. [BIL17, JOI09]"""
+    day = F.to_date("o_orderdate").alias("day")
+    own = t.orders.where("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("trip"), F.col("o_custkey").alias("boat"), day)
+    theirs = t.orders.where("o_orderpriority LIKE '2%'").select(F.col("o_custkey").alias("boat"), day, F.col("o_orderkey").alias("panel"))
+    found = joins.through_shared_keys(own, theirs, ["boat", "day"], "trip", "panel")
+    lines, bills = _payload_bills(t)
+    records = payloads.records(found.select(F.col("panel").alias("l_orderkey")), lines, bills, "l_orderkey").withColumnRenamed("l_orderkey", "panel")
+    return found.join(records, "panel").select("trip", "panel", F.size("lines").alias("n_lines"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS boat, CASE WHEN o_orderpriority NOT LIKE '5%' THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price FROM orders)
+SELECT c_custkey AS boat, count(s.boat) AS read, count(day) AS dated, count_if(day BETWEEN DATE '2024-03-01' AND DATE '2024-09-30') AS in_season, count_if(day BETWEEN DATE '2024-03-01' AND DATE '2024-09-30' AND price > 0) AS priced, count_if(day IS NOT NULL AND price IS NULL) AS unpriced,
+  min(day) AS first, max(day) AS last FROM customer LEFT JOIN s ON c_custkey = s.boat GROUP BY c_custkey
+""", dates=("first", "last"), longs=("in_season", "priced", "unpriced"))
+def agg_sailing_counts(t: Tables) -> DataFrame:
+    """Why customers have no order in season: none read, none dated, none priced, or none in the window. [AGG26]"""
+    rows = t.orders.select(F.col("o_custkey").alias("boat"), F.when(~F.col("o_orderpriority").startswith("5"), F.to_date("o_orderdate")).alias("day"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("price"))
+    return aggregates.sailing_counts(t.customer.select(F.col("c_custkey").alias("boat")), rows, "boat", "day", "price", "2024-03-01", "2024-09-30")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS bill_id, CASE WHEN l_returnflag = 'N' THEN 'optional' ELSE 'mandatory' END AS tier, l_quantity > 5 AS priced, l_discount >= 0.09 AS unstated FROM lineitem),
+b AS (SELECT bill_id, bool_and(tier <> 'mandatory' OR (priced AND NOT unstated)) AS a FROM l GROUP BY bill_id)
+SELECT bill_id, a AND o_orderpriority NOT LIKE '3%' AS complete FROM b JOIN orders ON o_orderkey = bill_id
+""")
+def bill_completed(t: Tables) -> DataFrame:
+    """Bills judged again with all units in place, refused where one declined to state a charge. [JOI12]"""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("bill_id"), F.when(F.col("l_returnflag") == "N", "optional").otherwise("mandatory").alias("tier"), F.lit(False).alias("included"), F.when(F.col("l_quantity") > 5, F.col("l_quantity")).alias("amount"), (F.col("l_discount") >= 0.09).alias("unit_unstated"))
+    declined = t.orders.where("o_orderpriority LIKE '3%'").select(F.col("o_orderkey").alias("bill_id"))
+    known = t.orders.select(F.col("o_orderkey").alias("bill_id"))
+    return joins.completed(lines.join(known, "bill_id", "left_semi"), declined)
+
+
+@query("""
+WITH a AS (SELECT c_name AS alias, c_custkey AS target FROM customer WHERE c_acctbal > 0)
+SELECT target, count(*) AS n, min(o_orderkey) AS first FROM orders JOIN customer ON o_custkey = c_custkey JOIN a ON c_name = alias GROUP BY target
+""")
+def join_alias_mapped(t: Tables) -> DataFrame:
+    """Offers that find their boat by its alias. [JOI14, JOI06]"""
+    book = t.customer.where("c_acctbal > 0").select(F.col("c_name").alias("alias"), F.col("c_custkey").alias("target"))
+    named = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_name").alias("name"))
+    return joins.alias_join(named, book, "name", "target")[0].groupBy("target").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+
+
+@query("""
+WITH own AS (SELECT l_orderkey AS b, l_returnflag AS c, CASE WHEN l_linestatus = 'O' THEN 'mandatory' ELSE 'optional' END AS t FROM lineitem WHERE l_quantity < 25 GROUP BY ALL),
+theirs AS (SELECT l_orderkey AS b, l_returnflag AS c, CASE WHEN l_linestatus = 'O' THEN 'mandatory' ELSE 'optional' END AS t FROM lineitem WHERE l_quantity >= 25 GROUP BY ALL),
+k AS (SELECT o_orderkey AS b FROM orders WHERE o_orderstatus <> 'P'), s AS (SELECT theirs.* FROM theirs WHERE b IN (SELECT b FROM k))
+SELECT b AS bill_id, c AS code, t AS tier FROM s WHERE t = 'mandatory' UNION ALL SELECT b, c, t FROM own WHERE t <> 'mandatory' AND b IN (SELECT b FROM k) AND NOT EXISTS (SELECT 1 FROM s WHERE s.b = own.b AND s.c = own.c)
+""")
+def bill_second_seller(t: Tables) -> DataFrame:
+    """A second seller's lines of complete bills, none where it doesn't sell the trip. [BIL13, BIL11]"""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("bill_id"), F.col("l_returnflag").alias("code"), F.when(F.col("l_linestatus") == "O", "mandatory").otherwise("optional").alias("tier"), "l_quantity")
+    own, theirs = (lines.where(x).drop("l_quantity").distinct() for x in ("l_quantity < 25", "l_quantity >= 25"))
+    return bills.seller_bill(own, theirs, t.orders.select(F.col("o_orderkey").alias("bill_id"), (F.col("o_orderstatus") != "P").alias("complete")))
+
+
+# --- sources and sinks -----------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH p AS (SELECT user_id AS key, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 5 + 1 AS page, CAST(ts AS DATE) AS day, event_id, value FROM events),
+g AS (SELECT key, page, max(value) > 150 AS unread, max(day) > DATE '2024-01-20' AS past, count(*) AS n FROM p GROUP BY ALL),
+e AS (SELECT key, min(CASE WHEN past AND NOT unread THEN page END) AS stop, min(CASE WHEN unread THEN page END) AS gap FROM g GROUP BY key),
+s AS (SELECT key, stop, CASE WHEN gap < coalesce(stop, 2147483647) THEN 'unread' WHEN stop IS NULL THEN 'unfinished' ELSE 'read' END AS state FROM e)
+SELECT s.key, state, CAST(coalesce(sum(n) FILTER (WHERE state <> 'unread' AND (stop IS NULL OR page <= stop)), 0) AS BIGINT) AS n FROM s JOIN g USING (key) GROUP BY ALL
+""")
+def source_schedule_walk(t: Tables) -> DataFrame:
+    """Pages of users' events read in turn until one is past the last day; an unread page before that leaves nothing. [SRC10]"""
+    page = (F.expr("(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) div 5") + 1).cast("int")
+    rows = t.events.select(F.col("user_id").alias("key"), page.alias("page"), F.struct(F.col("event_id").cast("string").alias("id"), F.to_date("ts").cast("string").alias("start")).alias("e"), "value")
+    pages = rows.groupBy("key", "page").agg(F.collect_list("e").alias("entries"), F.max("value").alias("m"))
+    pages = pages.select("key", "page", F.when(F.col("m") <= 150, F.col("entries")).alias("entries"), F.lit(None).cast("int").alias("total"))
+    found, states = readers.schedule_walk(pages, "2024-01-20")
+    return states.join(found.groupBy("key").agg(F.count("*").alias("n")), "key", "left").select("key", "state", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query("""
+WITH e AS (SELECT o_custkey AS page, o_orderkey AS tour, CAST(o_orderdate AS DATE) AS day, o_orderstatus AS kind, substr(o_orderpriority, 1, 1) AS key FROM orders)
+SELECT key, kind, arg_min(tour, (day, tour)) AS tour, min(day) AS day FROM e GROUP BY ALL
+""", dates=("day",))
+def source_first_tours(t: Tables) -> DataFrame:
+    """Of archived pages of event nodes the first node per itinerary and kind. [SRC17, SRC18]"""
+    node = F.to_json(F.struct(F.lit("Event").alias("@type"), F.col("o_orderkey").alias("tour"), F.to_date("o_orderdate").cast("string").alias("startDate"), F.col("o_orderstatus").alias("kind"), F.substring("o_orderpriority", 1, 1).alias("key")))
+    html = F.concat(F.lit('<script type="application/ld+json">'), node, F.lit("</script>"))
+    found = extract.nodes(t.orders.select(F.col("o_custkey").alias("page"), html.alias("html")), "html", ("Event",))
+    get = lambda name: F.get_json_object("node", f"$.{name}")
+    rows = found.select(get("key").alias("key"), get("kind").alias("kind"), get("tour").cast("long").alias("tour"), text.iso_day(get("startDate")).alias("day"))
+    return aggregates.first_copy(rows, ["key", "kind"], ["day", "tour"])
+
+
+@query("""
+SELECT CASE WHEN o_orderstatus = 'P' THEN 'EUR' ELSE 'USD' END AS currency, count(*) AS n, CAST(sum(CAST(round(o_totalprice, 2) AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(min(o_orderdate) AS DATE) AS first FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL
+""", dates=("first",))
+def source_dataset(t: Tables) -> DataFrame:
+    """Dataset documents, one a nation, written as JSON and read again as typed tables; a book that isn't there is empty. [SRC01, SRC02, SRC03]"""
+    root = f"{publish.work_folder(t.spark)}/dataset-{uuid.uuid4().hex}"
+    price = F.struct(F.format_string("%.2f", "o_totalprice").alias("amount"), F.when(F.col("o_orderstatus") != "P", "USD").alias("currency"))
+    one = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("itinerary_id"), F.to_date("o_orderdate").cast("string").alias("start"), price.alias("price"))
+    sold = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.collect_list(one).alias("departures"))
+    boats = t.customer.groupBy("c_nationkey").agg(F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))).alias("boats"))
+    docs = t.nation.join(boats, F.col("n_nationkey") == F.col("c_nationkey")).drop("c_nationkey").join(sold, F.col("n_nationkey") == F.col("c_nationkey")).select(F.to_json(F.struct("boats", "departures")).alias("value"))
+    docs.write.option("maxRecordsPerFile", 1).text(root)
+    found = readers.dataset(t.spark, root)["departures"]
+    absent = readers.optional(t.spark, f"{root}-absent", "currency string, n long, total double, first date")
+    return found.groupBy(F.col("price_currency").alias("currency")).agg(F.count("*").alias("n"), F.sum("price_amount").cast("double").alias("total"), F.min("start").alias("first")).unionByName(absent)
+
+
+@query("""
+SELECT o_orderstatus, count(*) AS n, count(CASE WHEN o_orderpriority NOT LIKE '4%' THEN 1 END) AS priced, CAST(sum(CASE WHEN o_orderpriority NOT LIKE '4%' THEN CAST(round(o_totalprice, 2) AS DECIMAL(18,2)) END) AS DOUBLE) AS total FROM orders GROUP BY o_orderstatus
+""")
+def sink_csv(t: Tables) -> DataFrame:
+    """Orders as CSV, unknown prices blank and never 0, read again. [SNK01]"""
+    root = f"{publish.work_folder(t.spark)}/csv-{uuid.uuid4().hex}"
+    rows = t.orders.select("o_orderdate", "o_orderkey", "o_orderstatus", F.when(~F.col("o_orderpriority").startswith("4"), F.col("o_totalprice")).alias("price"))
+    readers.export_csv(rows, root, ["o_orderdate", "o_orderkey"], ["price"])
+    back = t.spark.read.schema("o_orderdate string, o_orderkey long, o_orderstatus string, price decimal(18,2)").option("header", True).csv(root)
+    return back.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count("price").alias("priced"), F.sum("price").cast("double").alias("total"))
+
+
+@query("""
+WITH d AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM events),
+s AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM d)
+SELECT s.day, count(event_id) AS n FROM s LEFT JOIN events ON CAST(ts AS DATE) = s.day AND event_type = 'purchase' WHERE dayofweek(s.day) = 6 GROUP BY s.day
+""", dates=("day",))
+def source_saturdays(t: Tables) -> DataFrame:
+    """The Saturdays of the events' own season, each with its purchases, those without any too. [SRC20, SRC21]"""
+    ends = t.events.agg(F.to_date(F.min("ts")).cast("string").alias("a"), F.to_date(F.max("ts")).cast("string").alias("b")).first()
+    days = readers.weekdays(t.spark, ends.a, ends.b)
+    sold = t.events.where("event_type = 'purchase'").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return days.join(sold, "day", "left").select("day", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query("""
+WITH d AS (SELECT p_partkey, ' ' || lower(replace(p_name, '#', ' ')) || ' ' AS day, ' ' || lower(replace(p_brand, '#', ' ')) || ' ' || lower(p_type) || ' ' AS blurb FROM part),
+f AS (SELECT p_partkey, list_filter(['large', 'ring', 'brand', 'economy'], lambda k: contains(day, ' ' || k || ' ')) AS a, list_filter(['large', 'ring', 'brand', 'economy'], lambda k: contains(blurb, ' ' || k || ' ')) AS b FROM d)
+SELECT p_partkey, list_transform(CASE WHEN len(a) > 0 THEN a ELSE b END, lambda k: upper(substr(k, 1, 1)) || substr(k, 2)) AS sites FROM f
+""")
+def extract_sites(t: Tables) -> DataFrame:
+    """Places named in the days of a trip, else in its blurb. [EXT54, STR17]"""
+    hints = [("large", "Large"), ("ring", "Ring"), ("brand", "Brand"), ("economy", "Economy")]
+    return t.part.select("p_partkey", figures.sites_of_trip(F.array(F.replace("p_name", F.lit("#"), F.lit(" "))), F.concat("p_brand", F.lit(" "), "p_type"), hints).alias("sites"))

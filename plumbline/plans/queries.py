@@ -866,10 +866,14 @@ def source_last_of_day(t: Tables) -> DataFrame:
     return readers.last_of_day(rows, "day", "o").select("day", "event_id")
 
 
-@query("SELECT CAST(unnest(range(DATE '2027-01-02', DATE '2028-01-01', INTERVAL 7 DAY)) AS DATE) AS day", dates=("day",))
+@query("""
+WITH e AS (SELECT min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders), d AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM e)
+SELECT day FROM d WHERE dayofweek(day) = 6
+""", dates=("day",))
 def source_weekdays(t: Tables) -> DataFrame:
-    """Saturdays of a season. [SRC20, SRC21]"""
-    return readers.weekdays(t.spark, "2027-01-01", "2027-12-31")
+    """Saturdays of the season that the orders span. [SRC20, SRC21]"""
+    ends = t.orders.agg(F.to_date(F.min("o_orderdate")).cast("string").alias("a"), F.to_date(F.max("o_orderdate")).cast("string").alias("b")).first()
+    return readers.weekdays(t.spark, ends.a, ends.b)
 
 
 # --- money -----------------------------------------------------------------------------------------------------------

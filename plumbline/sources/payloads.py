@@ -77,3 +77,26 @@ def fee_lines(found: DataFrame, id_col: str, rules: Sequence[tuple[str, str]], u
         (F.count_if(lost | unpriced) == 0).alias("complete"), F.array_sort(F.collect_set(F.when(lost, unnamed))).alias("unreadable"), F.array_sort(F.collect_set(F.when(F.col("purchases"), F.col("title")))).alias("on_purchases"),
     )
     return lines, bills
+
+
+def records(read: DataFrame, lines: DataFrame, bills: DataFrame, id_col: str) -> DataFrame:
+    """(id, lines, complete) of every id that was read: an id without lines has an empty list, and is complete if its bill is or it has none. [BIL16, BIL17]
+
+    An id that wasn't read has no row: that says nothing, where an empty list says that there is nothing to pay.
+    """
+    columns = [c for c in lines.columns if c != id_col]
+    listed = lines.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("lines"))
+    out = read.select(id_col).distinct().join(listed, id_col, "left").join(bills.select(id_col, "complete"), id_col, "left")
+    return out.select(id_col, F.coalesce("lines", F.array().cast(listed.schema["lines"].dataType)).alias("lines"), F.coalesce("complete", F.lit(True)).alias("complete"))
+
+
+def attached_panels(sold: DataFrame, panels: DataFrame, boat: str, trip: str, shape: str) -> DataFrame:
+    """The panels of each page, with what becomes of them: attached, repeated, conflicting or unsold. [EXT48]
+
+    sold has the trips that each boat sells, panels one row per panel with its ``shape``, whatever tells two apart. A panel of
+    a trip that isn't sold is unsold. Of panels of one trip that differ none is taken; of equal ones the first stays, by ``place``.
+    """
+    trips = sold.select(boat, trip).distinct().withColumn("_sold", F.lit(True))
+    same = panels.groupBy(boat, trip).agg(F.min(shape).alias("_least"), F.max(shape).alias("_most"), F.min("place").alias("_first"))
+    fate = F.when(F.col("_sold").isNull(), "unsold").when(~F.col("_least").eqNullSafe(F.col("_most")), "conflicting").when(F.col("place") > F.col("_first"), "repeated").otherwise("attached")
+    return panels.join(same, [boat, trip]).join(trips, [boat, trip], "left").withColumn("fate", fate).drop("_least", "_most", "_first", "_sold")
