@@ -228,10 +228,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = found.join(split, "band").select("doc_id").unionByName(small).distinct()
     members = cut(members.join(parts, members.doc_id == parts.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
     more = cut(_within(members, sets, percent))
-    if not more.isEmpty():
-        parts = components(links.unionByName(more))
-
     named = classes.join(parts, classes.rep == parts.node, "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
+    if not more.isEmpty():
+        # What these links join are components, few and told by their least ids; the links within them needn't be read again.
+        ends = more
+        for end in ("a", "b"):
+            ends = ends.join(members.select(F.col("doc_id").alias(end), F.col("component").alias(f"part_{end}")), end)
+        joined = cut(components(ends.select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))).withColumnRenamed("component", "whole"))
+        named = named.join(joined, named.component_id == joined.node, "left").select(*key, F.coalesce("whole", "component_id").alias("component_id"))
     out = filled.join(cut(named), key).select("doc_id", "n_shingles", "component_id")
     rest = signed_docs.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
