@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_kept_until: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, at its end, the tables that ``stored`` wrote within and whatever paths were added to its list.
+
+    To be put around a query and the writing of its result; a result read later still needs its cuts. What ``cut`` wrote is
+    deleted by Spark itself once it is out of use, where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    paths: list[str] = []
+    _kept_until.append(paths)
+    try:
+        yield paths
+    finally:
+        _kept_until.remove(paths)
+        for path in paths:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same cut as a Parquet table in the shared folder: a third of the bytes for many small rows, and slower for few."""
     path = f"{folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    if _kept_until:
+        _kept_until[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -142,7 +142,7 @@ def prepared(rests: list[Piece], capacity: int, last: bool) -> tuple[list[Piece]
 
     total = sum(len(x[2]) for x in rests)
     pieces, fine = [], 0
-    for piece in sorted(rests, key=lambda x: len(x[2])):
+    for piece in sorted(rests, key=lambda x: (len(x[2]), x[0] is not None, x[0] or 0, x[1])):  # whatever order they came in
         size = len(piece[2])
         if fine < FINE * total and size > 1:
             fine += size

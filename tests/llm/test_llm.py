@@ -131,6 +131,39 @@ def test_labels_of_the_held_out_third_are_never_read(spark):
     assert quality_gam.keep_good(d, quality_gam.fit(d, right)).count() == 150
 
 
+def _plain_features(text):
+    """The features of one text, from its counts alone."""
+    count = {k: int(v[0]) for k, v in _stats.counts(pa.array([text], pa.string())).items()}
+    return [math.log1p(count["n_words"]), *(count[a] / max(count[b], 1) for a, b in _stats.RATIOS.values())]
+
+
+def test_scores_are_plain_sums_of_bins_and_rules_hold_row_by_row(spark):
+    """Operators 8 and 1 over whole tables, against one text at a time: a loop over tables, a loop over rules in order."""
+    import bisect
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model, texts = quality_gam.fit(d, labels), {r.doc_id: r.text for r in d.select("doc_id", "text").collect()}
+    assert model.pairs and len(model.tables) == len(_stats.FEATURES)
+    for r in quality_gam.classify(d, model).collect():
+        x = _plain_features(texts[r.doc_id])
+        total = model.intercept
+        for value, edges, table in zip(x, model.edges, model.tables, strict=True):
+            total += table[bisect.bisect_right(edges.tolist(), value)]
+        for (a, b), table in zip(model.pairs, model.pair_tables, strict=True):
+            total += table[bisect.bisect_right(model.pair_edges[a].tolist(), x[a])][bisect.bisect_right(model.pair_edges[b].tolist(), x[b])]
+        assert math.isclose(r.score, 1 / (1 + math.exp(-total)), abs_tol=1e-9) and r.predicted == (r.score >= 0.5)
+    rules = quality_rules.fit(d, labels) or [(quality_rules.Condition("log_words", True, 4.0), quality_rules.Condition("symbol_share", False, 0.01))]
+    rules = [*rules, (quality_rules.Condition("log_words", True, 6.0), quality_rules.Condition("symbol_share", False, 0.001))]
+    rejected = 0
+    for r in quality_rules.judge(d, rules).collect():
+        x = dict(zip(_stats.FEATURES, _plain_features(texts[r.doc_id]), strict=True))
+        hit = any(all(x[c.feature] >= c.threshold if c.above else x[c.feature] <= c.threshold for c in rule) for rule in rules)
+        assert r.kept == (not r.base_failed and not hit)
+        rejected += hit
+    assert rejected
+
+
 def _removed_bytes(corpus, length):
     seen, out = set(), {}
     for i, text in sorted(corpus):
