@@ -73,11 +73,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Results between stages go to the folder that spark.checkpoint.dir names."""
+    """All stages over documents. Results between stages go to the folder that spark.checkpoint.dir names.
+
+    Once a stage is written, the tables that it was made with are deleted, its input among them; the last result stays.
+    """
     folder = _graph.folder(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{folder}/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with _graph.scratch(spark) as done:
+            stage(spark, docs, sf_dir).write.parquet(path)
+            done.extend([before] if before else [])
+        docs, before = spark.read.parquet(path), path
     return docs
