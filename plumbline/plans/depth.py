@@ -399,6 +399,19 @@ def sink_csv(t: Tables) -> DataFrame:
     return back.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count("price").alias("priced"), F.sum("price").cast("double").alias("total"))
 
 
+@query("""
+WITH m AS (SELECT list(DISTINCT strftime(o_orderdate, '%Y-%m-01')) AS months FROM orders),
+n AS (SELECT r_name, list(n_name ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)
+SELECT r_name, 'https://example.com/deals?' || array_to_string(list_transform(names, lambda x: 'country=' || replace(x, ' ', '+')), '&') || '&' || array_to_string(list_transform(list_sort(months), lambda x: 'date=' || x), '&') || '&q=a%26b' AS url FROM n, m
+""")
+def source_query_urls(t: Tables) -> DataFrame:
+    """One search address a region: its countries and the months of the season as repeated parameters. [SRC12]"""
+    months = t.orders.agg(F.array_sort(F.collect_set(F.date_format("o_orderdate", "yyyy-MM-01"))).alias("months"))
+    names = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    url = readers.query_urls("https://example.com/deals", [("country", F.col("names")), ("date", F.col("months")), ("none", F.array(F.lit(None).cast("string"))), ("q", F.array(F.lit("a&b")))])
+    return names.join(F.broadcast(months)).select("r_name", url.alias("url"))  # one row
+
+
 @query("""
 WITH d AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM events),
 s AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM d)

@@ -94,6 +94,18 @@ def schedule_walk(pages: DataFrame, last_day: str) -> tuple[DataFrame, DataFrame
     return found, ends.select("key", "state")
 
 
+def query_urls(base: str, parameters: Sequence[tuple[str, Column]]) -> Column:
+    """An address with its query: names and values encoded, an array as its name repeated, null and empty values left out. [SRC12]"""
+    encoded = lambda name, c: F.concat(F.lit(f"{name}="), F.url_encode(c.cast("string")))
+
+    def repeated(name: str, c: Column) -> Column:
+        values = F.array_compact(F.coalesce(c.cast("array<string>"), F.array().cast("array<string>")))
+        return F.transform(F.filter(values, lambda x: x != ""), lambda x: encoded(name, x))
+
+    query = F.array_join(F.concat(*[repeated(name, c) for name, c in parameters]), "&")
+    return F.concat(F.lit(base), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+
+
 def pages_read(pages: DataFrame, run: str, identity: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(distinct records of a paged reading, one row per run: pages, records, whether it was cut short). [SRC11]"""
     meta = pages.groupBy(run).agg(F.max("page").alias("pages"), F.count_distinct(*identity).alias("records"), F.max("total").alias("total"))
