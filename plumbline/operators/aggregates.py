@@ -128,8 +128,7 @@ def spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def thirds(df: DataFrame, keys: Sequence[str], order: Sequence[str], share: Column) -> DataFrame:
     """Median of a share in the first and the last third (n div 3 rows each) of each key's rows in order. [AGG18]"""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_total"))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("_share", share).withColumn("_nth", F.row_number().over(w)).join(sizes, list(keys))
+    rows = looked_up(slices.numbered(df.withColumn("_share", share), keys, order, "_nth"), sizes, keys)
     size = F.floor(F.col("_total") / 3)
     ends = rows.withColumn("_first", F.when(F.col("_nth") <= size, F.col("_share"))).withColumn("_last", F.when(F.col("_nth") > F.col("_total") - size, F.col("_share")))
     out = sizes.select(*keys)

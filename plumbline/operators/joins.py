@@ -140,7 +140,8 @@ def prefer_unless_fresher(hand: DataFrame, scraped: DataFrame, keys: Sequence[st
 def range_join(offers: DataFrame, runs: DataFrame, key: str, point: str, low: str, high: str, extra: Column | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Each offer with the first run of its key whose [low, high] holds the point; unmatched offers have nulls. [JOI15]
 
-    The equality on the key makes it a hash or sort-merge join with a residual condition, never a nested loop.
+    The equality on the key makes it a hash or sort-merge join with a residual condition, never a nested loop. Offers meet all
+    runs of their key: where one key has very many of both, ``intervals.first_interval`` spreads it over bins.
     """
     o = offers.withColumn("_offer", F.monotonically_increasing_id())
     test = (o[key] == runs[key]) & o[point].between(runs[low], runs[high])

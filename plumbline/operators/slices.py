@@ -78,3 +78,13 @@ def steps(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str],
     out = cut.withColumn("_own", F.lag(F.struct(*cols)).over(w)).join(F.broadcast(carried), [*keys, "_slice"], "left")
     out = out.withColumn("_was", F.coalesce("_own", "_carried")).where("_was IS NOT NULL")
     return out.select(*keys, *[F.col("_was")[c].alias(f"was_{c}") for c in cols], *[F.col(c).alias(f"now_{c}") for c in cols])
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "number", slices: int = SLICES, frequent: int = FREQUENT) -> DataFrame:
+    """As ``windows.numbered``, from 1: the row's place in its key's order. [WIN04]"""
+    keys = list(keys)
+    cut = sliced(df, keys, order[0], slices, frequent)
+    states = cut.groupBy(*keys, "_slice").agg(F.count("*").alias("_state"))
+    carried = inherited(states, keys, F.sum("_state").over(before(keys)), "_carried")
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    return cut.withColumn("_own", F.row_number().over(w)).join(F.broadcast(carried), [*keys, "_slice"], "left").withColumn(out, F.col("_own") + F.coalesce("_carried", F.lit(0))).drop("_own", "_carried", "_slice")

@@ -184,6 +184,8 @@ def test_sliced_scans_equal_windows(readings):
     how = {"slices": 16, "frequent": 8}
     assert same(slices.as_of(readings.where("at IS NOT NULL"), ["key"], "at", ["value"], tie=["id"], **how), joins.as_of(readings.where("at IS NOT NULL"), ["key"], "at", ["value"], tie=["id"]))
     assert same(slices.runs(readings, ["key"], ["at", "id"], "flag", **how), windows.runs(readings, ["key"], ["at", "id"], "flag"))
+    places = windows.numbered(readings, ["key"], ["at", "id"]).withColumn("number", F.col("number") + 1)
+    assert same(slices.numbered(readings, ["key"], ["at", "id"], **how), places.withColumn("number", F.col("number").cast("long")))
     one = readings.dropDuplicates(["key", "at"])
     assert same(slices.steps(one, ["key"], "at", ["value"], **how), windows.steps(one, ["key"], "at", ["value"]))
     with_nulls = slices.as_of(readings, ["key"], "at", ["value"], tie=["id"], **how)
