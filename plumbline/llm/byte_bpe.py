@@ -48,6 +48,8 @@ GROUP_BYTES = 16 << 20
 #: Characters of a slice of a long text.
 SLICE = 1 << 20
 BUCKET_BYTES, MOST_BITS = 2 << 20, 16
+#: Tasks that put groups together again: one a group, about, up to so many, for a group's row is large and they are few.
+MOST_PARTS = 1 << 16
 #: No match goes on beyond a single space between two other characters: it begins one.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -282,10 +284,11 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     other = stand_ins()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, (size // BUCKET_BYTES).bit_length())
-    groups = docs.transform(mapped, lambda it: _groups(it, other, group_bytes), _GROUPS).repartition("group")
+    parts = min(MOST_PARTS, max(df.sparkSession.sparkContext.defaultParallelism, -(-size // max(group_bytes, 1 << 20))))
+    groups = docs.transform(mapped, lambda it: _groups(it, other, group_bytes), _GROUPS).repartition(parts, "group")
     asked = groups.transform(mapped, lambda it: _asked(it, bits), _ASKED)
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").transform(mapped, lambda it: _answers(it, vocabulary), _ANSWERS)
-    of_group = answers.groupBy("group").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("answers"))  # bounded: the distinct words of one group
+    of_group = answers.repartition(parts, "group").groupBy("group").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("answers"))  # bounded: the distinct words of one group
     return groups.join(of_group, "group", "left").transform(mapped, _reassembled, _IDS)
 
 
