@@ -83,20 +83,16 @@ def deep_diff(committed: DataFrame, fresh: DataFrame, key: str, column: str) ->
     both = sides[0].join(sides[1].withColumnRenamed("parent", "_parent"), [key, "path", "shape"], "full_outer").withColumn("parent", F.coalesce("parent", "_parent"))
     was, now = F.col("was"), F.col("now")
     same_kind = was["kind"] == now["kind"]
-    met = both.where(was.isNotNull() & now.isNotNull())
-    difference = F.when(~same_kind, "type").when(was["kind"] == "list", "length").otherwise("changed")
-    said = lambda c: F.when(c["kind"] == "list", F.concat(c["value"], F.lit(" entries"))).otherwise(F.coalesce(c["value"], c["kind"]))
-    shown = lambda c, d: F.when(d == "type", c["kind"]).otherwise(said(c))
-    told = met.where(~same_kind | ~was["value"].eqNullSafe(now["value"])).select(key, "path", difference.alias("difference"), "was", "now")
+    met = was.isNotNull() & now.isNotNull()
+    differs = ~met | ~same_kind | ~was["value"].eqNullSafe(now["value"])
     # Lists of equal lengths and objects on both sides: what is missing beneath them is news.
     beneath = F.when(was["kind"] == "list", F.concat(F.col("shape"), F.lit("/"), was["value"])).otherwise(F.col("shape"))
-    alike = met.where(same_kind & was["kind"].isin("object", "list") & was["value"].eqNullSafe(now["value"])).select(key, F.col("path").alias("parent"), beneath.alias("shape"))
-    one_sided = both.where(was.isNull() | now.isNull())
-    lost = one_sided.where("parent IS NULL").unionByName(one_sided.where("parent IS NOT NULL").join(alike, [key, "parent", "shape"], "left_semi").select(one_sided.columns))
-    # A root that changed its kind is met; any other root is alone where the whole document is.
-    alone = lost.select(key, "path", F.when(was.isNull(), "added").otherwise("removed").alias("difference"), "was", "now")
-    d = F.col("difference")
-    return told.unionByName(alone).select(key, "path", "difference", shown(was, d).alias("was"), shown(now, d).alias("now"))
+    alike = both.where(met & same_kind & was["kind"].isin("object", "list") & was["value"].eqNullSafe(now["value"])).select(key, F.col("path").alias("parent"), beneath.alias("shape"), F.lit(True).alias("_alike"))
+    told = both.where(F.coalesce(differs, F.lit(True))).join(alike, [key, "parent", "shape"], "left").where(met | F.col("parent").isNull() | F.col("_alike"))
+    difference = F.when(was.isNull(), "added").when(now.isNull(), "removed").when(~same_kind, "type").when(was["kind"] == "list", "length").otherwise("changed")
+    said = lambda c: F.when(c["kind"] == "list", F.concat(c["value"], F.lit(" entries"))).otherwise(F.coalesce(c["value"], c["kind"]))
+    shown = lambda c: F.when(F.col("difference") == "type", c["kind"]).otherwise(said(c))
+    return told.withColumn("difference", difference).select(key, "path", "difference", shown(was).alias("was"), shown(now).alias("now"))
 
 
 def drift_report(differences: DataFrame, key: str, cap: int = 40) -> DataFrame:
