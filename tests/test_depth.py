@@ -46,6 +46,14 @@ def test_a_report_is_capped_and_says_what_is_left(spark):
     assert documents.deep_diff(side(old), side(old), "k", "json").count() == 0
 
 
+def test_a_diff_ships_documents_and_not_their_nodes(spark):
+    rows = [(i, json.dumps({"xs": [{"id": j, "v": j} for j in range(50)]}), json.dumps({"xs": [{"id": j, "v": j + (j == i)} for j in range(50)]})) for i in range(20)]
+    pairs = spark.createDataFrame(rows, "k long, was string, now string")
+    out = documents.paired_diff(pairs, "k", "was", "now")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == [(i, f"xs[{i}].v", "changed", str(i), str(i + 1)) for i in range(20)]
+
+
 # --- revisions -------------------------------------------------------------------------------------------------------
 
 
