@@ -56,6 +56,19 @@ def as_of(rows: DataFrame, keys: Sequence[str], order: str, values: Sequence[str
     return out.withColumn(prefix + order, F.col("_best")["_when"]).drop("_at", "_own", "_carried", "_best", "_slice")
 
 
+def lagged(rows: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], prefix: str = "prev_", tie: Sequence[str] = (), slices: int = SLICES, frequent: int = FREQUENT) -> DataFrame:
+    """Each row beside the row just before it by (order, tie) of the same keys, of equal order too; null orders come last. [JOI18, WIN05]"""
+    keys = list(keys)
+    last = F.col(order).isNull()
+    cut = sliced(rows, keys, order, slices, frequent).withColumn("_slice", F.when(last, slices).otherwise(F.col("_slice")))
+    row = F.struct(*values, F.col(order).alias("_when"))
+    states = cut.groupBy(*keys, "_slice").agg(F.max_by(row, F.struct(order, *tie)).alias("_state"))
+    carried = inherited(states, keys, F.last("_state", ignorenulls=True).over(before(keys)), "_carried")
+    w = Window.partitionBy(*keys, "_slice").orderBy(order, *tie)
+    out = cut.withColumn("_own", F.lag(row).over(w)).join(F.broadcast(carried), [*keys, "_slice"], "left").withColumn("_best", F.coalesce("_own", "_carried"))
+    return out.select(*rows.columns, *[F.col("_best")[v].alias(prefix + v) for v in values], F.col("_best")["_when"].alias(prefix + order))
+
+
 def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, slices: int = SLICES, frequent: int = FREQUENT) -> DataFrame:
     """As ``windows.runs``: the rows where the flag holds, numbered by the breaks up to them. [WIN01]"""
     keys = list(keys)

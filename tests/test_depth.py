@@ -200,6 +200,26 @@ def test_sliced_scans_equal_windows(readings):
     assert with_nulls.count() == 4000 and with_nulls.where("at IS NULL AND prev_value IS NOT NULL").count() == 0
 
 
+def test_equal_times_are_told_apart_by_id(spark, tmp_path):
+    import datetime as dt
+
+    from plumbline.plans import queries
+
+    at = [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), None]
+    spark.createDataFrame([(i, x, "view", float(i)) for i, x in enumerate(at)], "event_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    out = queries.QUERIES["join_as_of_sliced"](spark, str(tmp_path))
+    assert {r.event_id: (r.prev_value, r.prev_ts) for r in out.collect()} == {0: (None, None), 1: (0.0, at[0]), 2: (1.0, at[1]), 3: (2.0, at[2]), 4: (3.0, at[3])}
+
+
+def test_sliced_lag_equals_the_window(readings):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("key").orderBy(F.col("at").asc_nulls_last(), "id")
+    want = readings.select("id", F.lag("value").over(w), F.lag("at").over(w))
+    got = slices.lagged(readings, ["key"], "at", ["value"], tie=["id"], slices=16, frequent=8).select("id", "prev_value", "prev_at")
+    assert rows(got, "id") == rows(want, "id")
+
+
 def test_medians_with_a_hot_key(readings):
     import statistics
 
