@@ -169,6 +169,26 @@ def test_a_hot_key_of_intervals_is_spread(spark):
     assert {r.run: r["count"] for r in out.groupBy("run").count().collect()} == {"narrow": 24_000, "wide": 36_000}
 
 
+def test_many_intervals_about_many_points_make_no_pairs(spark):
+    points = spark.range(20_000).select("id", F.lit("hot").alias("key"), (F.col("id") % 2_000 + 10_000).alias("at"))
+    runs = spark.range(20_000).select(F.lit("hot").alias("key"), (F.col("id") % 100).alias("lo"), (F.col("id") % 100 + 30_000).alias("hi"), (20_000 - F.col("id")).alias("run"))
+    out = intervals.first_interval(points, runs, "id", ["key"], "at", "lo", "hi", ["run"])
+    assert [tuple(r) for r in out.groupBy("run", "lo").count().collect()] == [(1, 99, 20_000)]
+    assert "_part" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("frequent", [4, 2048])
+def test_first_interval_in_slices(spark, monkeypatch, frequent):
+    import random
+
+    rng, sliced = random.Random(frequent), slices.sliced
+    monkeypatch.setattr(slices, "sliced", lambda df, keys, order: sliced(df, keys, order, 16, frequent))
+    points = [(i, "hot", rng.randint(-50, 1050)) for i in range(1500)]
+    runs = [("hot", a, a + rng.choice([0, 1, 3, 40, 700, 1000]), i) for i, a in ((i, rng.randint(0, 1000)) for i in rng.sample(range(500), 60))]
+    out = intervals.first_interval(spark.createDataFrame(points, "id int, key string, at int"), spark.createDataFrame(runs, "key string, lo int, hi int, run int"), "id", ["key"], "at", "lo", "hi", ["run"])
+    assert {r.id: r.run for r in out.collect()} == {i: min((n for _, a, b, n in runs if a <= x <= b), default=None) for i, _, x in points}
+
+
 # --- slices ----------------------------------------------------------------------------------------------------------
 
 
