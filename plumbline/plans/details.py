@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import money, text
 from plumbline.operators import aggregates, bills, changes, facets, sales, state, windows
-from plumbline.plans.queries import Tables, query
+from plumbline.plans.queries import Tables, query, spread
 from plumbline.sources import extract, readers
 from plumbline.streaming import events as streams
 
@@ -225,7 +225,7 @@ def extract_trip(t: Tables) -> DataFrame:
     trip = extract.trip(html)
     spec = extract.spec_table(_cat(_lit("<table><tr><th>Length:</th><td>"), size, _lit("</td></tr><tr><td><b>Year</b></td><td>2001</td></tr></table>")))
     brand = extract.organizer(F.to_json(F.struct(F.struct(F.col("p_brand").alias("name")).alias("brand"))))
-    return t.part.select(
+    return spread(t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).select(
         "p_partkey", trip["name"].alias("name"), F.array_join(trip["regions"], "+").alias("regions"), trip["dives"].alias("dives"), trip["guests"].alias("guests"), trip["experience"].alias("experience"), trip["intro"].alias("intro"),
         F.array_join(F.transform(trip["sections"], lambda s: _cat(s["heading"], _lit("="), s["body"])), "+").alias("sections"), F.array_join(extract.paragraphs(html), "|").alias("paragraphs_"), spec["Length"].alias("length"), brand.alias("brand"),
     ).withColumn("paragraphs", F.regexp_replace("paragraphs_", r"^(a\|b\|c\|)", "")).drop("paragraphs_")
@@ -245,7 +245,7 @@ def extract_cabins(t: Tables) -> DataFrame:
         F.when(F.col("p_size") % 3 == 0, "<del>€1,500</del>").otherwise(""), _lit("<em>"), mark, _lit("</em> <span translate=no>1,0"), F.lpad(size, 2, "0"), _lit("</span><button aria-controls=help-content-cabin-details-"), key, _lit(" aria-label='Close dialog'></button><div id="),
         F.when(F.col("p_size") % 2 == 0, "private-cabin-help-text-").otherwise("privacy-optional-help-text-"), key, _lit(">a <b>"), F.when(F.col("p_size") % 2 == 0, "60").otherwise("80"), _lit("%</b> surcharge applies</div>"),
     )
-    out = extract.cabins(t.part.select("p_partkey", html.alias("html")), "html", _lit("EUR"))
+    out = extract.cabins(spread(t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).select("p_partkey", html.alias("html")), "html", _lit("EUR"))
     return out.select("p_partkey", "cabin_id", "name", "sleeps", "beds", "price", "list_price", "berths", "sold_out", "supplement", "shown")
 
 

@@ -29,6 +29,14 @@ class Tables:
         return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all shuffle partitions: for work that is heavy by row on a table of few bytes, which is read by few tasks.
+
+    The number is stated, as adaptive execution would join partitions of few bytes again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def query(sql: str | None = None, dates: tuple[str, ...] = (), longs: tuple[str, ...] = ()) -> Callable:
     """Registers a query. ``dates`` are returned as text on both sides; ``longs`` are wider in the other engine and cast."""
 

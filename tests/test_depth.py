@@ -375,3 +375,12 @@ def test_payload_arrays_become_lines_and_a_verdict(spark):
         (2, "park", "mandatory", "per_trip", 95.0, False, "Park fee"), (2, "transfer", "optional", "per_trip", None, False, "Transfer"),
     ], key=repr)
     assert bills == {0: (True, [], ["14% GST (on onboard purchases)"]), 1: (False, ["<untitled 77>", "Local fee", "Port"], []), 2: (True, [], []), 4: (True, [], [])}
+
+
+@pytest.mark.parametrize("name", ["extract_trip", "extract_cabins"])
+def test_heavy_rows_of_a_small_table_are_dealt(spark, tmp_path, name):
+    from plumbline.plans import queries
+
+    part = spark.createDataFrame([(i, "a b", "Brand#1", "ECONOMY", i % 50 + 1) for i in range(100)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert queries.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 4
