@@ -116,8 +116,10 @@ def aliased(c: Column, aliases: Mapping[str, str], unknown: str | None = None) -
 def vocabulary_matches(c: Column, hints: Sequence[tuple[str, str]], names: Sequence[tuple[str, str]] = ()) -> Column:
     """Canonical names whose (key, name) key stands in the text as whole words; hints first, then names, each once. [STR12, STR17, JOI17]"""
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in (*hints, *names)])
-    text = F.concat(F.lit(" "), latin_key(c), F.lit(" "))
-    return F.array_distinct(F.transform(F.filter(pairs, lambda p: F.contains(text, F.concat(F.lit(" "), p["k"], F.lit(" ")))), lambda p: p["v"]))
+    # The key stands in an array, so that it is made once a text and not once a pair.
+    key = F.array(F.concat(F.lit(" "), latin_key(c), F.lit(" ")))
+    named = lambda text: F.transform(F.filter(pairs, lambda p: F.contains(text, F.concat(F.lit(" "), p["k"], F.lit(" ")))), lambda p: p["v"])
+    return F.array_distinct(F.flatten(F.transform(key, named)))
 
 
 def matches_of_list(items: Column, entries: Mapping[str, str], hints: Sequence[tuple[str, str]]) -> Column:

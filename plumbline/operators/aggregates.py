@@ -64,7 +64,8 @@ def tally(df: DataFrame, value: Column, out: str = "value") -> DataFrame:
     """Counts of a value, or of the items of an array. Order, where wanted: count falling, then value. [AGG11, AGG31]"""
     rows = df.select(value.alias(out))
     if dict(rows.dtypes)[out].startswith("array"):
-        rows = rows.select(F.explode(out).alias(out))
+        # Outer: else the array is made twice, to test that it isn't empty first.
+        rows = rows.select(F.explode_outer(out).alias(out))
     return rows.where(F.col(out).isNotNull()).groupBy(out).agg(F.count("*").alias("n"))
 
 
