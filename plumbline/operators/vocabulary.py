@@ -30,9 +30,10 @@ def matches(docs: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame)
     phrases = phrases.withColumn("_n", F.size(F.split("_gram", " ")))
     lengths = sorted(r[0] for r in phrases.select("_n").distinct().collect())  # a few small numbers
     tokens = F.filter(F.split(texts.latin_key(F.col(text_col)), " "), lambda x: x != "")
-    rows = docs.select(F.col(id_col).alias("_id"), tokens.alias("_tokens")).where("_id IS NOT NULL AND _tokens IS NOT NULL")
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), tokens.alias("_tokens"))
     grams = F.array_distinct(F.concat(*[_grams(n) for n in lengths])) if lengths else F.array().cast("array<string>")
-    found = rows.select("_id", F.explode(grams).alias("_gram")).join(phrases.drop("_n"), "_gram")
+    # Outer: else the grams are made again, to test that there are any.
+    found = rows.select("_id", F.explode_outer(grams).alias("_gram")).where("_gram IS NOT NULL").join(phrases.drop("_n"), "_gram")
     return found.groupBy(F.col("_id").alias(id_col), "name").agg(F.min("rank").alias("rank"))
 
 

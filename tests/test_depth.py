@@ -384,3 +384,16 @@ def test_heavy_rows_of_a_small_table_are_dealt(spark, tmp_path, name):
     part = spark.createDataFrame([(i, "a b", "Brand#1", "ECONOMY", i % 50 + 1) for i in range(100)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
     part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 4
+
+
+def test_a_text_is_keyed_once(spark):
+    from plumbline.functions import text
+
+    df = spark.createDataFrame([("Le thé, the end", ), (None,)], "text string")
+    plan = lambda out: out._jdf.queryExecution().optimizedPlan().toString()
+    found = aggregates.tally(df, text.vocabulary_matches(F.col("text"), [("the", "THE"), ("end", "END")]), "v")
+    assert sorted(map(tuple, found.collect())) == [("END", 1), ("THE", 1)] and plan(found).count("[^a-z0-9]+") == 1
+    book = spark.createDataFrame([("the end", "E", 0)], "key string, name string, rank int")
+    met = vocabulary.matches(df.withColumn("id", F.lit(1)), "id", "text", book)
+    assert [tuple(r) for r in met.collect()] == [(1, "E", 0)]
+    assert plan(vocabulary.matches(df.select("text", F.lit(1).alias("id")), "id", "text", book)).count("translate(translate(text") == 1
