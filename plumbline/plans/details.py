@@ -345,7 +345,7 @@ SELECT bill_id, CAST(1000 + park + 210 AS DOUBLE) AS total, CAST(1000 + park_max
 def bill_flags(t: Tables) -> DataFrame:
     """Totals of such bills with their flags and how fully they are disclosed. [AGG06, BIL04, BIL15, FLT06, SRT03]"""
     lines = bills.bill_lines(_bill_rows(t), _usd(t), {"gear": True}, words={r"\bport\b": "port", r"\bvisa\b": "visa"})
-    base = lines.select("bill_id").distinct().withColumn("base", F.lit(1000).cast("decimal(18,4)"))
+    base = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("bill_id")).distinct().withColumn("base", F.lit(1000).cast("decimal(18,4)"))
     out = bills.totals(base, lines)
     money_columns = {c: F.col(c).cast("double") for c in ("total", "total_max", "required", "surcharge")}
     return out.withColumns(money_columns).withColumn("disclosure", bills.disclosure(F.col("mandatory_known"), F.col("unpriced"))).withColumn("unpriced", F.array_join("unpriced", "+")).withColumn("markup_pct", F.round("markup_pct", 6)).drop("base")

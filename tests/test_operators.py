@@ -193,3 +193,10 @@ def test_optional_lines_and_sites(spark):
     hints = [("far reef", "Far Reef"), ("near reef", "Near Reef")]
     d = spark.createDataFrame([(["at sea", "<p>Near Reef</p>"], "Far Reef"), ([], "Far Reef"), (None, None)], "days array<string>, blurb string")
     assert [r[0] for r in d.select(figures.sites_of_trip(F.col("days"), F.col("blurb"), hints)).collect()] == [["Near Reef"], ["Far Reef"], []]
+
+
+def test_lines_that_lie_by_bill_are_not_shuffled_again(spark):
+    lines = spark.createDataFrame([("b", "all", "mandatory", None, None, "EUR", "per_trip", False, False, "park", 0, 0, 7, 0)], "bill_id string, code string, tier string, amount decimal(18,4), amount_max decimal(18,4), currency string, basis string, included boolean, unit_unstated boolean, note string, level int, position int, nights int, dives int")
+    rates = spark.range(1).select(F.lit("USD").alias("currency"), F.lit("0.5").alias("rate"))  # of a known size, so it is broadcast
+    out = bills.bill_lines(lines.repartition(4, "bill_id"), rates, words={"park": "park", "visa": "visa"})
+    assert out._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(bill_id") == 1
