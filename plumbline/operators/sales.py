@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import money
 
-from .aggregates import strict_sum
-
 
 def list_prices(readings: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
     """(sailing, seller, price, was): list prices of sellers that were read, was only if above the price; rejected readings are left out. [SAL01]"""
@@ -35,12 +33,16 @@ def stale_ladders(rungs: DataFrame, references: DataFrame, tolerance: float = 0.
 
 def berth_blocks(rooms: DataFrame) -> DataFrame:
     """Per sailing and seller: least price, places at it and aboard (each null if any room's count is), and the ladder. [SAL04, SAL05, SAL06]"""
-    least = F.min("price").over(Window.partitionBy("sailing", "seller"))
-    rows = rooms.withColumn("_least", least)
+    # Windows over one sort: an aggregate after it would hold every group of a task in memory beside the sorted rows.
+    block = Window.partitionBy("sailing", "seller")
+    rows = rooms.withColumn("least", F.min("price").over(block))
     rung = F.struct(F.col("name"), money.whole(F.col("price")).alias("price"), F.col("places"))
-    cheap = F.col("price") == F.col("_least")
-    at = F.when(F.count_if(cheap & F.col("places").isNull()) == 0, F.sum(F.when(cheap, F.col("places"))))
-    return rows.groupBy("sailing", "seller").agg(F.min("_least").alias("least"), at.alias("at_price"), strict_sum(F.col("places")).alias("aboard"), F.array_sort(F.collect_list(rung), lambda a, b: F.when(a["price"] < b["price"], -1).when(a["price"] > b["price"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)).alias("ladder"))
+    cheap = F.col("price") == F.col("least")
+    at = F.when(F.count_if(cheap & F.col("places").isNull()).over(block) == 0, F.sum(F.when(cheap, F.col("places"))).over(block))
+    aboard = F.when(F.count_if(F.col("places").isNull()).over(block) == 0, F.sum("places").over(block))
+    ladder = F.array_sort(F.collect_list(rung).over(block), lambda a, b: F.when(a["price"] < b["price"], -1).when(a["price"] > b["price"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
+    nth = F.row_number().over(block.orderBy("price"))
+    return rows.select("sailing", "seller", "least", at.alias("at_price"), aboard.alias("aboard"), ladder.alias("ladder"), nth.alias("_nth")).where("_nth = 1").drop("_nth")
 
 
 def specials(offers: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:

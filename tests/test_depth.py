@@ -433,3 +433,14 @@ def test_a_text_is_keyed_once(spark):
     met = vocabulary.matches(df.withColumn("id", F.lit(1)), "id", "text", book)
     assert [tuple(r) for r in met.collect()] == [(1, "E", 0)]
     assert plan(vocabulary.matches(df.select("text", F.lit(1).alias("id")), "id", "text", book)).count("translate(translate(text") == 1
+
+
+def test_berth_blocks_hold_no_groups_beside_their_rows(spark):
+    from plumbline.operators import sales
+
+    rooms = spark.createDataFrame([(1, 1, "b", 10.0, 2), (1, 1, "a", 10.0, 3), (1, 1, "c", 20.0, None), (1, 2, "a", 5.0, None), (1, 2, "b", None, 4), (2, 1, "x", None, None)], "sailing long, seller long, name string, price double, places long")
+    out = sales.berth_blocks(rooms)
+    assert "Aggregate" not in out.drop("ladder")._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.sailing, r.seller, r.least, r.at_price, r.aboard, [(x.name, x.places) for x in r.ladder if x.name != "b" or r.seller == 1]) for r in out.collect()) == [
+        (1, 1, 10.0, 5, None, [("a", 3), ("b", 2), ("c", None)]), (1, 2, 5.0, None, None, [("a", None)]), (2, 1, None, None, None, [("x", None)]),
+    ]
