@@ -12,8 +12,11 @@ document). Sorting every suffix of a corpus would ship each byte a hundred times
 3. A shard sorts the suffixes of its stretches by Larsson-Sadakane refinement (groups not yet sorted are split by the
    rank of the suffix h further on, h doubling), finds common prefixes by Kasai's recurrence, and removes all but the
    earliest of each run of windows that share LENGTH bytes.
-4. Of grams dealt over several shards, each shard's earliest windows meet again, sorted by window, and binary search cuts the merged
-   runs: all but the earliest over all shards go.
+4. Of grams dealt over several shards, each shard's earliest windows may meet others. Windows of one gram are told apart by
+   where in them it stands, ``CLASSES`` ranges of places; equal ones have one range, and the bytes that any window of the
+   range has around the gram (``LENGTH`` less a range). A shard gives one row per stretch and range, whose key is these
+   bytes' hash; only rows whose key lies in two shards are expanded to their windows. Those meet sorted by window, and
+   binary search cuts the merged runs: all but the earliest over all shards go.
 
 Exact copies of a text are settled by its digest: all of a copy of LENGTH bytes or more goes, but for the smallest id.
 
@@ -25,7 +28,7 @@ whole; an empty table gives no rows; other columns are kept by ``deduplicate`` a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import BASE_1, BASE_2, BYTE_1, BYTE_2, Texts, body_chunks, chunks, compressed, mapped, merged, mix, prefix_hash, signed, span_hash, unpacked, window_anchors
-from ._graph import cut, stored
+from ._graph import cut, looked_up, stored
 
 LENGTH = 100
 GRAM = 16
 #: Stretches of one gram that a shard holds, about, and bytes that it sorts at once.
 SHARD_ROWS, SHARD_BYTES = 2048, 1 << 19
+#: Ranges of places of the gram that the windows of a gram dealt over several shards are told apart by.
+CLASSES = 4
 #: Bytes of a text's own stretches that are sorted at once, about: whole grams, or one longer one.
 OWN_BYTES = 1 << 18
 
@@ -123,12 +128,20 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         )
 
 
+def _packer(shared: bytes) -> Callable[[bytes], bytes]:
+    return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(shared) if shared else None, write_checksum=False, write_content_size=True, write_dict_id=False).compress
+
+
+def _unpacker(shared: bytes) -> Callable[[bytes], bytes]:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared) if shared else None).decompress
+
+
 _STRETCHES = "gram long, part long, split boolean, doc_id long, start int, n int, body binary"
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], length: int, shared: bytes) -> Iterator[pa.RecordBatch]:
     """(doc_id, body, found: [gram + 2**48 * (1 + log2 of its shards)]) -> the distinct stretches of the text whose gram other texts hold too."""
-    pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(shared) if shared else None, write_checksum=False, write_content_size=True, write_dict_id=False).compress
+    pack = _packer(shared)
     for part in body_chunks(batches):
         texts = Texts(pa.array(unpacked(part.column("body")), pa.binary()).view(pa.string()))
         first, n, row, gram, body = stretches(texts, length)
@@ -230,7 +243,7 @@ def common_prefixes(order: np.ndarray, eight: np.ndarray, starts: np.ndarray, le
     return out
 
 
-_FOUND = "doc_id long, start int, end int, window_1 long, window_2 long"
+_FOUND = "doc_id long, start int, end int, part long, shared long, body binary"
 
 
 def sort_stretches(data: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, length: int, apart: bool = False) -> tuple[np.ndarray, ...]:
@@ -262,8 +275,8 @@ def sort_stretches(data: np.ndarray, size: np.ndarray, doc: np.ndarray, start: n
     return doc[lane[begin]], a, a + (stop - begin) + length - 1, heads, lane[heads]
 
 
-def _sort_shard(rows: list[pa.RecordBatch], length: int, unpack) -> Iterator[pa.RecordBatch]:
-    """The removed spans of a shard's stretches, and the earliest windows (end -1) of grams that other shards hold too."""
+def _sort_shard(rows: list[pa.RecordBatch], length: int, pack, unpack) -> Iterator[pa.RecordBatch]:
+    """The removed spans of a shard's stretches, and the earliest windows (with a body) of grams that other shards hold too."""
     table = pa.Table.from_batches(rows).combine_chunks().sort_by([("doc_id", "ascending"), ("start", "ascending")])
     gram, doc, start, n = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "doc_id", "start", "n"))
     texts = Texts(pa.array([unpack(x) for x in table.column("body").to_pylist()], pa.binary()).view(pa.string()))
@@ -289,24 +302,40 @@ def _sort_shard(rows: list[pa.RecordBatch], length: int, unpack) -> Iterator[pa.
         spans.append(tuple(found))
         more = dealt[keep][lane]
         if more.any():
-            at, lane = at[more], keep[lane[more]]
-            w = [span_hash(prefix_hash(v[data], m), at, at + length, m) for v, m in ((BYTE_1, BASE_1), (BYTE_2, BASE_2))]
-            begin = np.zeros(len(doc), np.int64)
-            begin[keep] = np.cumsum(size) - size
-            yield _found(doc[lane], start[lane] + at - begin[lane], np.full(len(at), -1), w[0], w[1])
+            at, lane = at[more], lane[more]
+            place = at - (np.cumsum(size) - size)[lane] + texts.offsets[:-1][keep[lane]]
+            first, last, shared = window_classes(texts, place, keep[lane], length)
+            of, a, b = keep[lane[first]], place[first], place[last] + length
+            at = start[of] + a - texts.offsets[:-1][of]
+            bodies = pa.array([pack(texts.data[x:y].tobytes()) for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
+            yield _found(doc[of], at, at + b - a, table.column("part").to_numpy()[of], shared, bodies)
     d, a, b = (np.concatenate(x) for x in zip(*spans, strict=True))
-    # Removed spans are spread by document; they only pass through the merge.
-    yield _found(d, a, b, mix(d.astype(np.uint64)), np.zeros(len(d), np.uint64))
+    yield _found(d, a, b, np.zeros(len(d), np.int64), np.zeros(len(d), np.uint64), pa.nulls(len(d), pa.binary()))
+
+
+def window_classes(texts: Texts, place: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of the windows (rising places, with the row of each) that have one row and one range of places of the gram: first
+    and last of each run, and a hash of the bytes around the gram that every window of the range has. Equal windows share it."""
+    anchor = window_grams(texts, length)[1][place]
+    most = length - GRAM
+    width = -(-(most + 1) // CLASSES)
+    number = (anchor - place) // width
+    new = np.append(True, (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (number[1:] != number[:-1]))[: len(place)]
+    first = np.flatnonzero(new)
+    low = number[first] * width
+    high = np.minimum(low + width - 1, most)
+    shared = span_hash(prefix_hash(BYTE_1[texts.data], BASE_1), anchor[first] - low, anchor[first] - high + length, BASE_1)
+    return first, np.append(first[1:], len(place)) - 1, shared
 
 
-def _found(doc: np.ndarray, start: np.ndarray, end: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> pa.RecordBatch:
-    columns = [doc.astype(np.int64), start.astype(np.int32), end.astype(np.int32), signed(w1), signed(w2)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in _FOUND.split(", ")])
+def _found(doc: np.ndarray, start: np.ndarray, end: np.ndarray, part: np.ndarray, shared: np.ndarray, bodies: pa.Array) -> pa.RecordBatch:
+    columns = [doc.astype(np.int64), start.astype(np.int32), end.astype(np.int32), part.astype(np.int64), signed(shared)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), bodies], names=[c.split()[0] for c in _FOUND.split(", ")])
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch], length: int, shared: bytes) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (gram, part); shards are cut between those groups, so that equal windows stay together."""
-    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared) if shared else None).decompress
+    pack, unpack = _packer(shared), _unpacker(shared)
     held: list[pa.RecordBatch] = []
     size, last = 0, None
     for batch in batches:
@@ -322,11 +351,11 @@ def _sort_shards(batches: Iterator[pa.RecordBatch], length: int, shared: bytes)
                 size += int(lengths[b] - lengths[a])
                 a = b
             if size >= SHARD_BYTES and b < batch.num_rows:
-                yield from _sort_shard(held, length, unpack)
+                yield from _sort_shard(held, length, pack, unpack)
                 held, size = [], 0
         last = gram[-1], part[-1]
     if held:
-        yield from _sort_shard(held, length, unpack)
+        yield from _sort_shard(held, length, pack, unpack)
 
 
 def _dictionary(docs: DataFrame) -> bytes:
@@ -339,27 +368,40 @@ def _dictionary(docs: DataFrame) -> bytes:
         return b""
 
 
+_WINDOWS = "doc_id long, start int, window_1 long, window_2 long"
+
+
+def _windows(batches: Iterator[pa.RecordBatch], length: int, shared: bytes) -> Iterator[pa.RecordBatch]:
+    """(doc_id, start, body) -> the windows of the bodies."""
+    unpack = _unpacker(shared)
+    for part in body_chunks(batches):
+        texts = Texts(pa.array([unpack(x) for x in part.column("body").to_pylist()], pa.binary()).view(pa.string()))
+        n = texts.lengths - length + 1
+        row = np.repeat(np.arange(texts.n), n)
+        within = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        at = texts.offsets[:-1][row] + within
+        w = [span_hash(prefix_hash(v[texts.data], m), at, at + length, m) for v, m in ((BYTE_1, BASE_1), (BYTE_2, BASE_2))]
+        columns = [part.column("doc_id").to_numpy()[row], (part.column("start").to_numpy()[row] + within).astype(np.int32), signed(w[0]), signed(w[1])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in _WINDOWS.split(", ")])
+
+
 def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (window, doc, start): spans pass; of each window all but the first row are removed."""
+    """Rows sorted by (window, doc, start): of each window all but the first row are removed."""
     carried: tuple | None = None
     for batch in batches:
-        doc, start, end, w1, w2 = (batch.column(c).to_numpy() for c in ("doc_id", "start", "end", "window_1", "window_2"))
-        whole = end >= 0
-        out = [(doc[whole], start[whole], end[whole])]
-        doc, start, w1, w2 = doc[~whole], start[~whole], w1[~whole], w2[~whole]
-        if len(doc):
-            # Cut the sorted windows at each distinct (w1, w2): the first row of a run is the earliest.
-            number = np.cumsum(np.append(0, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
-            lead = np.searchsorted(number, np.arange(number[-1] + 1), "left")
-            lead_doc, lead_start = doc[lead], start[lead]
-            if carried and carried[:2] == (w1[0], w2[0]):
-                lead_doc[0], lead_start[0] = carried[2:]
-            gone = (doc != lead_doc[number]) | (start != lead_start[number])
-            out.append((doc[gone], start[gone], start[gone] + length))
-            carried = (w1[-1], w2[-1], lead_doc[-1], lead_start[-1])
-        d, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        if len(d):
-            yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["doc_id", "start", "end"])
+        if not batch.num_rows:
+            continue
+        doc, start, w1, w2 = (batch.column(c).to_numpy() for c in ("doc_id", "start", "window_1", "window_2"))
+        # Cut the sorted windows at each distinct (w1, w2): the first row of a run is the earliest.
+        number = np.cumsum(np.append(0, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
+        lead = np.searchsorted(number, np.arange(number[-1] + 1), "left")
+        lead_doc, lead_start = doc[lead], start[lead]
+        if carried and carried[:2] == (w1[0], w2[0]):
+            lead_doc[0], lead_start[0] = carried[2:]
+        gone = (doc != lead_doc[number]) | (start != lead_start[number])
+        carried = (w1[-1], w2[-1], lead_doc[-1], lead_start[-1])
+        if gone.any():
+            yield pa.RecordBatch.from_arrays([pa.array(doc[gone].astype(np.int64)), pa.array(start[gone].astype(np.int32)), pa.array((start[gone] + length).astype(np.int32))], names=["doc_id", "start", "end"])
 
 
 def repartitioned(dealt: DataFrame) -> DataFrame:
@@ -393,9 +435,12 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     shared = _dictionary(known)
     wanted = found.join(placed.where("doc_id = lead"), "doc_id").select("doc_id", "found")
     dealt = bodies.select("doc_id", "body").join(wanted, "doc_id").transform(mapped, lambda it: _stretches(it, length, shared), _STRETCHES).transform(repartitioned).sortWithinPartitions("gram", "part")
-    shards = dealt.transform(mapped, lambda it: _sort_shards(it, length, shared), _FOUND)
-    merge = shards.repartition("window_1").sortWithinPartitions("window_1", "window_2", "doc_id", "start").transform(mapped, lambda it: _merge(it, length), "doc_id long, start int, end int")
-    removed = merge.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    shards = stored(dealt.transform(mapped, lambda it: _sort_shards(it, length, shared), _FOUND))
+    held = shards.where("body IS NOT NULL").select("doc_id", "start", "shared", "part", "body")
+    met = cut(held.groupBy("shared").agg(F.count("*").alias("times"), F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("shared", "times"))
+    windows = looked_up(held, met, ["shared"], "doc_id").select("doc_id", "start", "body").transform(mapped, lambda it: _windows(it, length, shared), _WINDOWS)
+    merge = windows.repartition("window_1").sortWithinPartitions("window_1", "window_2", "doc_id", "start").transform(mapped, lambda it: _merge(it, length), "doc_id long, start int, end int")
+    removed = shards.where("body IS NULL").select("doc_id", "start", "end").unionByName(merge).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     empty = F.array().cast(_SPANS)
     every = F.concat(F.coalesce("own", empty), F.coalesce("spans", empty)).alias("spans")
     return bodies, placed.join(removed, "doc_id", "left").select("doc_id", "digest_1", "lead", every)

@@ -642,6 +642,25 @@ def test_a_mark_that_few_texts_repeat_is_dealt_over_shards(spark, monkeypatch):
     assert got == sorted(con.execute(suffix_dedup.ORACLE).fetchall()) and sum(r[2] for r in got) > 0
 
 
+def test_a_gram_beyond_the_bound_gives_few_rows_a_stretch(spark, monkeypatch):
+    """A mark among changing bytes, and a passage that every ninth text has around it: what shards hand on is by stretch, not by window."""
+    rng = random.Random(23)
+    mark = min((f"<{rng.getrandbits(56):014x}>" for _ in range(4000)), key=lambda m: int(suffix_dedup.window_grams(Texts(pa.array([m])), 16)[0][0]))
+    fill = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage_of_mark = fill(70) + mark + fill(70)
+    rows = [(i, fill(120) + (passage_of_mark if i % 9 == 0 else fill(70) + mark + fill(70)) + fill(120)) for i in range(180)]
+    monkeypatch.setattr(suffix_dedup, "SHARD_ROWS", 16)
+    old, made = suffix_dedup.mapped, {}
+    monkeypatch.setattr(suffix_dedup, "mapped", lambda df, run, schema: made.setdefault(str(schema), old(df, run, schema)))
+    got = by_id(suffix_dedup.removal(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    (shards,) = (df for schema, df in made.items() if schema == suffix_dedup._FOUND)
+    assert shards.count() <= (suffix_dedup.CLASSES + 1) * made[suffix_dedup._STRETCHES].count()
+    for i, (raw, gone) in _removed_bytes(rows, 100).items():
+        kept = bytes(np.frombuffer(raw, np.uint8)[~gone])
+        assert (got[i].n_removed, got[i].kept_sha256) == (int(gone.sum()), hashlib.sha256(kept).hexdigest()), i
+    assert sum(r.n_removed for r in got.values()) > 0
+
+
 def test_no_link_of_small_sets_is_lost(spark):
     """Texts of 8 and 7 words, 4 and 3 shingles: similarity 0.75 exactly, each pair of its own words."""
     pairs = 30_000
