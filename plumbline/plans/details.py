@@ -358,8 +358,8 @@ SELECT bill_id, code, included FROM u
 """)
 def bill_inferred(t: Tables) -> DataFrame:
     """A charge that a vessel's specification includes, where no line prices it. [BIL18]"""
-    priced = t.lineitem.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("bill_id"), _lit("nitrox").alias("code")).distinct()
-    park = t.lineitem.select(F.col("l_orderkey").alias("bill_id"), _lit("park").alias("code")).distinct()
+    priced = t.lineitem.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("bill_id")).distinct().withColumn("code", _lit("nitrox"))
+    park = t.lineitem.select(F.col("l_orderkey").alias("bill_id")).distinct().withColumn("code", _lit("park"))
     lines = priced.unionByName(park).select("bill_id", "code", _lit("optional").alias("tier"), F.lit(5).cast("decimal(18,4)").alias("amount"), F.lit(False).alias("included"), F.lit(0).alias("level"), F.lit(1).alias("position"))
     vessels = t.orders.select(F.col("o_orderkey").alias("bill_id"), (F.col("o_orderstatus") == "F").alias("includes"))
     return bills.inferred_inclusion(lines, vessels, "nitrox").select("bill_id", "code", "included")

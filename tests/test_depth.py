@@ -460,3 +460,21 @@ def test_bills_are_completed_before_they_are_joined(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.index("LeftSemi") < plan.index("Aggregate")
     assert sorted(map(tuple, out.collect())) == [(1, True), (2, False), (3, False)]
+
+
+def test_inferred_lines_meet_bills_in_one_aggregate(spark):
+    """Lines that no free one may replace are neither sorted nor joined; nulls and open lines are as by the joins before."""
+    from decimal import Decimal
+
+    from plumbline.operators import bills
+    from plumbline.plans import queries
+
+    plan = queries.QUERIES["bill_inferred"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    schema = "bill_id long, code string, tier string, amount decimal(18,4), included boolean, level int, position int"
+    rows = [(1, "nitrox", 5, False), (2, "nitrox", None, True), (3, "nitrox", None, False), (3, "nitrox", None, None), (4, "park", None, False), (None, "nitrox", 5, False), (None, "nitrox", None, False), (5, None, 5, False), (6, "nitrox", None, False)]
+    lines = spark.createDataFrame([(b, c, "optional", a and Decimal(a), i, 0, 1) for b, c, a, i in rows], schema)
+    vessels = spark.createDataFrame([(1, True), (2, True), (3, True), (3, True), (4, True), (None, True), (5, True), (6, False), (7, None)], "bill_id long, includes boolean")
+    got = sorted((tuple(r) for r in bills.inferred_inclusion(lines, vessels, "nitrox").select("bill_id", "code", F.col("amount").cast("int"), "included", "position").collect()), key=repr)
+    kept = [(b, c, a, i, 1) for b, c, a, i in rows if (b, c) != (3, "nitrox")]
+    assert got == sorted(kept + [(b, "nitrox", None, True, 10_000) for b in (3, 4, 5, None)], key=repr)
